@@ -99,4 +99,4 @@ def sql(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n.startswith('v_') else ''}({VIEWS[n]})" for n in needed) + "\n" + body

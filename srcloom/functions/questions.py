@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcloom import dims, rx
@@ -106,40 +106,37 @@ def mode(q: Column, intent_: Column) -> Column:
     )
 
 
-def plan(q: Column) -> Column:
-    """Retrieval plan of a question as one struct."""
-    i = intent(q)
-    m = mode(q, i)
+def with_plan(df: DataFrame, query: str = "query") -> DataFrame:
+    """Add the retrieval plan of a question: intent, mode, evidence, budgets, ratio."""
+    staged = df.withColumn("intent", intent(F.col(query)))
+    staged = staged.withColumn("mode", mode(F.col(query), F.col("intent")))
+    i, m = F.col("intent"), F.col("mode")
 
-    def pick(index, cast=lambda v: F.lit(v)):
-        return reduce(
-            lambda acc, kv: F.when(m == kv[0], cast(kv[1][index])).otherwise(acc), dims.PLANS.items(), F.lit(None)
-        )
-
-    def budget(index):
-        return reduce(
-            lambda acc, kv: F.when(m == kv[0], F.lit(kv[1][3][index])).otherwise(acc), dims.PLANS.items(), F.lit(None)
-        )
+    def pick(value):
+        out = F.lit(None)
+        for name, row in dims.PLANS.items():
+            out = F.when(m == name, value(row)).otherwise(out)
+        return out
 
     trace = (m == "graph_hybrid") & (i == "workflow_trace")
-    return F.struct(
-        i.alias("intent"),
-        m.alias("mode"),
-        F.when(trace, strings(dims.WORKFLOW_TRACE_EVIDENCE)).otherwise(pick(0, strings)).alias("required_evidence"),
-        pick(1, strings).alias("preferred_sources"),
-        pick(2).alias("graph_direction"),
-        budget(0).alias("code_budget"),
-        budget(1).alias("docs_budget"),
-        budget(2).alias("tests_budget"),
-        (m == "exact").alias("use_exact"),
-        F.lit(True).alias("use_lexical"),
-        m.isin("summary_graph", "graph_hybrid").alias("use_graph"),
-        (
-            (m == "summary_graph")
-            | ((m == "graph_hybrid") & i.isin("workflow_trace", "risk_or_gap_analysis"))
-        ).alias("include_summary"),
-        pick(4).alias("ratio"),
-        pick(5).alias("reason"),
+    return staged.withColumns(
+        {
+            "required_evidence": F.when(trace, strings(dims.WORKFLOW_TRACE_EVIDENCE)).otherwise(
+                pick(lambda r: strings(r[0]))
+            ),
+            "preferred_sources": pick(lambda r: strings(r[1])),
+            "graph_direction": pick(lambda r: F.lit(r[2])),
+            "code_budget": pick(lambda r: F.lit(r[3][0])),
+            "docs_budget": pick(lambda r: F.lit(r[3][1])),
+            "tests_budget": pick(lambda r: F.lit(r[3][2])),
+            "use_exact": m == "exact",
+            "use_lexical": F.lit(True),
+            "use_graph": m.isin("summary_graph", "graph_hybrid"),
+            "include_summary": (m == "summary_graph")
+            | ((m == "graph_hybrid") & i.isin("workflow_trace", "risk_or_gap_analysis")),
+            "ratio": pick(lambda r: F.lit(r[4])),
+            "reason": pick(lambda r: F.lit(r[5])),
+        }
     )
 
 

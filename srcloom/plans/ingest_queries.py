@@ -168,19 +168,27 @@ def _(spark, sf):
     return units.markdown_modules(corpus.tree_files(spark, sf)).withColumn("code", F.md5("code"))
 
 
-def _decl_sql(col: str) -> str:
-    """First matching rule of the line's language: kind#indent#name."""
+def _decl_sql() -> str:
+    """Number of the first rule of the line's language that finds a usable name."""
     groups = []
     for g, table in dims.DECLARATIONS.items():
         whens = " ".join(
-            f"WHEN {q.ex('line', p, 2)} <> '' AND NOT list_contains({q.arr(dims.CONTROL_WORDS)}, {q.ex('line', p, 2)}) THEN "
-            + {"kind": q.s(kind), "name": q.ex("line", p, 2), "indent": f"length({q.ex('line', p, 1)})"}[col]
-            for kind, p in table
+            f"WHEN {q.m('line', p)} AND NOT list_contains({q.arr(dims.CONTROL_WORDS)}, {q.ex('line', p, 2)}) THEN {i}"
+            for i, (_, p) in enumerate(table)
         )
         groups.append(f"WHEN {q.s(g)} THEN CASE {whens} END")
     return f"CASE grp {' '.join(groups)} END"
 
 
+def _decl_part(part) -> str:
+    """Value taken from the rule that was found."""
+    groups = []
+    for g, table in dims.DECLARATIONS.items():
+        whens = " ".join(f"WHEN {i} THEN {part(kind, p)}" for i, (kind, p) in enumerate(table))
+        groups.append(f"WHEN {q.s(g)} THEN CASE rule {whens} END")
+    return f"CASE grp {' '.join(groups)} END"
+
+
 _EXT = q.ext("file_path")
 views.register(
     "v_tree_lines",
@@ -189,8 +197,9 @@ views.register(
 )
 views.register(
     "v_decl",
-    f"""SELECT * FROM (SELECT project_id, file_path, line_no, n_lines, {_decl_sql('kind')} AS kind, {_decl_sql('name')} AS name,
-      {_decl_sql('indent')} AS indent, {q.m('line', dims.EXPORT_LINE)} AS exported FROM v_tree_lines WHERE grp IS NOT NULL) WHERE name IS NOT NULL""",
+    f"""SELECT project_id, file_path, line_no, n_lines, {_decl_part(lambda k, p: q.s(k))} AS kind, {_decl_part(lambda k, p: q.ex('line', p, 2))} AS name,
+      {_decl_part(lambda k, p: f"length({q.ex('line', p, 1)})")} AS indent, {q.m('line', dims.EXPORT_LINE)} AS exported
+      FROM (SELECT *, {_decl_sql()} AS rule FROM v_tree_lines WHERE grp IS NOT NULL) WHERE rule IS NOT NULL""",
 )
 views.register(
     "v_decl_units",
@@ -296,7 +305,7 @@ def _(spark, sf):
       FROM (SELECT *, CASE WHEN json_valid(source_files_json) THEN
           CASE WHEN source_files_json = '[]' THEN 4
             WHEN list_contains(json_type_list, 'NULL') THEN 2 WHEN list_contains(json_type_list, 'UBIGINT') THEN 1 ELSE 0 END ELSE 3 END AS event_case
-        FROM (SELECT *, CASE WHEN json_valid(source_files_json) THEN list_transform(CAST(TRY_CAST(source_files_json AS JSON) AS JSON[]), lambda x: json_type(x)) END AS json_type_list FROM sessions))""",
+        FROM (SELECT *, CASE WHEN json_valid(source_files_json) THEN list_transform(CAST(TRY_CAST(source_files_json AS JSON) AS JSON[]), lambda x: coalesce(json_type(x), 'NULL')) END AS json_type_list FROM sessions))""",
 )
 def _(spark, sf):
     c = F.col("source_files_json")

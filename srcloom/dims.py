@@ -456,6 +456,10 @@ DECLARATIONS = {
         ("function", rf"^([ \t]*){_MODS}func\s+([A-Za-z_]\w*)"),
     ],
 }
+DECLARATION_HINT = (
+    r"class|function|=>|\{\s*\z|def|func|type|fn|struct|enum|trait|impl|mod|interface|record|namespace|object|fun"
+    r"|protocol|extension"
+)
 CONTROL_WORDS = ["if", "for", "while", "switch", "catch", "return", "else", "do", "try", "function"]
 EXPORT_LINE = r"^\s*(?:export|pub|public)\b"
 IMPORT_LINES = {

@@ -79,9 +79,10 @@ def _declaration(group: Column, line: Column, index: Column) -> Column:
             out = F.when((name != "") & ~name.isin(dims.CONTROL_WORDS), found).otherwise(out)
         return out
 
-    # Cheap test first: a declaration line holds a word followed by a name.
+    # Cheap test first: most lines hold neither a declaration word nor an opening brace.
     per_group = {g: for_group(t) for g, t in dims.DECLARATIONS.items()}
-    return _pick_by_group(group, per_group, F.lit(None).cast(DECL_TYPE))
+    found = _pick_by_group(group, per_group, F.lit(None).cast(DECL_TYPE))
+    return F.when(F.rlike(line, F.lit(dims.DECLARATION_HINT)), found)
 
 
 def declarations(files: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def declarations(files: DataFrame) -> DataFrame:
     found = body.withColumn(
         "decls",
         F.array_compact(F.transform("ls", lambda line, i: _declaration(F.col("grp"), line, i))),
-    ).filter(F.size("decls") > 0)
+    )
 
     def parent_of(d):
         classes = F.filter(

@@ -41,8 +41,8 @@ views.register(
         any_value(s.first_line) AS first_line, any_value(s.first_pos) AS first_pos, any_value(s.spec_pos) AS spec_pos
       FROM (SELECT v.*, m.first_line, m.first_pos, list_position({_SPECS.replace('import_statement', 'v.import_statement')}, specifier) AS spec_pos,
           {_UP.replace('@', _UP.replace('@', f"regexp_replace(regexp_replace(regexp_replace({_JOINED}, '/\\./', '/', 'g'), '/\\./', '/', 'g'), '^\\./', '')"))} AS resolved
-        FROM v_specifiers v JOIN (SELECT project_id, file_path, unnest(imports) AS imp, min(start_line) AS first_line, min(list_position(imports, imp)) AS first_pos
-          FROM units GROUP BY ALL) m ON m.project_id = v.project_id AND m.file_path = v.source_file AND m.imp = v.import_statement) s,
+        FROM v_specifiers v JOIN (SELECT project_id, file_path, imp, min(start_line) AS first_line, min(pos) AS first_pos
+          FROM (SELECT project_id, file_path, start_line, imports[i] AS imp, i AS pos FROM units, range(1, len(imports) + 1) r(i)) GROUP BY ALL) m ON m.project_id = v.project_id AND m.file_path = v.source_file AND m.imp = v.import_statement) s,
         LATERAL (SELECT s.resolved AS path, -1 AS pos UNION ALL SELECT concat(regexp_replace(s.resolved, '\\.[^./]*$', ''), suffix), i FROM
           (SELECT unnest({q.arr(_SUFFIXES)}) AS suffix, unnest(range({len(_SUFFIXES)})) AS i)) c
       JOIN (SELECT DISTINCT project_id, file_path FROM units) f ON f.project_id = s.project_id AND f.file_path = c.path

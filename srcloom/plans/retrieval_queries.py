@@ -1 +1,99 @@
-"""Registered queries."""
+"""Registered queries for the retrieval channels, fusion, reranking and the eval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from srcloom import dims
+from srcloom.checks import sqlkit as q
+from srcloom.checks import views
+from srcloom.operators import fuse, retrieve
+from srcloom.registry import query
+from srcloom.sources import corpus
+
+K = dims.FUSED_TOP_K
+VF = dims.VENDORED_FACTOR
+SEARCH = (
+    "concat_ws(chr(10), file_path, kind, name, coalesce(docstring, ''), array_to_string(imports, chr(10)), "
+    "array_to_string(exported_names, chr(10)), array_to_string(called_functions, chr(10)), code)"
+)
+
+
+def _split(x: str) -> str:
+    return (
+        f"list_filter(list_transform(regexp_split_to_array(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), "
+        "lambda x: lower(x)), lambda x: length(x) > 1)"
+    )
+
+
+views.register(
+    "v_unit_facts",
+    f"""SELECT *, lower(file_path) AS lp, lower(name) AS ln, lower(code) AS lc, {SEARCH} AS raw, lower({SEARCH}) AS low,
+      list_transform(exported_names, lambda x: lower(x)) AS le, list_transform(imports, lambda x: lower(x)) AS li,
+      list_transform(called_functions, lambda x: lower(x)) AS lf, {_split('name')} || {_split('file_path')} AS parts,
+      CASE WHEN {q.m('file_path', dims.SUPPORT_PATH, 'i')} THEN 8 ELSE 0 END + CASE WHEN {q.m('code', dims.SUPPORT_CODE, 'i')} THEN 8 ELSE 0 END AS support
+      FROM units""",
+)
+_lidents = "list_transform(idents, lambda x: lower(x))"
+_lpaths = "list_transform(paths, lambda x: lower(x))"
+_anyl = "len(list_filter({0}, lambda x: {1})) > 0"
+_EXACT = f"""(CASE WHEN {_anyl.format(_lpaths, "ends_with(lp, x)")} THEN 20 WHEN {_anyl.format(_lpaths, "contains(lp, x)")} THEN 12 ELSE 0 END
+  + CASE WHEN list_contains({_lidents}, ln) THEN 18 WHEN {_anyl.format(_lidents, "contains(ln, x)")} THEN 8 ELSE 0 END
+  + CASE WHEN list_has_any(le, {_lidents}) THEN 10 ELSE 0 END + CASE WHEN contains(lower(query), lp) THEN 10 ELSE 0 END)"""
+
+
+def _sum(lst: str, expr: str) -> str:
+    return f"coalesce(list_sum(list_transform({lst}, lambda x: {expr})), 0)"
+
+
+_const = q.m("x", dims.Q_CONSTANT)
+_GREP = f"""({_sum(_lpaths, "CASE WHEN ends_with(lp, x) THEN 30 WHEN contains(lp, x) THEN 15 ELSE 0 END")}
+  + {_sum("needles", f'''CASE WHEN file_path = x OR ends_with(lp, lower(x)) THEN 28 ELSE 0 END + CASE WHEN name = x THEN 24 WHEN ln = lower(x) THEN 20 ELSE 0 END
+    + CASE WHEN list_contains(exported_names, x) THEN 18 ELSE 0 END + CASE WHEN len(list_filter(imports, lambda y: contains(y, x))) > 0 THEN 14 ELSE 0 END
+    + CASE WHEN contains(code, x) THEN CASE WHEN {_const} THEN 26 ELSE 18 END WHEN contains(lc, lower(x)) THEN CASE WHEN {_const} THEN 18 ELSE 10 END ELSE 0 END
+    + CASE WHEN contains(raw, x) THEN CASE WHEN {_const} THEN 12 ELSE 6 END WHEN contains(low, lower(x)) THEN CASE WHEN {_const} THEN 8 ELSE 3 END ELSE 0 END''')}
+  + {_sum("terms", f'''len(list_filter({_split("x.value")}, lambda y: list_contains(parts, y))) * CASE WHEN x.code_like THEN 6 ELSE 2 END
+    + CASE WHEN ln = x.value THEN 10 ELSE 0 END + CASE WHEN contains(lp, x.value) THEN CASE WHEN x.code_like THEN 8 ELSE 3 END ELSE 0 END''')}
+  + CASE WHEN {q.m('query', dims.GREP_SUPPORT_QUERY, 'i')} THEN support ELSE 0 END)"""
+_LEX = f"""({_sum(_lpaths, "CASE WHEN ends_with(lp, x) THEN 18 WHEN contains(lp, x) THEN 9 ELSE 0 END")}
+  + {_sum("phrases", "CASE WHEN contains(low, lower(x)) THEN 14 ELSE 0 END")}
+  + {_sum("terms", '''CASE WHEN ln = x.value THEN 10 WHEN contains(ln, x.value) THEN 6 ELSE 0 END + CASE WHEN contains(lp, x.value) THEN CASE WHEN x.code_like THEN 10 ELSE 5 END ELSE 0 END
+    + CASE WHEN len(list_filter(le, lambda y: contains(y, x.value))) > 0 THEN CASE WHEN x.code_like THEN 10 ELSE 4 END ELSE 0 END
+    + CASE WHEN len(list_filter(li, lambda y: contains(y, x.value))) > 0 THEN CASE WHEN x.code_like THEN 8 ELSE 4 END ELSE 0 END
+    + CASE WHEN len(list_filter(lf, lambda y: contains(y, x.value))) > 0 THEN CASE WHEN x.code_like THEN 8 ELSE 3 END ELSE 0 END
+    + CASE WHEN contains(lower(coalesce(docstring, '')), x.value) THEN 3 ELSE 0 END
+    + CASE WHEN contains(lc, x.value) THEN CASE WHEN x.code_like THEN 14 ELSE 1 END ELSE 0 END''')})"""
+_ocols = {"path_lower": "lp", "overview_text": "concat_ws(' ', lp, ln, lc)"}
+_OVER = f"({q.points(dims.OVERVIEW_CHANNEL, _ocols)} + CASE WHEN contains(lower(query), 'sales') AND {q.m('lc', dims.SALES_CODE)} THEN 8 ELSE 0 END)"
+views.register(
+    "v_pair_scores",
+    f"""SELECT query_id, project_id, id, file_path, start_line, is_vendored, exact::DOUBLE AS exact,
+      grep * CASE WHEN is_vendored THEN {VF}::DOUBLE ELSE 1 END AS grep, lexical * CASE WHEN is_vendored THEN {VF}::DOUBLE ELSE 1 END AS lexical,
+      overview * CASE WHEN is_vendored THEN {VF}::DOUBLE ELSE 1 END AS overview FROM (
+      SELECT query_id, project_id, id, file_path, start_line, is_vendored, {_EXACT} AS exact, {_GREP} AS grep, {_LEX} AS lexical, {_OVER} AS overview
+      FROM v_features JOIN v_unit_facts USING (project_id))""",
+)
+KS = {"exact": K, "overview": K, "grep": 2 * K, "lexical": K}
+
+
+def _hits_sql(channel: str, k: int) -> str:
+    return (
+        f"SELECT * FROM (SELECT query_id, project_id, id AS unit_id, '{channel}' AS channel, {channel} AS score, "
+        f"row_number() OVER (PARTITION BY query_id ORDER BY {channel} DESC, file_path, start_line, id) AS rank, is_vendored "
+        f"FROM v_pair_scores WHERE {channel} > 0) WHERE rank <= {k}"
+    )
+
+
+views.register("v_hits", " UNION ALL ".join(_hits_sql(c, KS[c]) for c in retrieve.CHANNELS))
+_DEFAULT_K = {"exact": 10, "grep": 20, "lexical": 10, "overview": 12}
+
+
+def _channel_query(channel: str):
+    @query(f"{channel}_search", _hits_sql(channel, _DEFAULT_K[channel]))
+    def _(spark, sf):
+        hits = retrieve.channel_hits(corpus.queries(spark, sf), corpus.units(spark, sf), channel, _DEFAULT_K[channel])
+        return hits.withColumn("score", F.round("score", 6))
+
+
+for _c in retrieve.CHANNELS:
+    _channel_query(_c)

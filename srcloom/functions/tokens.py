@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcloom import rx
@@ -15,36 +15,50 @@ def estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 3)
 
 
-def truncate(path: Column, code: Column, start: Column, end: Column, limit: Column, needles: Column) -> Column:
-    """struct(code, start_line, end_line) of a unit cut to ``limit`` tokens.
+def with_cut(df: DataFrame, limit: Column, needles: Column) -> DataFrame:
+    """Add ``cut_code``, ``cut_start`` and ``cut_end``: the unit cut to ``limit`` tokens.
 
     The window starts near the first needle that occurs, else near the first
     heading of a document, else at the top, and is moved back to a line start.
+    Each step is a column of its own so that no text work is repeated.
     """
-    chars = limit * 3
-    low = F.lower(code)
-    hits = F.filter(F.transform(needles, lambda n: F.instr(low, n)), lambda at: at > 0)
-    evidence = F.coalesce(F.get(hits, 0), F.lit(0))
-    heading_head = F.regexp_extract(code, r"(?s)\A(?:.*?\n)??(?=#[\t ]+\S)", 0)
-    is_doc = rx.test(path, r"\.(md|mdx)$", "i")
-    heading = F.when(is_doc & rx.test(code, r"^#\s+\S.*$", "m"), F.length(heading_head) + 1).otherwise(0)
-    best = F.when(evidence > 0, evidence).otherwise(heading)
-    raw = F.when(best == 0, 0).otherwise(F.greatest(F.lit(0), best - 1 - F.floor(chars / 4)))
-    # Last line break at or before the raw offset (zero-based), plus one.
-    before = F.substring(code, F.lit(1), (raw + 1).cast("int"))
-    line_head = F.length(before) - F.instr(F.reverse(before), "\n") + 1
-    from_ = F.when((raw == 0) | ~F.contains(before, F.lit("\n")), 0).otherwise(line_head)
-    to = F.least(F.length(code).cast("bigint"), from_ + chars)
-    part = F.substring(code, (from_ + 1).cast("int"), (to - from_).cast("int"))
-    visible = F.size(F.split(part, "\n", -1))
-    skipped = F.size(F.split(F.substring(code, F.lit(1), from_.cast("int")), "\n", -1)) - 1
-    new_start = start + F.when(from_ == 0, 0).otherwise(skipped)
-    cut = F.struct(
+    code, c = F.col("code"), F.col
+    kept = df.columns
+    is_doc = rx.test(c("file_path"), r"\.(md|mdx)$", "i")
+    heading = F.regexp_extract(code, r"(?s)\A(?:.*?\n)??(?=#[\t ]+\S)", 0)
+    long = estimate(code) > limit
+    hits = F.filter(F.transform(needles, lambda n: F.instr(F.lower(code), n)), lambda at: at > 0)
+    steps = [
+        {"_chars": F.when(long, limit * 3)},
+        {"_hit": F.when(c("_chars").isNotNull(), F.coalesce(F.get(hits, 0), F.lit(0)))},
+        {
+            "_best": F.when(c("_hit") > 0, c("_hit"))
+            .when(c("_chars").isNotNull() & is_doc & rx.test(code, r"^#\s+\S.*$", "m"), F.length(heading) + 1)
+            .otherwise(0)
+        },
+        {
+            "_raw": F.when(c("_best") == 0, 0)
+            .otherwise(F.greatest(F.lit(0), c("_best") - 1 - F.floor(c("_chars") / 4)))
+            .cast("int")
+        },
+        {"_before": F.when(c("_raw") > 0, F.substring(code, F.lit(1), c("_raw") + 1)).otherwise("")},
+        # Start of the line that holds the raw offset.
+        {"_from": F.length("_before") - F.length(F.substring_index("_before", "\n", -1))},
+        {"_part": F.substring(code, c("_from") + 1, F.coalesce("_chars", F.length(code)))},
+        {
+            "_first": c("start_line") + F.size(F.split(F.substring(code, F.lit(1), c("_from")), "\n", -1)) - 1,
+            "_more": c("_chars").isNotNull() & (c("_from") + c("_chars") < F.length(code)),
+        },
+    ]
+    for step in steps:
+        df = df.withColumns(step)
+    cut = c("_chars").isNotNull()
+    last = F.least(c("end_line"), c("_first") + F.size(F.split("_part", "\n", -1)) - 1)
+    return df.select(
+        *kept,
         F.concat(
-            F.when(from_ > 0, F.lit(ABOVE)).otherwise(""), part, F.when(to < F.length(code), F.lit(BELOW)).otherwise("")
-        ).alias("code"),
-        new_start.cast("int").alias("start_line"),
-        F.least(end, new_start + visible - 1).cast("int").alias("end_line"),
+            F.when(c("_from") > 0, F.lit(ABOVE)).otherwise(""), c("_part"), F.when(c("_more"), F.lit(BELOW)).otherwise("")
+        ).alias("cut_code"),
+        F.when(cut, c("_first")).otherwise(c("start_line")).cast("int").alias("cut_start"),
+        F.when(cut, last).otherwise(c("end_line")).cast("int").alias("cut_end"),
     )
-    whole = F.struct(code.alias("code"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
-    return F.when(estimate(code) <= limit, whole).otherwise(cut)

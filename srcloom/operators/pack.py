@@ -18,19 +18,22 @@ def context_budget(ratio: Column, max_tokens: int = dims.MAX_CONTEXT_TOKENS) ->
     return F.greatest(F.lit(500), F.floor(ratio * max_tokens)).cast("int")
 
 
+def unit_limit() -> Column:
+    """Most tokens a single unit may take of a context."""
+    return F.floor(F.col("max_tokens") * F.lit(0.4).cast("double")).cast("int")
+
+
 def trim_to_budget(units: DataFrame, group: str, order: str, max_tokens: int) -> DataFrame:
     """Truncate long units, then keep the leading units that fit together."""
-    cut = tokens.truncate(
-        F.col("file_path"), F.col("code"), F.col("start_line"), F.col("end_line"),
-        F.lit(int(max_tokens * 0.4)), F.array().cast(_NO_STRINGS),
-    )
-    cutted = units.withColumn("cut", cut).withColumn("tokens", tokens.estimate(F.col("cut.code")))
+    cutted = tokens.with_cut(units, F.lit(int(max_tokens * 0.4)), F.array().cast(_NO_STRINGS)).withColumn(
+        "tokens", tokens.estimate(F.col("cut_code"))
+    )
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cutted.withColumn("running", F.sum("tokens").over(w))
         .filter(F.col("running") <= max_tokens)
-        .withColumns({"code": F.col("cut.code"), "start_line": F.col("cut.start_line"), "end_line": F.col("cut.end_line")})
-        .drop("cut")
+        .withColumns({"code": F.col("cut_code"), "start_line": F.col("cut_start"), "end_line": F.col("cut_end")})
+        .drop("cut_code", "cut_start", "cut_end")
     )
 
 
@@ -104,18 +107,13 @@ def expand_context(hits: DataFrame, units: DataFrame, max_tokens: int = dims.MAX
     base = hits.select("query_id", "project_id", "unit_id", F.lit(0).alias("tier"), F.col("rank").alias("pos"))
     extra = related.withColumn("tier", F.lit(1)).unionByName(called.withColumns({"tier": F.lit(1), "pos": F.col("pos") + 1000000}))
     limit = int(max_tokens * 0.4)
-    sized = (
-        base.unionByName(extra.select(base.columns))
-        .join(units.select("project_id", F.col("id").alias("unit_id"), "file_path", "code"), ["project_id", "unit_id"])
-        .withColumn(
-            "tokens",
-            tokens.estimate(
-                tokens.truncate(
-                    F.col("file_path"), F.col("code"), F.lit(1), F.lit(1), F.lit(limit), F.array().cast(_NO_STRINGS)
-                )["code"]
-            ),
-        )
-        .select("query_id", "project_id", "unit_id", "tier", "pos", "file_path", "tokens")
+    text = units.select("project_id", F.col("id").alias("unit_id"), "file_path", "code", "start_line", "end_line")
+    sized = tokens.with_cut(
+        base.unionByName(extra.select(base.columns)).join(text, ["project_id", "unit_id"]),
+        F.lit(limit),
+        F.array().cast(_NO_STRINGS),
+    ).select(
+        "query_id", "project_id", "unit_id", "tier", "pos", "file_path", tokens.estimate(F.col("cut_code")).alias("tokens")
     )
     sort_path = F.when(F.col("tier") == 0, "").otherwise(F.col("file_path"))
     w = Window.partitionBy("query_id", "tier").orderBy(sort_path, "pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -187,21 +185,18 @@ def pack_scores(features: DataFrame, candidates: DataFrame, hits: DataFrame, uni
         + F.when(F.col("is_vendored"), -10).otherwise(0)
         - (F.col("ord") - 1) * F.lit(0.001).cast("double")
     )
-    limit = F.floor(F.col("max_tokens") * F.lit(0.4).cast("double")).cast("int")
-    cut = tokens.truncate(
-        F.col("file_path"), F.col("code"), F.col("start_line"), F.col("end_line"), limit, F.col("needles")
-    )
-    return rows.withColumns({"pack_score": score, "cut": cut}).select(
+    scored = rows.withColumn("pack_score", score)
+    return tokens.with_cut(scored, unit_limit(), F.col("needles")).select(
         "query_id",
         "project_id",
         "unit_id",
         "ord",
         "file_path",
         "pack_score",
-        F.col("cut.start_line").alias("start_line"),
-        F.col("cut.end_line").alias("end_line"),
-        tokens.estimate(F.col("cut.code")).alias("tokens"),
-        evidence(F.col("cut.code")).alias("exact"),
+        F.col("cut_start").alias("start_line"),
+        F.col("cut_end").alias("end_line"),
+        tokens.estimate(F.col("cut_code")).alias("tokens"),
+        evidence(F.col("cut_code")).alias("exact"),
         "hit_rank",
         "max_tokens",
         "max_per_file",
@@ -251,19 +246,16 @@ def pack(scored: DataFrame) -> DataFrame:
 
 def context_text(packed: DataFrame, features: DataFrame, units: DataFrame) -> DataFrame:
     """Packed units with the code a reader sees."""
-    limit = F.floor(F.col("max_tokens") * F.lit(0.4).cast("double")).cast("int")
     rows = packed.select("query_id", "project_id", "unit_id", "slot").join(
         features.select("query_id", "needles", "max_tokens"), "query_id"
     ).join(
         units.select("project_id", F.col("id").alias("unit_id"), "file_path", "name", "kind", "language", "docstring", "code", "start_line", "end_line"),
         ["project_id", "unit_id"],
     )
-    cut = tokens.truncate(
-        F.col("file_path"), F.col("code"), F.col("start_line"), F.col("end_line"), limit, F.col("needles")
-    )
-    return rows.withColumn("cut", cut).select(
-        "query_id", "project_id", "unit_id", "slot", "file_path", "name", "kind", "language", "docstring", "cut.*"
-    )
+    return tokens.with_cut(rows, unit_limit(), F.col("needles")).select(
+        "query_id", "project_id", "unit_id", "slot", "file_path", "name", "kind", "language", "docstring",
+        F.col("cut_code").alias("code"), F.col("cut_start").alias("start_line"), F.col("cut_end").alias("end_line"),
+    )
 
 
 def citation_tag() -> Column:

@@ -19,15 +19,18 @@ CHANNEL_K = {
 
 
 def plans(queries: DataFrame) -> DataFrame:
-    """Questions with features, plan, traversal direction and context budget."""
-    df = questions.with_plan(fuse.with_features(queries))
-    return df.withColumns(
+    """Questions with features, plan, traversal direction and context budget.
+
+    One row per question, read by nearly every later step, so it is staged.
+    """
+    df = questions.with_plan(fuse.with_features(queries)).withColumns(
         {
             "traversal": questions.traversal(F.col("query")),
             "max_tokens": pack.context_budget(F.col("ratio")),
             "max_per_file": F.when(F.col("mode") == "summary_graph", 2).otherwise(3),
         }
     )
+    return stage(df, "plans")
 
 
 def reranked(planned: DataFrame, queries: DataFrame, units: DataFrame) -> DataFrame:

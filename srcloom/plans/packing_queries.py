@@ -11,10 +11,11 @@ from srcloom.functions import tokens
 from srcloom.operators import fuse, graph, pack
 from srcloom.plans import answer
 from srcloom.plans.graph_queries import edges as import_edges
-from srcloom.plans.retrieval_queries import TEST_DEMOTED, total_sql, workflow_sql
+from srcloom.plans.retrieval_queries import TEST_DEMOTED, _hits, _plans, total_sql, workflow_sql
 from srcloom.plans.text_queries import redact_sql
 from srcloom.registry import query
 from srcloom.sources import corpus
+from srcloom.staging import shared
 
 BUDGET = dims.MAX_CONTEXT_TOKENS
 
@@ -50,9 +51,7 @@ SMALL_LIMIT = 60
                     str(SMALL_LIMIT), "ns", "query_id, id")})""",
 )
 def _(spark, sf):
-    from srcloom.plans.retrieval_queries import _hits
-
-    planned = answer.plans(corpus.queries(spark, sf))
+    planned = _plans(spark, sf)
     fused = fuse.retrieve_by_plan(planned, _hits(spark, sf)).select("query_id", "project_id", F.col("unit_id").alias("id"))
     wanted = planned.select("query_id", F.concat("needles", "terms").alias("ns"))
     rows = fused.join(wanted, "query_id").join(corpus.units(spark, sf), ["project_id", "id"])
@@ -104,9 +103,10 @@ views.register(
 
 
 def _stage(spark, sf):
-    planned = answer.plans(corpus.queries(spark, sf))
+    planned = _plans(spark, sf)
     units = corpus.units(spark, sf)
-    return planned, units, answer.reranked(planned, corpus.queries(spark, sf), units)
+    hits = shared(spark, sf, "ranked", lambda: answer.reranked(planned, corpus.queries(spark, sf), units))
+    return planned, units, hits
 
 
 @query("graph_expand", "SELECT * FROM v_graphed")
@@ -241,8 +241,13 @@ views.register(
 
 
 def _packed(spark, sf):
-    units = corpus.units(spark, sf)
-    return answer.packed(corpus.queries(spark, sf), units, import_edges(spark, sf))
+    planned, units, hits = _stage(spark, sf)
+
+    def build():
+        chosen = answer.candidates(planned, hits, units, import_edges(spark, sf))
+        return pack.pack(pack.pack_scores(planned, chosen, hits, units))
+
+    return planned, shared(spark, sf, "packed", build)
 
 
 @query(

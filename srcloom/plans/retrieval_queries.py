@@ -9,7 +9,9 @@ from srcloom.checks import sqlkit as q
 from srcloom.checks import views
 from srcloom.operators import fuse, retrieve
 from srcloom.registry import query
+from srcloom.plans import answer
 from srcloom.sources import corpus
+from srcloom.staging import shared
 
 K = dims.FUSED_TOP_K
 VF = dims.VENDORED_FACTOR
@@ -119,7 +121,9 @@ def _merge_sql(source: str, k: int) -> str:
 
 
 def _hits(spark, sf):
-    return retrieve.all_channels(corpus.queries(spark, sf), corpus.units(spark, sf), KS)
+    return shared(
+        spark, sf, "hits", lambda: retrieve.all_channels(corpus.queries(spark, sf), corpus.units(spark, sf), KS)
+    )
 
 
 @query(
@@ -158,9 +162,7 @@ views.register(
 
 
 def _plans(spark, sf):
-    from srcloom.plans import answer
-
-    return answer.plans(corpus.queries(spark, sf))
+    return shared(spark, sf, "planned", lambda: answer.plans(corpus.queries(spark, sf)))
 
 
 @query(
@@ -263,11 +265,6 @@ def _(spark, sf):
     all_queries = corpus.queries(spark, sf).withColumn("expected", expected).filter("expected is not null")
     cases = all_queries.select("query_id", "expected")
     asked = all_queries.drop("expected")
-    from srcloom.plans import answer
-
     planned = answer.plans(asked)
-    units = corpus.units(spark, sf)
-    hits = retrieve.all_channels(asked, units, KS)
-    ranked = fuse.rerank(planned, fuse.retrieve_by_plan(planned, hits), units)
-    out = fuse.evaluate(cases, ranked)
+    out = fuse.evaluate(cases, answer.reranked(planned, asked, corpus.units(spark, sf)))
     return out.withColumns({c: F.array_join(c, "|") for c in ("missing_files", "ranked_files")})

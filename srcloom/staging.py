@@ -26,3 +26,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/srcloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, source: str, name: str, build) -> DataFrame:
+    """Result of ``build()`` for one source folder, staged once per application.
+
+    Queries that start from the same intermediate table read the same copy.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _SHARED:
+        _SHARED[key] = stage(build(), name)
+    return _SHARED[key]
+
+
+def forget_shared() -> None:
+    """Forget shared tables, so that the next query pays for all of its work."""
+    _SHARED.clear()

@@ -475,3 +475,361 @@ IMPORT_LINES = {
     "swift": r"^import\s[^\n]*",
 }
 CALL = r"([A-Za-z_$][\w$.]*)\s*\("
+
+
+# --- fixed values: briefing sections (section, retrieval hint, kind of fallback) ---------------
+SECTIONS = [
+    (
+        "Product In One Paragraph",
+        "README docs overview purpose product users feature value proposition",
+        "Product In One Paragraph",
+    ),
+    (
+        "Who Uses It And Why",
+        "README docs users customer persona workflow value use case",
+        "Who Uses It And Why",
+    ),
+    (
+        "Codebase Product Map",
+        "app main index package boundary module component route service architecture map",
+        "Codebase Product Map",
+    ),
+    (
+        "Top User Workflows",
+        "workflow lifecycle create upload import process convert share invite access verify authorize view analytics event metric billing limit plan",
+        "Top User Workflows",
+    ),
+    (
+        "Main Systems And Ownership Areas",
+        "architecture subsystem owner module service state manager backend frontend storage api",
+        "Main Systems And Ownership Areas",
+    ),
+    (
+        "Data, Privacy, And Operational Notes",
+        "data flow input editor state buffer render display output save persist disk file storage config environment auth privacy security language server lsp tree-sitter parser grammar integration",
+        "Data, Privacy, And Operational Notes",
+    ),
+    (
+        "Risks Or Open Questions",
+        "risk security privacy persistence error fallback validation configuration dependency operational failure",
+        "Risks Or Open Questions",
+    ),
+    (
+        "Glossary For A Non-Deeply-Technical Reader",
+        "README docs concept terminology glossary domain model workflow component service",
+        "Glossary For A Non-Deeply-Technical Reader",
+    ),
+    (
+        "Who It's For And Why They Buy",
+        "README docs customer buyer user persona value use case audience industry problem job to be done",
+        "Who Uses It And Why",
+    ),
+    (
+        "Capabilities And Differentiators",
+        "feature capability differentiator advantage unique support option configuration integration mode",
+        "Codebase Product Map",
+    ),
+    (
+        "Integrations And Data Boundaries",
+        "integration api adapter endpoint dependency data boundary storage auth network external service provider import export",
+        "Data, Privacy, And Operational Notes",
+    ),
+    (
+        "Proof Points From The Source",
+        "feature capability performance limit support test example evidence configuration option",
+        "Main Systems And Ownership Areas",
+    ),
+    (
+        "Questions Before You Sell",
+        "risk limitation dependency validation trust security compliance support boundary maturity",
+        "Risks Or Open Questions",
+    ),
+    (
+        "Architecture And Major Systems",
+        "architecture subsystem module service boundary core engine adapter layer pipeline interface",
+        "Main Systems And Ownership Areas",
+    ),
+    (
+        "Core Workflows And Data Flow",
+        "workflow lifecycle data flow input process output state pipeline request response handler dispatch",
+        "Top User Workflows",
+    ),
+    (
+        "Where To Start Reading",
+        "entry main index readme module package core start configuration bootstrap",
+        "Codebase Product Map",
+    ),
+    (
+        "Capabilities, Boundaries, And Assumptions",
+        "feature capability boundary assumption limit option configuration scope support dependency",
+        "Codebase Product Map",
+    ),
+    (
+        "Product Risks, Gaps, And Dependencies",
+        "risk gap dependency limitation missing fallback validation configuration assumption",
+        "Risks Or Open Questions",
+    ),
+    (
+        "High-Leverage Questions",
+        "question decision risk assumption dependency priority workflow boundary",
+        "Risks Or Open Questions",
+    ),
+    (
+        "Adoption And Onboarding Workflows",
+        "onboarding setup install configure getting started workflow adoption first run guide quickstart",
+        "Top User Workflows",
+    ),
+    (
+        "Support Behavior And Failure Modes",
+        "error failure fallback retry timeout edge case state config support log validation recovery",
+        "Data, Privacy, And Operational Notes",
+    ),
+    (
+        "Escalation Questions For The Team",
+        "escalation question risk failure dependency support boundary configuration",
+        "Risks Or Open Questions",
+    ),
+    (
+        "What It Enables And Why It Matters",
+        "README docs purpose value capability outcome impact mission strategy problem",
+        "Product In One Paragraph",
+    ),
+    (
+        "Capabilities And Constraints",
+        "capability constraint limit boundary scale dependency tradeoff support maturity",
+        "Main Systems And Ownership Areas",
+    ),
+    (
+        "Strategic And Operational Risks",
+        "risk security operational scale maintainability dependency compliance failure ownership",
+        "Risks Or Open Questions",
+    ),
+    (
+        "Priority Decisions And Questions",
+        "decision priority risk roadmap tradeoff dependency question investment",
+        "Risks Or Open Questions",
+    ),
+]
+_GENERAL_PLAN = [
+    ["Product In One Paragraph"], ["Who Uses It And Why"], ["Codebase Product Map"], ["Top User Workflows"],
+    ["Main Systems And Ownership Areas", "Data, Privacy, And Operational Notes"],
+    ["Risks Or Open Questions", "Glossary For A Non-Deeply-Technical Reader"],
+]
+_SUPPORT_PLAN = [
+    ["Product In One Paragraph"], ["Who Uses It And Why"], ["Adoption And Onboarding Workflows"],
+    ["Support Behavior And Failure Modes", "Data, Privacy, And Operational Notes"], ["Escalation Questions For The Team"],
+]
+AUDIENCE_PLANS = {
+    "general": _GENERAL_PLAN,
+    "product_manager": [
+        ["Product In One Paragraph"], ["Who Uses It And Why"], ["Top User Workflows"],
+        ["Capabilities, Boundaries, And Assumptions"],
+        ["Product Risks, Gaps, And Dependencies", "High-Leverage Questions"],
+    ],
+    "engineer": [
+        ["Product In One Paragraph"], ["Architecture And Major Systems"], ["Core Workflows And Data Flow"],
+        ["Codebase Product Map"], ["Risks Or Open Questions", "Where To Start Reading"],
+    ],
+    "sales": [
+        ["Product In One Paragraph"], ["Who It's For And Why They Buy"], ["Capabilities And Differentiators"],
+        ["Integrations And Data Boundaries"], ["Proof Points From The Source"], ["Questions Before You Sell"],
+    ],
+    "customer_success": _SUPPORT_PLAN,
+    "support": _SUPPORT_PLAN,
+    "operations": _SUPPORT_PLAN,
+    "executive": [
+        ["Product In One Paragraph"], ["What It Enables And Why It Matters"], ["Capabilities And Constraints"],
+        ["Strategic And Operational Risks"], ["Priority Decisions And Questions"],
+    ],
+}
+SECTION_BUCKETS = {
+    "Product In One Paragraph": ["overview_docs", "stack_config", "operations_config", "data_model", "routes_pages"],
+    "Who Uses It And Why": [
+        "overview_docs", "operations_config", "data_model", "routes_pages", "billing_limits", "analytics_tracking",
+    ],
+    "Codebase Product Map": [
+        "operations_config", "data_model", "routes_pages", "api_handlers", "auth_security", "storage_files",
+        "analytics_tracking", "billing_limits", "enterprise_features", "workflow_jobs", "ai_features",
+    ],
+    "Top User Workflows": [
+        "operations_config", "routes_pages", "api_handlers", "data_model", "storage_files", "analytics_tracking",
+        "billing_limits", "workflow_jobs", "ai_features",
+    ],
+    "Main Systems And Ownership Areas": [
+        "auth_security", "routes_pages", "api_handlers", "data_model", "storage_files", "operations_config",
+        "billing_limits", "enterprise_features",
+    ],
+    "Data, Privacy, And Operational Notes": [
+        "data_model", "auth_security", "analytics_tracking", "storage_files", "operations_config", "workflow_jobs",
+        "ai_features",
+    ],
+    "Risks Or Open Questions": [
+        "auth_security", "api_handlers", "routes_pages", "storage_files", "analytics_tracking", "billing_limits",
+        "enterprise_features", "workflow_jobs", "ai_features",
+    ],
+    "Glossary For A Non-Deeply-Technical Reader": ["data_model", "overview_docs", "routes_pages", "api_handlers"],
+}
+BUCKET_BUDGETS = {
+    "overview_docs": 2, "stack_config": 2, "data_model": 5, "routes_pages": 4, "api_handlers": 6, "auth_security": 3,
+    "storage_files": 3, "analytics_tracking": 2, "billing_limits": 2, "enterprise_features": 3, "workflow_jobs": 2,
+    "ai_features": 2, "operations_config": 2,
+}
+GROUNDING_BUCKETS = ["routes_pages", "api_handlers", "data_model", "operations_config", "storage_files", "workflow_jobs"]
+PRODUCT_SECTION = r"product|who uses|map|workflow|glossary"
+DEEP_DIRECTORY_ROOTS = ["app", "pages", "routes", "controllers", "handlers", "views", "screens"]
+
+# --- fixed values: path weights of briefing evidence (points, condition) -------------------------
+_CORE_ENTITY = (
+    r"(^|/)(memo|note|post|entry|document|record|item)(?:_service|service)?\.[^.]+$"
+    r"|(^|/)(memo|note|post|entry|document|record|item)\.[^.]+$"
+)
+CORE_ENTITY_FILE = _CORE_ENTITY
+PATH_WEIGHTS = [
+    (120, [[(_P, OVERVIEW_DOC)]]),
+    (90, [[(_P, README_FILE)]]),
+    (85, [[(_P, r"^(package\.json|go\.mod|cargo\.toml|pyproject\.toml|requirements\.txt|pom\.xml|build\.gradle|settings\.gradle|cmakelists\.txt|makefile|[^/]+\.csproj|[^/]+\.sln)$")]]),
+    (80, [[(_P, r"^middleware\.[tj]s$")]]),
+    (75, [[(_P, rf"prisma/schema/|schema\.prisma$|{_STORE_DIRS}|{_STORE_FILES}")]]),
+    (55, [[(_P, r"^(pages|app)/view/|(^|/)(views?|pages|screens|portal)/")]]),
+    (42, [[(_P, r"^(pages|app)/(dashboard|admin|settings|account|reports?)")]]),
+    (56, [[(_P, rf"^(pages|app)/api/|/api/|{_API_DIRS}|{_API_FILES}")]]),
+    (58, [[(_P, r"(^|/)(main|server|application|program|router|routes?)\.[^.]+$")]]),
+    (64, [[(_P, r"(^|/)(cmd|cli|commands?)/")]]),
+    (44, [[(_P, r"(^|/)(build|builder|site|sites?|engine|orchestrat|pipeline)")]]),
+    (35, [[(_P, r"(create|new|upload|import|submit|process|convert|ingest|sync)")]]),
+    (32, [[(_P, r"(memo|note|post|entry|item|record|document|content)")]]),
+    (35, [[(_P, r"(share|link|invite|viewer|public|portal|room|space)")]]),
+    (35, [[(_P, r"(analytics|tracking|event|metric|dashboard|report|visit|view)")]]),
+    (35, [[(_P, r"(auth|session|login|permission|security|token|oauth|middleware)")]]),
+    (35, [[(_P, r"(storage|file|asset|blob|s3|upload|download|import|attachment)")]]),
+    (35, [[(_P, r"(billing|plan|limit|subscription|checkout|invoice|stripe|usage)")]]),
+    (30, [[(_P, r"(workflow|job|queue|trigger|webhook|integration|automation)")]]),
+    (-65, [[(_P, r"/export-[^/]+\.[cm]?[jt]sx?$")]]),
+    (-30, [[(_P, r"/demo\.[tj]sx?$|_demo\.[tj]sx?$")]]),
+    (24, [[(_P, r"(^|/)([^/]+_service|[^/]+service)\.[^.]+$")]]),
+    (-24, [[(_P, r"(^|/)([^/]+_converter|[^/]+converter|[^/]+_helpers?|[^/]+helpers?)\.[^.]+$")]]),
+]
+# (pattern, points in the named buckets, points elsewhere)
+BUCKET_PATH_WEIGHTS = [
+    (_CORE_ENTITY, ["data_model", "api_handlers"], 80, 36),
+    (r"(^|/)([^/]+_share|[^/]+_relation|attachment)\.[^.]+$", ["data_model"], -28, 0),
+    (r"(^|/)(access|token|tokens|api-?key|credentials?)\b", ["auth_security"], 24, 0),
+    (r"(ai|chat|assistant|embedding|vector|model)", ["ai_features"], 35, 8),
+]
+NARROW_DOC_POINTS = (-75, -45)
+
+# --- fixed values: domain entities and product signals ----------------------------------------
+MODEL_ENTITY = r"\bmodel\s+([A-Z][A-Za-z0-9_]*)\s*\{"
+TYPE_ENTITY = r"\b(?:interface|type|class)\s+([A-Z][A-Za-z0-9_]*)\b"
+ENTITY_CATEGORIES = [
+    ("account", r"(user|account|session|team|member|invite)"),
+    ("content", r"(document|note|memo|post|entry|file|asset|content|page)"),
+    ("sharing", r"(link|share|view|viewer|visit|recipient|portal|space|access)"),
+    ("automation", r"(workflow|job|webhook|integration|trigger)"),
+    ("commercial", r"(plan|subscription|invoice|price|billing|limit)"),
+    ("ai", r"(conversation|message|chat|ai|model)"),
+]
+ENTITY_POINTS = [
+    (35, [[(_P, r"prisma/schema/")]]),
+    (25, [[("entity_text", r"(item|record|document|note|memo|post|entry|link|team|user|view|viewer|recipient|portal|space)")]]),
+    (8, [[("entity_text", r"(conversation|message|oauth)")]]),
+    (14, [[("entity_text", r"(billing|subscription|plan|limit|workflow)")]]),
+]
+PRODUCT_TERMS = [
+    "document", "note", "memo", "post", "entry", "link", "item", "record", "view", "analytics", "team", "billing",
+    "storage", "workflow", "ai", "auth", "security", "file", "share", "viewer", "portal", "space",
+]
+
+# --- fixed values: central files, grounding, lifecycle and workflows -----------------------------
+CENTRAL_RULES = [
+    (58, "entry or orchestration path", [[(_P, r"(^|/)(app|main|index|server|router|routes|program|application)\.[cm]?[jt]sx?$|(^|/)(app|main|index|server|router|routes|program|application)\.(py|go|rs|java|cs|c|cpp)$")]]),
+    (34, "project configuration boundary", [[(_P, r"^(package\.json|cargo\.toml|pyproject\.toml|go\.mod|pom\.xml|build\.gradle|vite\.config\.)")]]),
+    (48, "state or data ownership signal", [[("wtext", r"\b(usestate|usereducer|setstate|createstore|configurestore|reducer|state|store|signal|atom)\b")]]),
+    (28, "user action orchestration signal", [[("wtext", r"\b(add|create|update|delete|remove|toggle|filter|submit|save|load|handle[a-z][a-z0-9_]*)\b")]]),
+    (24, "external or request boundary signal", [[("wtext", r"\b(fetch|axios|request|response|route|router|listen|http|api|controller|handler)\b")]]),
+    (24, "persistence or storage signal", [[("wtext", r"\b(localstorage|sessionstorage|indexeddb|sqlite|postgres|mysql|redis|writefile|readfile|fs\.|save|persist)\b")]]),
+    (8, "documentation context", [[(_P, DOC_FILE)]]),
+    (-60, "test file penalty", [[("path", TEST_FILE)]]),
+]
+GROUNDING_SIGNALS = [
+    ("State or data ownership", r"\b(usestate|usereducer|setstate|state|store|reducer|signal|atom)\b", r"(^|/)(app|main|store|state|reducer|model|models?)\."),
+    ("User action flow", r"\b(add|create|update|delete|remove|toggle|filter|submit|handle[a-z][a-z0-9_]*|on[a-z][a-z0-9_]*)\b", r"(^|/)(app|main|index|controller|handler|route|view|screen|component)"),
+    ("External or request boundary", r"\b(fetch|axios|request|response|router|route|listen|http|api|controller|handler)\b", r"(^|/)(api|routes?|controllers?|handlers?|server|client)/"),
+    ("Persistence or storage", r"\b(localstorage|sessionstorage|indexeddb|sqlite|postgres|mysql|redis|writefile|readfile|fs\.|save|persist)\b", r"(^|/)(db|database|storage|persistence|models?|repositories?)/"),
+]
+LIFECYCLE_RULES = [
+    ("upload/create content", 4,
+     ["create", "new", "upload", "import", "ingest", "submit", "process", "convert", "file", "asset", "content"],
+     ["create", "upload", "import", "ingest", "submit", "process", "convert", "store", "save"],
+     ["api_handlers", "routes_pages", "storage_files", "workflow_jobs"]),
+    ("share and access", 6,
+     ["share", "link", "invite", "access", "public", "view", "viewer", "portal", "room", "space"],
+     ["share", "invite", "access", "verify", "authorize", "permission", "password", "email", "token", "public"],
+     ["api_handlers", "routes_pages", "auth_security", "data_model"]),
+    ("track analytics", 4,
+     ["analytics", "tracking", "event", "metric", "report", "dashboard", "visit", "view", "activity"],
+     ["track", "record", "event", "analytics", "metric", "report", "dashboard", "notify", "webhook"],
+     ["analytics_tracking", "api_handlers", "routes_pages", "data_model"]),
+    ("limits and billing", 3,
+     ["billing", "plan", "limit", "subscription", "checkout", "invoice", "usage", "quota", "payment"],
+     ["billing", "plan", "limit", "subscription", "checkout", "invoice", "quota", "usage", "payment"],
+     ["billing_limits", "api_handlers", "data_model", "enterprise_features"]),
+]
+LIFECYCLE_PATHS = [
+    (52, [[(_P, _CORE_ENTITY)]]),
+    (12, [[(_P, r"(^|/)(index|route|handler|controller|service|manager|processor|workflow|pipeline)\.[^.]+$")]]),
+    (24, [[(_P, r"(^|/)([^/]+_service|[^/]+service)\.[^.]+$")]]),
+    (-24, [[(_P, r"(^|/)([^/]+_converter|[^/]+converter|[^/]+_helpers?|[^/]+helpers?)\.[^.]+$")]]),
+    (-35, [[(_P, r"/(demo|test|spec|fixture|mock|export-[^/]+)\.")]]),
+]
+LIFECYCLE_MODEL_PATH = rf"schema\.prisma$|{_STORE_DIRS}"
+# (id, name, terms, path patterns, buckets, entity terms)
+WORKFLOWS = [
+    ("content-lifecycle", "Create, process, and manage core content",
+     ["item", "record", "document", "note", "memo", "post", "entry", "upload", "file", "content", "process", "convert", "asset", "resource"],
+     ["items?", "records?", "documents?", "notes?", "memos?", "posts?", "entries?", "uploads?", "files?", "process", "convert|conversion", "resources?"],
+     ["routes_pages", "api_handlers", "data_model", "storage_files", "workflow_jobs"],
+     ["item", "record", "document", "note", "memo", "post", "entry", "file", "asset", "content", "resource"]),
+    ("sharing-access", "Share with recipients and control access",
+     ["share", "sharing", "link", "access", "verify", "verification", "viewer", "recipient", "portal", "space"],
+     ["links?", "share", "access", "verify|verification", "viewer?", "recipients?", "portal", "space"],
+     ["routes_pages", "api_handlers", "data_model", "auth_security", "enterprise_features"],
+     ["link", "share", "viewer", "view", "recipient", "portal", "space", "access"]),
+    ("viewer-analytics", "Track recipient activity and report analytics",
+     ["view", "visit", "analytics", "tracking", "event", "metric", "activity", "report"],
+     ["views?", "visits?", "analytics", "tracking", "events?", "metrics?", "activity", "reports?"],
+     ["api_handlers", "data_model", "analytics_tracking", "routes_pages"],
+     ["view", "visit", "event", "analytics", "tracking"]),
+    ("team-account-billing", "Manage teams, plans, limits, and billing",
+     ["team", "teams", "billing", "stripe", "limit", "limits", "plan", "subscription", "checkout", "invoice"],
+     ["teams?", "billing", "stripe", "limits?", "plans?", "subscription", "checkout|invoice"],
+     ["data_model", "api_handlers", "billing_limits", "enterprise_features"],
+     ["team", "plan", "subscription", "billing", "limit", "invoice"]),
+    ("auth-security", "Authenticate users and protect sensitive routes",
+     ["auth", "login", "user", "permission", "permissions", "middleware", "security", "token", "oauth", "ssrf"],
+     ["auth", "middleware", "permissions?", "security", "tokens?", "oauth", "ssrf"],
+     ["auth_security", "api_handlers", "data_model", "operations_config"],
+     ["user", "auth", "account", "session", "oauth", "token"]),
+    ("automation-integrations", "Run automations, jobs, and external integrations",
+     ["workflow", "workflows", "job", "jobs", "queue", "trigger", "webhook", "integration", "incoming"],
+     ["workflows?", "jobs?", "queue", "trigger", "webhooks?", "integrations?"],
+     ["workflow_jobs", "api_handlers", "enterprise_features", "operations_config"],
+     ["workflow", "job", "webhook", "integration", "trigger"]),
+    ("ai-assistance", "Use AI assistance where the product supports it",
+     ["ai", "chat", "conversation", "model", "embedding", "openai", "google"],
+     ["(^|/)ai(/|$)", "chat", "conversation", "openai|google", "embedding|model"],
+     ["ai_features", "api_handlers", "data_model"],
+     ["ai", "chat", "conversation", "message", "model"]),
+]
+LAYERS = [
+    ("routes_pages", "route"), ("api_handlers", "api"), ("data_model", "model"), ("storage_files", "storage"),
+    ("analytics_tracking", "analytics"), ("auth_security", "security"), ("billing_limits", "billing"),
+    ("workflow_jobs", "job"), ("ai_features", "ai"),
+]
+# (workflow, signal pattern, points when a signal matches, points when none does)
+PRIORITY_RULES = [
+    ("ai-assistance", r"\b(ai|chat|conversation)\b", 0, -60),
+    ("content-lifecycle", r"\b(document|file|content)\b", 45, 0),
+    ("sharing-access", r"\b(link|share|viewer|portal|space)\b", 45, 0),
+    ("viewer-analytics", r"\b(view|analytics)\b", 35, 0),
+]

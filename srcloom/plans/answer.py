@@ -46,11 +46,12 @@ def reached_files(planned: DataFrame, hits: DataFrame, edges: DataFrame, depth:
     )
     links = edges.select("project_id", F.col("source_file").alias("source"), F.col("target_file").alias("target"))
 
-    def walk(mode):
-        mine = seeds.filter(F.col("traversal") == mode).drop("traversal").distinct()
+    def walk(skipped, mode):
+        mine = seeds.filter(F.col("traversal") != skipped).drop("traversal").distinct()
         return graph.traverse(mine, links, depth, mode, ["project_id"])
 
-    return walk("upstream").unionByName(walk("downstream")).unionByName(walk("bidirectional"))
+    both = walk("downstream", "upstream").unionByName(walk("upstream", "downstream"))
+    return both.groupBy("query_id", "project_id", "node").agg(F.min("depth").alias("depth"))
 
 
 def candidates(planned: DataFrame, hits: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,8 +9,7 @@ from srcloom.checks import sqlkit as q
 from srcloom.checks import views
 from srcloom.functions import tokens
 from srcloom.operators import fuse, graph, pack
-from srcloom.plans import answer
-from srcloom.plans.graph_queries import edges as import_edges
+from srcloom.plans import answer, graph_queries
 from srcloom.plans.retrieval_queries import TEST_DEMOTED, _hits, _plans, total_sql, workflow_sql
 from srcloom.plans.text_queries import redact_sql
 from srcloom.registry import query
@@ -102,6 +101,11 @@ views.register(
 )
 
 
+def import_edges(spark, sf):
+    """The import graph is a stored table; several traversals read it."""
+    return shared(spark, sf, "edges", lambda: graph_queries.edges(spark, sf))
+
+
 def _stage(spark, sf):
     planned = _plans(spark, sf)
     units = corpus.units(spark, sf)

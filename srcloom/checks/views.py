@@ -74,6 +74,13 @@ VIEWS = {
       CAST(o_orderkey % 6 + 1 AS INTEGER) AS start_line,
       CAST(o_orderkey % 6 + 1 + o_orderkey % 5 - CASE WHEN o_orderkey % 11 = 0 THEN 2 ELSE 0 END AS INTEGER) AS end_line
       FROM orders""",
+    "tree_units": """SELECT concat('t', doc_id, '-', no) AS id, project_id, file_path, CASE WHEN no = 0 THEN 'module' WHEN doc_id % 2 = 0 THEN 'function' ELSE 'class' END AS kind,
+      concat(regexp_replace(regexp_extract(file_path, '[^/]*$'), '\\.[^.]*$', ''), doc_id % 5) AS name, array_to_string(list_slice(ls, a, b), chr(10)) AS code, a AS start_line, b AS end_line,
+      starts_with(file_path, 'vendor/') AS is_vendored, CASE WHEN doc_id % 3 = 0 THEN ['import a from "./a"', 'import b'] ELSE CAST([] AS VARCHAR[]) END AS imports,
+      CASE WHEN doc_id % 4 = 1 THEN ['exportOne', 'shareLink'] ELSE CAST([] AS VARCHAR[]) END AS exported_names,
+      CASE WHEN doc_id % 5 = 2 THEN ['save', 'db.load', 'load'] ELSE CAST([] AS VARCHAR[]) END AS called_functions,
+      CASE WHEN doc_id % 6 = 3 THEN 'Keeps the record' END AS docstring FROM (
+      SELECT *, unnest([0, 1]) AS no, unnest([1, 11]) AS a, unnest([least(10, len(ls)), len(ls)]) AS b FROM (SELECT *, string_split(content, chr(10)) AS ls FROM tree_files)) WHERE b >= a""",
     "edge_list": """SELECT DISTINCT l_suppkey AS source_id, l_partkey + 1 AS target_id FROM lineitem
       WHERE l_suppkey <> l_partkey + 1""",
 }

@@ -833,3 +833,26 @@ PRIORITY_RULES = [
     ("sharing-access", r"\b(link|share|viewer|portal|space)\b", 45, 0),
     ("viewer-analytics", r"\b(view|analytics)\b", 35, 0),
 ]
+
+# --- fixed values: briefing retrieval (points, question words, unit words) -----------------
+BRIEFING_RULES = [
+    (12, r"\b(local|offline|save|persist|restore)\b", r"\b(local|storage|save|persist|restore|indexeddb|localstorage)\b"),
+    (14, r"\b(input|keypress|keyboard|command|editor|buffer|document|state)\b",
+     r"\b(input|keypress|keyboard|keydown|keyup|command|editor|buffer|document|state|dispatch|update)\b"),
+    (14, r"\b(render|display|terminal|output|screen|view)\b",
+     r"\b(render|display|terminal|output|screen|view|paint|draw|stdout|write)\b"),
+    (14, r"\b(save|persist|persistence|disk|file|write|storage)\b",
+     r"\b(save|persist|write|disk|file|storage|fs\.|writefile|localstorage|indexeddb|database)\b"),
+    (14, r"\b(language|lsp|tree-sitter|parser|grammar|integration)\b",
+     r"\b(language|lsp|tree-sitter|treesitter|parser|grammar|syntax|diagnostic|completion)\b"),
+    (12, r"\b(collab|collaboration|share|room|privacy|encrypt)\b",
+     r"\b(collab|socket|room|backend|encrypt|decrypt|share|sync)\b"),
+]
+BRIEFING_WORKFLOW_TERMS = [
+    "app", "command", "file", "input", "process", "pipeline", "workflow", "render", "display", "output", "state", "write",
+    "export", "import", "save", "storage", "sync", "backend", "auth", "login", "settings", "onboarding", "parser",
+]
+BRIEFING_PRODUCT_TERMS = [
+    "product", "user", "customer", "workflow", "feature", "offline", "privacy", "security", "risk", "roadmap", "overview",
+]
+CHANGELOG_QUERY = r"\b(changelog|release|version|migration|api change)\b"

@@ -13,7 +13,7 @@ from srcloom.registry import query
 from srcloom.sources import corpus
 from srcloom.staging import shared
 
-A = F.col("answer")
+A = "answer"
 
 views.register(
     "v_ctx",

@@ -12,7 +12,7 @@ from srcloom.plans.ingest_queries import sensitive_sql
 from srcloom.registry import query
 from srcloom.sources import corpus
 
-P = F.col("file_path")
+P = "file_path"
 PL = "lower(file_path)"
 KEY = ["project_id", "file_path"]
 
@@ -293,7 +293,7 @@ def _(spark, sf):
 
 # --- questions -----------------------------------------------------------------------------------
 
-QC = F.col("query")
+QC = "query"
 SQL_PHRASES = f"list_filter(list_transform({q.exall('query', dims.Q_PHRASE, 1)}, lambda x: {q.trim('x')}), lambda x: x <> '')"
 SQL_PATHS = q.exall("query", dims.Q_PATH, 0)
 SQL_CONSTS = q.exall("query", dims.Q_CONSTANT, 0)
@@ -417,7 +417,7 @@ EXPAND_SQL = "concat(query, CASE followup " + " ".join(
 @query("expand_followup_query", f"SELECT query_id, {EXPAND_SQL} AS expanded FROM (SELECT *, {FOLLOWUP_SQL} AS followup FROM queries)")
 def _(spark, sf):
     return corpus.queries(spark, sf).select(
-        "query_id", questions.expand_followup(QC, questions.followup_intent(QC)).alias("expanded")
+        "query_id", questions.expand_followup(F.col(QC), questions.followup_intent(QC)).alias("expanded")
     )
 
 

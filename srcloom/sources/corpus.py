@@ -340,3 +340,30 @@ def edge_list(spark: SparkSession, sf: str) -> DataFrame:
         .filter("source_id <> target_id")
         .distinct()
     )
+
+
+def tree_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Two units per file of the large layout: its head and the rest."""
+    ls = F.split("content", "\n", -1)
+    halves = F.array(
+        F.struct(F.lit(0).alias("no"), F.lit(1).alias("a"), F.least(F.size(ls), F.lit(10)).alias("b")),
+        F.struct(F.lit(1).alias("no"), F.lit(11).alias("a"), F.size(ls).alias("b")),
+    )
+    rows = tree_files(spark, sf).select("*", ls.alias("ls"), F.explode(halves).alias("h")).filter("h.b >= h.a")
+    d, no = F.col("doc_id"), F.col("h.no")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        F.concat(F.lit("t"), d.cast("string"), F.lit("-"), no.cast("string")).alias("id"),
+        "project_id",
+        "file_path",
+        F.when(no == 0, "module").when(d % 2 == 0, "function").otherwise("class").alias("kind"),
+        F.concat(F.regexp_replace(F.substring_index("file_path", "/", -1), r"\.[^.]*\z", ""), (d % 5).cast("string")).alias("name"),
+        F.array_join(F.slice("ls", F.col("h.a"), F.col("h.b") - F.col("h.a") + 1), "\n").alias("code"),
+        F.col("h.a").alias("start_line"),
+        F.col("h.b").alias("end_line"),
+        F.startswith("file_path", F.lit("vendor/")).alias("is_vendored"),
+        F.when(d % 3 == 0, F.array(F.lit('import a from "./a"'), F.lit("import b"))).otherwise(none).alias("imports"),
+        F.when(d % 4 == 1, F.array(F.lit("exportOne"), F.lit("shareLink"))).otherwise(none).alias("exported_names"),
+        F.when(d % 5 == 2, F.array(F.lit("save"), F.lit("db.load"), F.lit("load"))).otherwise(none).alias("called_functions"),
+        F.when(d % 6 == 3, F.lit("Keeps the record")).alias("docstring"),
+    )

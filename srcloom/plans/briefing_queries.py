@@ -173,14 +173,23 @@ def _(spark, sf):
     return _plan(spark, sf)
 
 
+# The small layout lacks whole buckets, so it is the one to look for gaps in.
+_STEPS = ["v_usable", "v_bucket_scores", "v_bucket_seq", "v_selected", "v_overview_units", "v_grounding", "v_evidence_plan"]
+for _name in _STEPS:
+    _text = re.sub(r"\btree_units\b", "units", views.VIEWS[_name])
+    for _other in _STEPS:
+        _text = re.sub(rf"\b{_other}\b", f"{_other}_small", _text)
+    views.register(f"{_name}_small", _text)
+
+
 @query(
     "missing_buckets",
-    f"""SELECT p.project_id, sb.section, sb.bucket FROM (SELECT DISTINCT project_id FROM tree_units) p, {_SB}
-      WHERE NOT EXISTS (SELECT 1 FROM v_evidence_plan e WHERE e.project_id = p.project_id AND e.section = sb.section AND list_contains({buckets_sql('e.file_path')}, sb.bucket))""",
+    f"""SELECT p.project_id, sb.section, sb.bucket FROM (SELECT DISTINCT project_id FROM units) p, {_SB}
+      WHERE NOT EXISTS (SELECT 1 FROM v_evidence_plan_small e WHERE e.project_id = p.project_id AND e.section = sb.section AND list_contains({buckets_sql('e.file_path')}, sb.bucket))""",
 )
 def _(spark, sf):
-    projects = _units(spark, sf).select("project_id").distinct()
-    return br.missing_buckets(_plan(spark, sf), projects)
+    units = corpus.units(spark, sf)
+    return br.missing_buckets(br.evidence_plan(br.bucket_scores(units)), units.select("project_id").distinct())
 
 
 @query(

@@ -21,6 +21,7 @@ MODULES = [
     "briefing_queries",
     "survey_queries",
     "history_queries",
+    "followup_queries",
 ]
 
 

@@ -9,6 +9,8 @@ frequent words cost little, and the code text takes part in one join only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from srcloom import dims, rules, rx
 from srcloom.functions import paths, questions, unittext
 
 _TOKEN = r"[\w$.\-\x{80}-\x{10FFFF}]+|[^\w$.\-\x{80}-\x{10FFFF}\s]+"
-_GRAM = 3
+# Key lengths of the lookup: a string is keyed by the longest one it can fill, which
+# keeps the candidate lists short even where short syllables repeat everywhere.
+_GRAM_SIZES = [1, 2, 3, 5, 8]
 _PATH_KEY = 6
 CHANNELS = ["exact", "overview", "grep", "lexical"]
 
@@ -72,7 +76,10 @@ def occurrences(strings: DataFrame, units: DataFrame) -> DataFrame:
     keyed = (
         anchored.select("anchor")
         .distinct()
-        .withColumn("size", F.least(F.length("anchor"), F.lit(_GRAM)))
+        .withColumn(
+            "size",
+            reduce(lambda acc, n: F.when(F.length("anchor") >= n, n).otherwise(acc), _GRAM_SIZES, F.lit(0)),
+        )
         # The middle of a word tells more than its start or end.
         .withColumn(
             "gram",
@@ -83,7 +90,7 @@ def occurrences(strings: DataFrame, units: DataFrame) -> DataFrame:
     postings = units.select("project_id", "id", F.explode(_tokens(unittext.search_text())).alias("token"))
     vocabulary = postings.select("token").distinct()
     t = F.col("token")
-    all_grams = F.concat(*[_grams(t, n) for n in range(1, _GRAM + 1)])
+    all_grams = F.concat(*[_grams(t, n) for n in _GRAM_SIZES])
     found = (
         vocabulary.select("token", F.explode(all_grams).alias("gram"))
         .join(keyed, "gram")

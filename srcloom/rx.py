@@ -17,7 +17,8 @@ _WORD_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
 
 
 def _spell(pattern: str, *, word_edge: str, end: str) -> str:
-    pattern = pattern.replace(r"[\s\S]", "(?s:.)")
+    # Any character at all: kept apart from the dot, which stops at line ends.
+    pattern = pattern.replace(r"[\s\S]", "\0")
     out: list[str] = []
     in_class = False
     i = 0
@@ -44,6 +45,8 @@ def _spell(pattern: str, *, word_edge: str, end: str) -> str:
             if pattern[i + 1 : i + 2] == "^":
                 out.append("^")
                 i += 1
+        elif c == "\0":
+            out.append("(?s:.)")
         elif c == ".":
             out.append(_DOT)
         elif c == "$":

@@ -32,7 +32,7 @@ def test_redaction(spark):
 def test_intents(spark):
     cases = {
         "Create a codebase onboarding overview for sales": "business_overview",
-        "What depends on the store?": "general_code_question",
+        "What depends on the store?": "dependency_explanation",
         "Explain src/db/store.ts": "file_explanation",
         "Explain the `run` function": "specific_symbol",
     }

@@ -305,6 +305,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(plan, (docs["doc_id"] == F.col("_id")) & (F.md5(text.cast("binary")) == F.col("_md5")), "left")
 
+    names = docs.columns
+
     def cut(batches):
         for batch in common.slices(batches):
             texts = []
@@ -314,10 +316,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     gone = marked(len(words), s).tolist()
                     t = b"".join([w for w, g in zip(words, gone) if not g]).decode()
                 texts.append(t)
-            arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in docs.columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
 
 
 def oracle_sql() -> str:

@@ -10,7 +10,7 @@ one by one and rare words as their range.
 2. Counts of all training words are summed per hash range and sent back to the blocks
    that hold the word; no table of all words is ever in one place.
 3. Training: truncated backpropagation through time in numpy, states carried from window to
-   window. A start on ``warm_tokens`` tokens makes the common ground; then every block
+   window. A start on at most ``WARM_BLOCKS * WARM_TOKENS`` tokens makes the common ground; then every block
    trains its own copy on a fixed share of its training texts, so training grows with the data,
    and the copies are averaged, weighted by tokens, in two steps of a shuffle.
    A training token is shown with its count less one, as it would be seen were it held out,
@@ -45,8 +45,8 @@ RANGES = np.array([0, 1, 2, 3, 5, 9, 17, 33, 65, 129])
 HIDDEN = 32
 BLOCK_TOKENS = 1 << 20
 SHARD_ENTRIES = 500_000
-#: Tokens of the common start, passes over it, and one in how many training texts of a block trains its copy.
-WARM_TOKENS, WARM_PASSES, SHARE = 150_000, 2, 16
+#: One in how many training texts of a block trains its copy; blocks, tokens of each and passes of the common start.
+SHARE, WARM_BLOCKS, WARM_TOKENS, WARM_PASSES = 8, 3, 50_000, 3
 LANES, STEPS = 128, 16
 N_CLASSES = 1 + len(RANGES) + FREQUENT // CLASS_WORDS
 
@@ -54,8 +54,21 @@ N_CLASSES = 1 + len(RANGES) + FREQUENT // CLASS_WORDS
 # ---- blocks and counts -----------------------------------------------------------------------
 
 
+def to_planes(numbers: np.ndarray) -> bytes:
+    """Small numbers byte by byte, all first bytes together, and so on: this compresses well."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def to_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
-    schema = "block string, ids array<long>, held array<boolean>, lengths array<int>, words binary, known binary, counts binary"
+    """Rows of up to ``BLOCK_TOKENS`` tokens: the texts as indices into ``known``, and the share of them for training."""
+    schema = (
+        "block string, ids array<long>, held array<boolean>, lengths array<int>, words binary, "
+        "sample_lengths array<int>, sample binary, known binary, counts binary, by_frequency binary"
+    )
 
     def run(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -64,17 +77,29 @@ def to_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
         def block():
             nonlocal number
             every = np.concatenate(hashes)
-            distinct, index = np.unique(every, return_inverse=True)
+            distinct, index, seen = np.unique(every, return_inverse=True, return_counts=True)
             training = np.repeat(~np.array(held), lengths)
             counts = np.bincount(index[training], minlength=len(distinct)).astype(np.int64)
+            # The texts use the place by frequency, so that most numbers are small.
+            order = np.argsort(-seen, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            index = place[index]
+            chosen = [i for i, out in enumerate(held) if not out and i % SHARE == 0]
+            ends = np.cumsum(lengths)
+            sample = [index[ends[i] - lengths[i] : ends[i]] for i in chosen]
             number += 1
-            row = [f"{part}-{number}", ids, held, lengths, index.astype(np.int32).tobytes(), distinct.tobytes(), counts.tobytes()]
+            row = [
+                f"{part}-{number}", ids, held, lengths, to_planes(index), [lengths[i] for i in chosen],
+                to_planes(np.concatenate([np.zeros(0, np.int64), *sample])), distinct.tobytes(), counts.tobytes(), to_planes(order),
+            ]
             return pa.RecordBatch.from_pylist([dict(zip(names, row))], schema=target)
 
         names = [c.split()[0] for c in schema.split(", ")]
         target = pa.schema(
             [("block", pa.string()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32()))]
-            + [(n, pa.binary()) for n in names[4:]]
+            + [("words", pa.binary()), ("sample_lengths", pa.list_(pa.int32()))]
+            + [(n, pa.binary()) for n in names[6:]]
         )
         for batch in common.slices(batches, 4 << 20):
             found, first = common.word_hashes([t.encode().lower() for t in batch.column("text").to_pylist()])
@@ -302,13 +327,17 @@ def score_texts(net: dict, texts: list[np.ndarray], lanes: int = 256, window: in
     return scores
 
 
-def train(net: dict, texts: list[np.ndarray], passes: int = 1, rate: float = 0.08) -> dict:
-    """Adagrad with truncated backpropagation; states are carried from window to window."""
+def train(net: dict, line: np.ndarray, passes: int = 1, rate: float = 0.08) -> dict:
+    """Adagrad with truncated backpropagation over a line of texts, cut into equal lanes; states are carried along a lane."""
     net = {k: v.copy() for k, v in net.items()}
     squares = {k: np.full_like(v, 0.1) for k, v in net.items()}
-    if not texts:
+    if not len(line):
         return net
-    symbols, _ = lanes_of(texts, LANES)
+    lanes = int(np.clip(len(line) // (40 * STEPS), 8, LANES))
+    height = -(-len(line) // lanes)
+    symbols = np.full(lanes * height, -1, np.int32)
+    symbols[: len(line)] = line
+    symbols = symbols.reshape(lanes, height).T
     for _ in range(passes):
         state = np.zeros((symbols.shape[1], HIDDEN), np.float32)
         before = np.zeros(symbols.shape[1], np.int32)
@@ -371,14 +400,26 @@ def train(net: dict, texts: list[np.ndarray], passes: int = 1, rate: float = 0.0
 # ---- the jobs --------------------------------------------------------------------------------
 
 
-def texts_of(row: dict, lexicon: Lexicon, training: bool):
-    """Symbol sequences of a block's texts (training: those not held out, counts less one), and per word its figures."""
-    words, counts = np.frombuffer(row["known"], np.uint64), np.frombuffer(row["totals"], np.int64)
-    index = np.frombuffer(row["words"], np.int32)
+def figures(row: dict, lexicon: Lexicon, training: bool):
+    """Symbol, training count and log10 share of each of a block's words, by frequency (training: as if held out)."""
+    order = from_planes(row["by_frequency"])
+    words = np.frombuffer(row["known"], np.uint64)[order]
+    counts = np.frombuffer(row["totals"], np.int64)[order]
     symbols, share = lexicon.symbols(words, np.maximum(counts - 1, 0) if training else counts)
-    ends = np.cumsum(row["lengths"])
-    line = symbols[index].astype(np.int32)
-    return [np.append(line[e - n : e], np.int32(0)) for e, n in zip(ends, row["lengths"])], index, counts, share
+    return symbols.astype(np.int32), counts, share
+
+
+def sequences(symbols: np.ndarray, index: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """Symbols of every text, each with its end."""
+    line, ends = symbols[index], np.cumsum(lengths)
+    return [np.append(line[e - n : e], np.int32(0)) for e, n in zip(ends, lengths)]
+
+
+def sample_of(row: dict, lexicon: Lexicon) -> np.ndarray:
+    """The training share of a block as one line of symbols."""
+    symbols, _, _ = figures(row, lexicon, True)
+    parts = sequences(symbols, from_planes(row["sample"]), row["sample_lengths"])
+    return np.concatenate([np.zeros(0, np.int32), *parts])
 
 
 def flatten(net: dict) -> np.ndarray:
@@ -393,45 +434,47 @@ def unflatten(net: dict, flat: np.ndarray) -> dict:
     return out
 
 
-def averaged(ready: DataFrame, net: dict, lexicon: Lexicon, pieces: int = 16) -> dict:
+def averaged(samples: DataFrame, net: dict, lexicon: Lexicon, n_blocks: int, pieces: int = 16) -> dict:
     """One pass of every block's own copy, and their mean."""
 
     def own_copy(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                texts, *_ = texts_of(row, lexicon, True)
-                chosen = [t for i, (t, held) in enumerate(zip(texts, row["held"])) if not held and i % SHARE == 0]
-                weight = float(sum(map(len, chosen)))
-                if weight:
-                    flat = flatten(train(net, chosen, 1, 0.04)).astype(np.float64)
-                    data = [(p * weight).tobytes() for p in np.array_split(flat, pieces)]
+                line = sample_of(row, lexicon)
+                if len(line):
+                    weight = float(len(line))
+                    flat = flatten(train(net, line, 1, 0.04)) * np.float32(weight)
+                    data = [p.tobytes() for p in np.array_split(flat, pieces)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(range(pieces), pa.int32()), pa.array([row["block"]] * pieces), pa.array([weight] * pieces), pa.array(data, pa.binary())],
                         names=["piece", "block", "weight", "data"],
                     )
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf["data"].iloc[0]) // 8)
+        total = np.zeros(len(pdf["data"].iloc[0]) // 4)
         for data in pdf["data"]:
-            total += np.frombuffer(data)
+            total += np.frombuffer(data, np.float32)
+        total = total.astype(np.float32)
         return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "weight": [pdf["weight"].sum()], "data": [total.tobytes()]})
 
     schema = "piece int, weight double, data binary"
-    copies = ready.mapInArrow(own_copy, "piece int, block string, weight double, data binary")
-    # First within 16 groups of blocks, then over the groups.
-    first = copies.groupBy("piece", F.pmod(F.xxhash64("block"), F.lit(16)).alias("group")).applyInPandas(add, schema)
+    copies = samples.mapInArrow(own_copy, "piece int, block string, weight double, data binary")
+    # First within groups of about 64 blocks, then over the groups.
+    group = F.pmod(F.xxhash64("block"), F.lit(1 + n_blocks // 64))
+    first = copies.groupBy("piece", group.alias("group")).applyInPandas(add, schema)
     rows = sorted(first.groupBy("piece").applyInPandas(add, schema).collect(), key=lambda r: r["piece"])
     if not rows:
         return net
-    return unflatten(net, np.concatenate([np.frombuffer(r["data"]) / r["weight"] for r in rows]))
+    return unflatten(net, np.concatenate([np.frombuffer(r["data"], np.float32) / r["weight"] for r in rows]))
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """Base and network log10 likelihood of every whole text."""
     blocks = common.stage(to_blocks(docs, held_out), "blocks")
     counted = common.stage(count_words(blocks), "counts")
-    n_train = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    if not blocks.head(1):
+    facts = blocks.agg(F.count("*").alias("n"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("training")).first()
+    n_blocks, n_train = facts["n"], facts["training"] or 0
+    if not n_blocks:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     lexicon = Lexicon(counted, n_train)
 
@@ -442,36 +485,32 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     totals = counted.where("kind = 'block'").groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("parts"))
     totals = totals.mapInArrow(together, "block string, totals binary")
-    ready = blocks.drop("counts").join(totals, "block", "left")
-    ready = common.stage(ready.withColumn("totals", F.coalesce("totals", F.lit(b""))), "ready")
+    totals = common.stage(totals, "totals")
+    with_totals = lambda *columns: blocks.select("block", "known", "by_frequency", *columns).join(totals, "block")
+    samples = with_totals("sample_lengths", "sample")
 
     net = fresh(lexicon)
 
-    def warm_texts(batches):
+    def lines(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                texts, *_ = texts_of(row, lexicon, True)
-                chosen, size = [], 0
-                for text, held in zip(texts, row["held"]):
-                    if not held and size < WARM_TOKENS // 8:
-                        chosen.append(text)
-                        size += len(text)
-                if chosen:
-                    line = np.concatenate(chosen)[: WARM_TOKENS // 8].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([line.tobytes()], pa.binary())], names=["block", "line"])
-
-    # A bounded start: pieces of at most eight blocks, picked by the hash of their names.
-    some = ready.orderBy(F.xxhash64("block"), "block").limit(8).mapInArrow(warm_texts, "block string, line binary")
-    lines = [np.frombuffer(bytes(r["line"]), np.int32) for r in sorted(some.collect(), key=lambda r: r["block"])]
-    warm = [t for line in lines for t in np.split(line, np.flatnonzero(line == 0)[:-1] + 1) if len(t)]
-    net = train(net, warm, WARM_PASSES)
-    net = averaged(ready, net, lexicon)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]]), pa.array([sample_of(row, lexicon)[:WARM_TOKENS].tobytes()], pa.binary())], names=["block", "line"]
+                )
+
+    # A bounded start: up to WARM_TOKENS of each of a few blocks, picked by the hash of their names.
+    some = blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(WARM_BLOCKS)
+    some = samples.join(some, "block", "left_semi").mapInArrow(lines, "block string, line binary").collect()
+    start = [np.frombuffer(bytes(r["line"]), np.int32) for r in sorted(some, key=lambda r: r["block"])]
+    net = train(net, np.concatenate(start), WARM_PASSES)
+    net = averaged(samples, net, lexicon, n_blocks)
 
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                texts, index, counts, share = texts_of(row, lexicon, False)
-                lengths = np.array(row["lengths"], np.int64)
+                symbols, counts, share = figures(row, lexicon, False)
+                index, lengths = from_planes(row["words"]), np.array(row["lengths"], np.int64)
+                texts = sequences(symbols, index, row["lengths"])
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 per_text = lambda values: np.bincount(owner, values[index], len(lengths))  # noqa: B023, E731
                 end_count = np.array([lexicon.ends])
@@ -485,4 +524,4 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    return ready.mapInArrow(score, SCHEMA)
+    return with_totals("ids", "held", "lengths", "words").mapInArrow(score, SCHEMA)

@@ -117,25 +117,30 @@ def groups_of(batches, keys: list[str]):
         yield rows
 
 
-def verify(rows: list[dict], trees: int, depth: int, threshold: float) -> list[tuple[int, int, int]]:
-    """(node, least linked node, linked documents) of a pair of blocks, or of one block with itself."""
+def first_meetings(rows: list[dict], trees: int, depth: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of places in ``rows``) of the two blocks that share a prefix in this tree and in no earlier one."""
     tree, left, right = rows[0]["tree"], rows[0]["left"], rows[0]["right"]
-    sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-    sizes = np.array([len(s) for s in sets])
     sigs = np.stack([np.frombuffer(r["signature"], np.uint32) for r in rows]).reshape(len(rows), trees, depth)
-    block = np.array([r["block"] for r in rows])
-    nodes, copies = np.array([r["node"] for r in rows]), np.array([r["copies"] for r in rows])
+    block, sizes = np.array([r["block"] for r in rows]), np.array([r["size"] for r in rows])
     a_side, b_side = np.flatnonzero(block == left), np.flatnonzero(block == right)
     met = np.zeros((len(a_side), len(b_side)), bool)
     for t in range(tree):
         met |= (sigs[a_side, t][:, None] == sigs[b_side, t][None]).all(2)
     # Sizes alone rule out pairs far apart.
-    small = np.minimum(sizes[a_side][:, None], sizes[b_side][None])
-    wanted = ~met & (small >= threshold * np.maximum(sizes[a_side][:, None], sizes[b_side][None]) - 1e-9)
+    least = np.minimum(sizes[a_side][:, None], sizes[b_side][None])
+    wanted = ~met & (least >= threshold * np.maximum(sizes[a_side][:, None], sizes[b_side][None]) - 1e-9)
     if left == right:
         wanted &= np.tri(len(a_side), k=-1, dtype=bool)
-    pa_, pb = np.nonzero(wanted)
-    pa_, pb = a_side[pa_], b_side[pb]
+    first, second = np.nonzero(wanted)
+    return a_side[first], b_side[second]
+
+
+def verify(rows: list[dict], trees: int, depth: int, threshold: float) -> list[tuple[int, int, int]]:
+    """(node, least linked node, linked documents) of a pair of blocks, or of one block with itself."""
+    sets = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    nodes, copies = np.array([r["node"] for r in rows]), np.array([r["copies"] for r in rows])
+    pa_, pb = first_meetings(rows, trees, depth, threshold)
     different = nodes[pa_] != nodes[pb]
     pa_, pb = pa_[different], pb[different]
     if not len(pa_):
@@ -182,7 +187,7 @@ def near_duplicates(
     nodes = (
         sketched.where(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"))
     )
     nodes = common.stage(nodes, "nodes")
     paths = prefixes(nodes, trees, depth)
@@ -192,18 +197,19 @@ def near_duplicates(
     # The full sets of the nodes that met another, from their texts.
     met = members.select("node").distinct().join(nodes, "node")
 
+    names = ["node", "copies", "size", "signature"]
+
     def full_sets(batches):
         for batch in common.slices(batches, 8 << 20):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == i for s, i in zip(sets, batch.column("set_id").to_pylist())]
             out = pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("copies"), batch.column("signature"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["node", "copies", "signature", "grams"],
+                [*(batch.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "grams"]
             )
             yield out.filter(pa.array(same))
 
-    sets = texts.join(met, F.col("doc_id") == F.col("node")).select("node", "copies", "signature", "set_id", "text")
-    sets = sets.mapInArrow(full_sets, "node long, copies long, signature binary, grams binary")
+    sets = texts.join(met, F.col("doc_id") == F.col("node")).select(*names, "set_id", "text")
+    sets = sets.mapInArrow(full_sets, "node long, copies long, size int, signature binary, grams binary")
     sets = common.stage(sets.dropDuplicates(["node"]), "sets")
 
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -215,7 +221,22 @@ def near_duplicates(
         .select("bucket", "tree", "node", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     )
     keys = ["bucket", "left", "right"]
-    meetings = spread.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    # A pair may meet in many trees, but its sets are needed only where it meets first: signatures alone tell who.
+    sketches = sets.select("node", "size", "signature")
+    place = ["bucket", "tree", "node", "block", "left", "right"]
+
+    def who(batches):
+        for rows in groups_of(batches, keys):
+            if len(rows) > 1:
+                chosen = np.unique(np.concatenate(first_meetings(rows, trees, depth, threshold)))
+                if len(chosen):
+                    columns = [[rows[i][c] for i in chosen] for c in place]
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=place)
+
+    gathered = spread.join(sketches, "node").repartition(*keys).sortWithinPartitions(*keys)
+    needed = gathered.mapInArrow(who, "bucket long, tree int, node long, block int, left int, right int")
+    meetings = needed.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches):
         for rows in groups_of(batches, keys):

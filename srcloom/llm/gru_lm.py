@@ -45,8 +45,8 @@ RANGES = np.array([0, 1, 2, 3, 5, 9, 17, 33, 65, 129])
 HIDDEN = 32
 BLOCK_TOKENS = 1 << 20
 SHARD_ENTRIES = 500_000
-#: One in how many training texts of a block trains its copy; blocks, tokens of each and passes of the common start.
-SHARE, WARM_BLOCKS, WARM_TOKENS, WARM_PASSES = 8, 3, 50_000, 3
+#: One in how many training texts of a block trains its copy; blocks, tokens of each and updates of the common start.
+SHARE, WARM_BLOCKS, WARM_TOKENS, WARM_UPDATES = 8, 3, 50_000, 240
 LANES, STEPS = 128, 16
 N_CLASSES = 1 + len(RANGES) + FREQUENT // CLASS_WORDS
 
@@ -327,8 +327,11 @@ def score_texts(net: dict, texts: list[np.ndarray], lanes: int = 256, window: in
     return scores
 
 
-def train(net: dict, line: np.ndarray, passes: int = 1, rate: float = 0.08) -> dict:
-    """Adagrad with truncated backpropagation over a line of texts, cut into equal lanes; states are carried along a lane."""
+def train(net: dict, line: np.ndarray, updates: int = 1, rate: float = 0.08) -> dict:
+    """Adagrad with truncated backpropagation over a line of texts, cut into equal lanes; states are carried along a lane.
+
+    The line is passed as often as ``updates`` asks, once at least.
+    """
     net = {k: v.copy() for k, v in net.items()}
     squares = {k: np.full_like(v, 0.1) for k, v in net.items()}
     if not len(line):
@@ -338,7 +341,7 @@ def train(net: dict, line: np.ndarray, passes: int = 1, rate: float = 0.08) -> d
     symbols = np.full(lanes * height, -1, np.int32)
     symbols[: len(line)] = line
     symbols = symbols.reshape(lanes, height).T
-    for _ in range(passes):
+    for _ in range(-(-updates // -(-height // STEPS))):
         state = np.zeros((symbols.shape[1], HIDDEN), np.float32)
         before = np.zeros(symbols.shape[1], np.int32)
         for start in range(0, len(symbols), STEPS):
@@ -502,7 +505,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     some = blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(WARM_BLOCKS)
     some = samples.join(some, "block", "left_semi").mapInArrow(lines, "block string, line binary").collect()
     start = [np.frombuffer(bytes(r["line"]), np.int32) for r in sorted(some, key=lambda r: r["block"])]
-    net = train(net, np.concatenate(start), WARM_PASSES)
+    net = train(net, np.concatenate(start), WARM_UPDATES)
     net = averaged(samples, net, lexicon, n_blocks)
 
     def score(batches):

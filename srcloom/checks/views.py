@@ -48,14 +48,14 @@ VIEWS = {
     "queries": f"""SELECT concat('g', project_id, '-', k) AS query_id, project_id, {arr(c.GOLDEN_QUESTIONS)}[k] AS query
       FROM (SELECT DISTINCT CAST(floor(doc_id / {_N}) AS BIGINT) AS project_id FROM documents),
         range(1, {len(c.GOLDEN_QUESTIONS) + 1}) g(k)
-      UNION ALL SELECT concat('c', conv_id, '-', turn), conv_id % 17, text FROM conversations WHERE role = 'user'""",
-    "answers": f"""SELECT conv_id * 100 + turn AS answer_id, conv_id % 17 AS project_id,
+      UNION ALL SELECT concat('c', conv_id, '-', turn), (conv_id // 12)::BIGINT, text FROM conversations WHERE role = 'user'""",
+    "answers": f"""SELECT conv_id * 100 + turn AS answer_id, (conv_id // 12)::BIGINT AS project_id,
       concat('### Product In One Paragraph', chr(10), 'The stage loads settings and opens the store before it writes any record',
         tail, chr(10), chr(10), '### Top User Workflows', chr(10),
         '3. **Flow**: The team shares private access tokens and collects analytics data', tail, chr(10), chr(10),
         '#### Empty', chr(10), chr(10), '### Risks Or Open Questions', chr(10), '- ', text) AS answer
       FROM (SELECT *, {arr(c.ANSWER_TAILS)}[(conv_id + turn) % {_A} + 1] AS tail FROM conversations WHERE role = 'assistant')""",
-    "sessions": """SELECT event_id AS session_id, user_id % 20 AS project_id, event_type AS audience,
+    "sessions": """SELECT event_id AS session_id, (user_id // 12)::BIGINT AS project_id, event_type AS audience,
       CASE WHEN event_id % 7 = 0 THEN '   ' ELSE props END AS brief, event_type = 'error' AS generation_truncated,
       ts AS created_at, ts AS updated_at,
       CASE event_id % 5 WHEN 0 THEN '["src/index.ts", "README.md"]' WHEN 1 THEN '["src/index.ts", 7]'

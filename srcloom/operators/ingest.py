@@ -45,17 +45,23 @@ def scan(files: DataFrame) -> DataFrame:
     return files.filter(is_indexable(F.col("file_path")))
 
 
-def cap_files(files: DataFrame, max_files: int = dims.MAX_FILES) -> DataFrame:
-    """First ``max_files`` files of a project in path order.
+NO_LIMIT = 2**62
 
-    The rank limit is pushed below the shuffle, so a huge project ships at most
-    ``max_files`` rows per task. Pass only the columns that are needed later.
+
+def cap_files(files: DataFrame, max_files: int = NO_LIMIT) -> DataFrame:
+    """Every file with its rank in path order, the running size, and whether it lies beyond ``max_files``.
+
+    Pass only the columns that are needed later.
     """
     w = Window.partitionBy("project_id").orderBy("file_path")
-    return files.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_files)
+    return files.select(
+        "*",
+        F.row_number().over(w).alias("rank"),
+        F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("running_bytes"),
+    ).withColumn("over_file_limit", F.col("rank") > max_files)
 
 
-def limit_flags(files: DataFrame, max_files: int = dims.MAX_FILES) -> DataFrame:
+def limit_flags(files: DataFrame, max_files: int = NO_LIMIT) -> DataFrame:
     """Per project: was the file limit or the depth limit reached?"""
     p = F.col("file_path")
     too_deep = (paths.depth(p) > dims.MAX_DEPTH) & _no_excluded_dir(p, dims.MAX_DEPTH + 1)
@@ -66,13 +72,13 @@ def limit_flags(files: DataFrame, max_files: int = dims.MAX_FILES) -> DataFrame:
 
 
 def apply_byte_budget(
-    capped: DataFrame, max_file_bytes: int = dims.MAX_FILE_BYTES, max_total_bytes: int = dims.MAX_TOTAL_BYTES
+    capped: DataFrame, max_file_bytes: int = NO_LIMIT, max_total_bytes: int = NO_LIMIT
 ) -> DataFrame:
-    """Mark files that are too large or no longer fit the byte budget.
+    """Mark files that lie beyond the file limit, are too large or no longer fit the byte budget.
 
     A file that overflows is skipped, a later and smaller one may still fit, so the
-    decision is a fold in path order. The fold sees only sizes, at most
-    ``MAX_FILES`` per project because the input went through :func:`cap_files`.
+    decision is a fold in path order. The fold sees only sizes of the files within the
+    limit that :func:`cap_files` was given; the others keep their row.
     """
     state = "struct<total:bigint,reasons:array<string>>"
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<string>").alias("reasons"))
@@ -89,24 +95,26 @@ def apply_byte_budget(
         ).cast(state)
 
     ordered = F.array_sort(F.collect_list(F.struct("file_path", "bytes")))
-    folded = capped.groupBy("project_id").agg(ordered.alias("fs")).select(
+    folded = capped.filter("not over_file_limit").groupBy("project_id").agg(ordered.alias("fs")).select(
         "project_id",
         F.explode(F.arrays_zip("fs", F.aggregate("fs", start.cast(state), step)["reasons"].alias("reasons"))).alias("z"),
     )
-    return folded.select(
+    within = folded.select(
         "project_id",
         F.col("z.fs.file_path").alias("file_path"),
         F.col("z.fs.bytes").alias("bytes"),
         F.nullif(F.col("z.reasons"), F.lit("")).alias("skip_reason"),
     )
+    beyond = capped.filter("over_file_limit").select("project_id", "file_path", "bytes", F.lit("file_limit").alias("skip_reason"))
+    return within.unionByName(beyond)
 
 
 def index_warnings(
     flags: DataFrame,
     budgeted: DataFrame,
-    max_files: int = dims.MAX_FILES,
-    max_file_bytes: int = dims.MAX_FILE_BYTES,
-    max_total_bytes: int = dims.MAX_TOTAL_BYTES,
+    max_files: int = NO_LIMIT,
+    max_file_bytes: int = NO_LIMIT,
+    max_total_bytes: int = NO_LIMIT,
 ) -> DataFrame:
     """One row per warning an index run should report."""
     skips = budgeted.groupBy("project_id").agg(

@@ -229,12 +229,12 @@ def drop_hopeless(scored: DataFrame) -> DataFrame:
     """Remove candidates that the greedy walk can never keep.
 
     Among candidates of one question, file, size and evidence class, all behind the
-    first five are hopeless: each of the five is either kept, which fills the file,
-    or rejected, which rejects its equals too. What is left for a walk is then
+    first few are hopeless, where few is the most that one file may give: each of these is
+    either kept, which fills the file, or rejected, which rejects its equals too. What is left for a walk is then
     bounded by the files and sizes, not by the number of units.
     """
     w = Window.partitionBy("query_id", "file_path", "tokens", "exact").orderBy(F.desc("pack_score"), "ord")
-    return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= MAX_PER_FILE).drop("rn")
+    return scored.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.greatest(F.col("max_per_file"), F.lit(MAX_PER_FILE))).drop("rn")
 
 
 def pack(scored: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def _part_matches(queries: DataFrame, units: DataFrame) -> DataFrame:
     return asked.join(parts, ["project_id", "part"]).select("query_id", "project_id", "id", "part_points")
 
 
-def channel_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
+def channel_scores(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """Raw exact, grep and lexical scores of every (question, unit) with evidence."""
     strings = question_strings(queries)
     ev = evidence(occurrences(strings.select("project_id", "s").distinct(), units), units)
@@ -248,7 +248,7 @@ def channel_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
 
     rows = rows.unionByName(other(_part_matches(queries, units), grep=F.col("part_points")))
     rows = rows.unionByName(other(_paths_inside_questions(queries, units), x_inside=F.lit(True)))
-    rows = rows.unionByName(other(_support_leaders(queries, units), x_support=F.lit(True)))
+    rows = rows.unionByName(other(_support_leaders(queries, units, k), x_support=F.lit(True)))
     flags = ["x_path_end", "x_path_in", "x_name_eq", "x_name_in", "x_export", "x_inside"]
     total = rows.groupBy("query_id", "project_id", "id").agg(
         F.sum("grep").alias("grep"), F.sum("lexical").alias("lexical"), *[F.bool_or(f).alias(f) for f in flags]
@@ -266,7 +266,7 @@ def _wants_support(query: Column) -> Column:
     return rx.test(query, dims.GREP_SUPPORT_QUERY, "i")
 
 
-def _support_leaders(queries: DataFrame, units: DataFrame, k: int = 2 * dims.FUSED_TOP_K) -> DataFrame:
+def _support_leaders(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """Best units by support points alone, for questions about configuration and tests.
 
     A unit without any other evidence can only make the top ``k`` when it is among
@@ -339,7 +339,7 @@ def channel_hits(queries: DataFrame, units: DataFrame, channel: str, k: int) ->
     """Top ``k`` units of one channel for every question."""
     if channel == "overview":
         return overview_channel(queries, units, k)
-    scores = channel_scores(queries, units)
+    scores = channel_scores(queries, units, k)
     return _rank(with_channel(scores, unit_facts(units), queries, channel), k)
 
 
@@ -347,7 +347,7 @@ def all_channels(queries: DataFrame, units: DataFrame, ks: dict[str, int]) -> Da
     """Hits of all four channels; the text channels share one scoring pass."""
     facts = unit_facts(units)
     wants = queries.select("query_id", _wants_support(F.col("query")).alias("wants"))
-    scored = channel_scores(queries, units).join(facts, ["project_id", "id"]).join(wants, "query_id")
+    scored = channel_scores(queries, units, max(ks.values())).join(facts, ["project_id", "id"]).join(wants, "query_id")
     per_channel = F.array(
         F.struct(F.lit("exact").alias("channel"), F.col("exact").cast("double").alias("score"), F.lit(ks["exact"]).alias("k")),
         F.struct(

@@ -36,8 +36,9 @@ _INDEXABLE = (
 views.register("v_scanned", f"SELECT project_id, file_path, bytes, content FROM tree_files WHERE {_INDEXABLE}")
 views.register(
     "v_capped",
-    "SELECT * FROM (SELECT project_id, file_path, bytes, row_number() OVER (PARTITION BY project_id ORDER BY file_path)"
-    f" AS rank FROM v_scanned) WHERE rank <= {LIMITS['max_files']}",
+    "SELECT *, rank > " + str(LIMITS["max_files"]) + " AS over_file_limit FROM (SELECT project_id, file_path, bytes,"
+    " row_number() OVER (PARTITION BY project_id ORDER BY file_path) AS rank, (sum(bytes) OVER (PARTITION BY project_id"
+    " ORDER BY file_path ROWS UNBOUNDED PRECEDING))::BIGINT AS running_bytes FROM v_scanned)",
 )
 views.register(
     "v_flags",
@@ -73,8 +74,12 @@ _REC = f"""RECURSIVE fold AS (
   SELECT c.project_id, c.rank, c.file_path, c.bytes, CASE WHEN c.bytes > {LIMITS['max_file_bytes']} THEN 'oversized'
       WHEN f.total + c.bytes > {LIMITS['max_total_bytes']} THEN 'byte_budget' END,
     f.total + CASE WHEN c.bytes > {LIMITS['max_file_bytes']} OR f.total + c.bytes > {LIMITS['max_total_bytes']} THEN 0 ELSE c.bytes END
-  FROM fold f JOIN v_capped c ON c.project_id = f.project_id AND c.rank = f.rank + 1)"""
-views.register("v_budget", f"WITH {_REC} SELECT project_id, file_path, bytes, skip_reason FROM fold")
+  FROM fold f JOIN v_capped c ON c.project_id = f.project_id AND c.rank = f.rank + 1 WHERE NOT c.over_file_limit)"""
+views.register(
+    "v_budget",
+    f"WITH {_REC} SELECT project_id, file_path, bytes, skip_reason FROM fold"
+    " UNION ALL SELECT project_id, file_path, bytes, 'file_limit' FROM v_capped WHERE over_file_limit",
+)
 
 
 def _budgeted(spark, sf):

@@ -37,6 +37,8 @@ TREE_LAYOUT = [
     "src/noext", "middleware.ts", "src/store/reducer.jsx", "lib/helpers/date_helper.rb",
 ]
 
+#: Conversations and users that belong to one project, so that projects grow with them.
+PER_PROJECT = 12
 GOLDEN_QUESTIONS = [
     "Where is LLAMA_SERVER_URL configured and validated?",
     "How does the daily pipeline collect, classify, score, and save candidates?",
@@ -238,7 +240,7 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
     )
     turns = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("query_id"),
-        (F.col("conv_id") % 17).cast("bigint").alias("project_id"),
+        _project("conv_id", PER_PROJECT).alias("project_id"),
         F.col("text").alias("query"),
     )
     return asked.unionByName(turns)
@@ -256,7 +258,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     tail = F.get(F.array(*[F.lit(t) for t in ANSWER_TAILS]), ((F.col("conv_id") + F.col("turn")) % n).cast("int"))
     return table(spark, sf, "conversations").filter(F.col("role") == "assistant").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"),
-        (F.col("conv_id") % 17).cast("bigint").alias("project_id"),
+        _project("conv_id", PER_PROJECT).alias("project_id"),
         F.concat(
             F.lit("### Product In One Paragraph\nThe stage loads settings and opens the store before it writes any record"),
             tail,
@@ -272,7 +274,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf, "events").select(
         e.alias("session_id"),
-        (F.col("user_id") % 20).alias("project_id"),
+        _project("user_id", PER_PROJECT).alias("project_id"),
         F.col("event_type").alias("audience"),
         F.when(e % 7 == 0, F.lit("   ")).otherwise(F.col("props")).alias("brief"),
         (F.col("event_type") == "error").alias("generation_truncated"),

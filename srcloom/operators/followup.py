@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from srcloom import dims, rx
 from srcloom.functions import citing, paths, questions, sections
-from srcloom.operators import fuse
+from srcloom.operators import fuse, pack
 
 # --- fixed values: words that mark sharing and storage code, and sources that distract ---------
 PIN_WORDS = r"\b(collab|share|portal|firebase|socket|room|link|encrypt|storage|local)\b"
@@ -177,3 +177,31 @@ def overview_statement(units: DataFrame) -> DataFrame:
             F.concat(F.lit("["), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("]")).alias("citation"),
         )
     )
+
+
+def followup_budget(max_tokens: int = dims.MAX_CONTEXT_TOKENS) -> int:
+    """Tokens of a follow-up's context: 12 % of the whole, 500 at least and 2,400 at most."""
+    return min(2400, max(500, max_tokens * 12 // 100))
+
+
+def pack_followup(
+    planned: DataFrame, sources: DataFrame, hits: DataFrame, units: DataFrame, max_tokens: int = dims.MAX_CONTEXT_TOKENS
+) -> DataFrame:
+    """Context of a follow-up: units of the session's sources before retrieved ones, two of a file at most.
+
+    ``planned``: plan columns of the expanded questions; ``sources``: (query_id, project_id, unit_id, rank) of
+    the session's own sources; ``hits``: the same columns of the retrieved units.
+    """
+    columns = ["query_id", "project_id", "unit_id", "rank"]
+    listed = sources.select(*columns, F.lit(0).alias("origin")).unionByName(hits.select(*columns, F.lit(1).alias("origin")))
+    once = Window.partitionBy("query_id", "unit_id").orderBy("origin", "rank")
+    listed = listed.withColumn("n", F.row_number().over(once)).filter("n = 1")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("origin", "rank", "unit_id"))
+    listed = listed.withColumn("ord", place).withColumn("all", F.count("*").over(Window.partitionBy("query_id")))
+    standing = F.when(F.col("origin") == 0, 1000.0).otherwise(500.0)
+    weighed = listed.select(
+        "query_id", "project_id", "unit_id", "ord", (F.col("all") - F.col("ord") + 1 + standing).alias("score"), F.col("ord").alias("rank")
+    )
+    limits = planned.withColumn("max_tokens", F.lit(followup_budget(max_tokens))).withColumn("max_per_file", F.lit(2))
+    candidates = weighed.select("query_id", "project_id", "unit_id", "ord")
+    return pack.pack(pack.pack_scores(limits, candidates, weighed.select("query_id", "unit_id", "score", "rank"), units))

@@ -184,3 +184,14 @@ def _(spark, sf):
     units = corpus.units(spark, sf)
     hits = retrieve.all_channels(plain, units, answer.CHANNEL_K)
     return followup.followup_hits(asked, hits, units).withColumn("score", F.round("score", 6))
+
+
+@query("pack_followup")
+def _(spark, sf):
+    asked = shared(spark, sf, "followups", lambda: answer.plans(_asked(spark, sf)))
+    units = corpus.units(spark, sf)
+    hits = retrieve.all_channels(asked.select("query_id", "project_id", "query"), units, answer.CHANNEL_K)
+    sources = followup.pinned_units(asked, units).select("query_id", "project_id", "unit_id", "rank")
+    found = followup.followup_hits(asked, hits, units).withColumnRenamed("ord", "rank")
+    packed = followup.pack_followup(asked, sources, found, units)
+    return packed.select("query_id", "project_id", "unit_id", "file_path", "start_line", "end_line", "tokens", "exact", "slot")

@@ -61,7 +61,7 @@ def _(spark, sf):
 
 # --- traversal ---------------------------------------------------------------------------------
 
-views.register("v_bulk_seeds", "SELECT s_suppkey AS query_id, s_suppkey AS node FROM supplier WHERE s_acctbal > 5000")
+views.register("v_bulk_seeds", "SELECT s_suppkey AS query_id, s_suppkey AS node FROM supplier")
 
 
 def _walk_sql(near: str, far: str, name: str) -> str:
@@ -77,7 +77,7 @@ views.register("v_down", _walk_sql("target_id", "source_id", "downstream"))
 
 
 def _bulk(spark, sf):
-    seeds = corpus.table(spark, sf, "supplier").filter("s_acctbal > 5000").selectExpr(
+    seeds = corpus.table(spark, sf, "supplier").selectExpr(
         "s_suppkey as query_id", "s_suppkey as node"
     )
     return seeds, corpus.edge_list(spark, sf).selectExpr("source_id as source", "target_id as target")

@@ -31,8 +31,8 @@ from srcloom.llm.components import components
 SCHEMA = "doc_id long, class_id long, n_links long, n_copies long"
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.9999
-#: Nodes of one group that are compared in one block.
-BLOCK = 128
+#: A block of a group has about so many nodes and shingles: two blocks and their sets fit a task.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
 _ODD = np.random.default_rng(99).integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -84,7 +84,7 @@ def sketch(docs: DataFrame, n: int, n_hashes: int) -> DataFrame:
 
 
 def prefixes(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(bucket, node): one row per tree."""
+    """(bucket, node, tree, size): one row per tree."""
 
     def run(batches):
         for batch in batches:
@@ -95,11 +95,16 @@ def prefixes(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
                 for k in range(depth):
                     key = common.mix(key * np.uint64(0x5851F42D4C957F2D) + sigs[:, :, k])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids, trees)), pa.array(np.tile(np.arange(trees, dtype=np.int32), len(ids)))],
-                names=["bucket", "node", "tree"],
+                [
+                    pa.array(key.view(np.int64).ravel()),
+                    pa.array(np.repeat(ids, trees)),
+                    pa.array(np.tile(np.arange(trees, dtype=np.int32), len(ids))),
+                    pa.array(np.repeat(batch.column("size").to_numpy(zero_copy_only=False), trees)),
+                ],
+                names=["bucket", "node", "tree", "size"],
             )
 
-    return nodes.select("node", "signature").mapInArrow(run, "bucket long, node long, tree int")
+    return nodes.select("node", "signature", "size").mapInArrow(run, "bucket long, node long, tree int, size int")
 
 
 def groups_of(batches, keys: list[str]):
@@ -191,8 +196,8 @@ def near_duplicates(
     )
     nodes = common.stage(nodes, "nodes")
     paths = prefixes(nodes, trees, depth)
-    crowded = paths.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = common.stage(paths.join(crowded, "bucket"), "members")
+    crowded = paths.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("size").alias("shingles")).where("members > 1")
+    members = common.stage(paths.drop("size").join(crowded, "bucket"), "members")
 
     # The full sets of the nodes that met another, from their texts.
     met = members.select("node").distinct().join(nodes, "node")
@@ -212,7 +217,7 @@ def near_duplicates(
     sets = sets.mapInArrow(full_sets, "node long, copies long, size int, signature binary, grams binary")
     sets = common.stage(sets.dropDuplicates(["node"]), "sets")
 
-    n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    n_blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.least(F.col("members"), F.col("shingles") / BLOCK_SHINGLES))).cast("int")
     block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
     spread = (
         members.withColumn("n_blocks", n_blocks)

@@ -236,7 +236,10 @@ def test_automaton_matches_plain_search():
         assert {j for a, b in automaton.spans(query, 5) for j in range(a, b)} == want
 
 
-def test_jaccard_join(spark, docs, empty):
+@pytest.mark.parametrize("block, shingles", [(jaccard_join.BLOCK, jaccard_join.BLOCK_SHINGLES), (32, 1 << 19), (256, 4000)])
+def test_jaccard_join(spark, docs, empty, monkeypatch, block, shingles):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # also groups of many blocks, cut by nodes or by shingles
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles)
     base = prose(200, 9).split()
     near = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in range(0, 200, 2)]
     rows = ROWS + [(1000 + i, t, None, None, None, None, None) for i, t in enumerate(near)] + [(2000, near[0], None, None, None, None, None)]

@@ -4,7 +4,9 @@ Base identifiers are found in the text as written. Then transducers rewrite disg
 passages: homoglyphs to ASCII, spelled digits to digits, and "at" / "dot" disguises to
 their signs. Each emits, beside every character it writes, the source range it stands
 for, so an identifier found in the rewritten text maps back to code points of the source.
-Only spans that hold a rewritten character and touch no base span of their kind are added.
+Spans that hold a rewritten character are added unless a base span of their kind contains them, so
+the rest of a partly disguised identifier is found too; base and added spans may overlap.
+Runs with fewer than four digit names are rewritten where that completes a number that a detector confirms.
 
 All searches take linear time in the text, however long its runs of digits or letters.
 
@@ -14,6 +16,7 @@ exclusive; an empty table gives an empty table; repeated rows give repeated rows
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -115,7 +118,7 @@ DIGIT_NAMES = {
 _GLYPH = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(GLYPHS)) + "]")
 _NAME = "(?:" + "|".join(DIGIT_NAMES) + ")"
 _BEYOND_LATIN = re.compile("[^\x00-\u02ff]")
-#: At least four digit names or digits in a row, one of them a name; dots, plus and dashes may be spelled too.
+#: Digit names and digits in a row; dots, plus and dashes may be spelled too.
 _SIGN_NAMES = {"dot": ".", "point": ".", "dash": "-", "hyphen": "-", "plus": "+"}
 _RUN_ITEM = re.compile(rf"(?i)\b(?:{_NAME}|{'|'.join(_SIGN_NAMES)})\b|[0-9]+|[.+()-]")
 _RUN_START = re.compile(rf"(?i)\b(?:plus|{_NAME})\b")
@@ -133,7 +136,9 @@ _ADDRESS = re.compile(
 _DOT_RE, _AT_RE = re.compile(_DOT, re.I), re.compile(_AT, re.I)
 _PLAIN_AT = re.compile(r"\x20at\x20", re.I)
 #: Literal signs of a disguise; texts without any are not searched further.
-_NAME_HINTS = [f" {name} " for name in DIGIT_NAMES]
+_NAME_HINTS = [*DIGIT_NAMES, "plus"]
+#: Signs of the numbers that a detector confirms.
+_NUMBER_SIGNS = frozenset("0123456789 .()+-")
 _AT_HINTS = ["[", "(", "{", "<", " dot ", " @ "]
 #: Words that no disguised host begins with.
 _NO_HOST = {"the", "a", "an", "this", "that"}
@@ -170,8 +175,20 @@ def fold_glyphs(tape: Tape) -> Tape:
     return tape.apply([(m.start(), m.end(), chr(GLYPHS[ord(m[0])])) for m in _GLYPH.finditer(tape.text)])
 
 
+def confirmed(window: str, edits: list[tuple[int, int, str]], words: int) -> bool:
+    """Whether rewriting makes an address, card or phone number; one lone word does not lengthen a plain one."""
+    tape, plain = Tape(window).apply(edits), base_spans(window)
+    for kind, spans in base_spans(tape.text).items():
+        for start, end in spans if kind != "email" else []:
+            if b"\1" in tape.changed[start:end]:
+                a, b = tape.starts[start], tape.ends[end - 1]
+                if words > 1 or not any(c < b and a < d for c, d in plain[kind]):
+                    return True
+    return False
+
+
 def spell_out(tape: Tape) -> Tape:
-    """Runs of spelled digits become digits; single digit words are left alone."""
+    """Runs of four digit names become digits, shorter ones where a detector confirms the number."""
     edits, at, text = [], 0, tape.text
     while (begin := _RUN_START.search(text, at)) is not None:
         position, items = begin.start(), []
@@ -179,10 +196,18 @@ def spell_out(tape: Tape) -> Tape:
             items.append(item)
             position = _GAP.match(text, item.end()).end()
         names = sum(i[0].lower() in DIGIT_NAMES for i in items)
-        digits = names + sum(len(i[0]) for i in items if i[0].isdigit())
-        if names >= 4 and digits >= 4:
-            while items[-1][0].lower() in _SIGN_NAMES or items[-1][0] in ".+()-":
+        # A short run may continue plain digits beside it.
+        first = last = begin.start()
+        if names < 4:
+            last = position
+            while first > at and text[first - 1] in _NUMBER_SIGNS:
+                first -= 1
+            while last < len(text) and text[last] in _NUMBER_SIGNS:
+                last += 1
+        if names >= 4 or names + len(_DIGIT.findall(text, first, last)) >= 4:
+            while items and (items[-1][0].lower() in _SIGN_NAMES or items[-1][0] in ".+()-"):
                 items.pop()
+            spelled = names + sum(i[0].lower() in _SIGN_NAMES for i in items)
             written = []
             for k, item in enumerate(items):
                 word = item[0].lower()
@@ -192,7 +217,8 @@ def spell_out(tape: Tape) -> Tape:
                 if stop - item.start() != len(new) or new != item[0]:
                     written.append((item.start(), stop, new))
             # Each character stands for its item alone, without the blank behind it.
-            edits += written
+            if names >= 4 or confirmed(text[first:last], [(a - first, b - first, new) for a, b, new in written], spelled):
+                edits += written
         at = max(items[-1].end() if items else begin.end(), begin.end())
     return tape.apply(edits)
 
@@ -227,8 +253,7 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
         return {k: [] for k in KINDS}
     out = {}
     for kind, spans in base_spans(tape.text).items():
-        own = iter(sorted(base[kind]))
-        near = next(own, None)
+        own = sorted(base[kind])
         out[kind] = []
         for start, end in spans:
             if b"\1" not in tape.changed[start:end]:
@@ -237,9 +262,9 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
             # A blank that was folded into the last character is not part of the span.
             while source[1] > source[0] and text[source[1] - 1] == " ":
                 source = (source[0], source[1] - 1)
-            while near is not None and near[1] <= source[0]:
-                near = next(own, None)
-            if near is None or near[0] >= source[1]:
+            # Base spans of a kind are disjoint: only the last one that begins so early can contain this one.
+            before = bisect.bisect_right(own, (source[0], len(text))) - 1
+            if before < 0 or own[before][1] < source[1]:
                 out[kind].append(source)
     return out
 

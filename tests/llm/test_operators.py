@@ -191,6 +191,32 @@ def test_clean_texts_have_no_added_span(text):
     assert not any(pii.find_spans(text)[1].values())
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base", "whole"),
+    [
+        ("to mаria@x.com now", "email", "ria@x.com", "mаria@x.com"),
+        ("to john[dot]smith@example.com now", "email", "smith@example.com", "john[dot]smith@example.com"),
+        ("to user@mail.example[.]com now", "email", "user@mail.example", "user@mail.example[.]com"),
+        ("to x@example.cоm now", "email", "x@example.c", "x@example.cоm"),
+        ("to b@x.org, mаria@x.com", "email", "b@x.org,ria@x.com", "mаria@x.com"),
+        ("ip 192.168.one.two now", "ip", "", "192.168.one.two"),
+        ("ip 10.0.0.1 10.0.0.one now", "ip", "10.0.0.1", "10.0.0.one"),
+        ("card 4111 1111 1111 111 one now", "card", "", "4111 1111 1111 111 one"),
+        ("call plus 49 30 1234567 now", "phone", "", "plus 49 30 1234567"),
+        ("call +49 30 12345 six seven eight now", "phone", "+49 30 12345", "+49 30 12345 six seven eight"),
+        ("call +1 555 123 4567 one day", "phone", "+1 555 123 4567", ""),
+        ("only one 10.0.0.1 left, 1234 plus .", "ip", "10.0.0.1", ""),
+    ],
+)
+def test_partly_disguised_spans(text, kind, base, whole):
+    plain, added = pii.find_spans(text)
+    assert [text[a:b] for a, b in plain[kind]] == [x.strip() for x in base.split(",") if x]
+    assert [text[a:b] for a, b in added[kind]] == ([whole] if whole else [])
+    if whole:
+        assert whole not in pii.masked(text)
+        assert pii.masked(text).count(f"[{kind.upper()}]") == 1 + (base.count(",") or kind == "ip" and bool(base))
+
+
 def test_personal_data_query(docs, empty):
     rows = pii.find_personal_data(docs).collect()
     assert len(rows) == len(ROWS)

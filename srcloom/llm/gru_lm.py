@@ -11,8 +11,8 @@ one by one and rare words as their range.
    that hold the word; no table of all words is ever in one place.
 3. Training: truncated backpropagation through time in numpy, states carried from window to
    window. A start on at most ``WARM_BLOCKS * WARM_TOKENS`` tokens makes the common ground; then every block
-   trains its own copy on a fixed share of its training texts, so training grows with the data,
-   and the copies are averaged, weighted by tokens, in two steps of a shuffle.
+   trains its own copy on all its training texts, so every training text is learned from whatever the
+   layout, and the copies are averaged, weighted by tokens, in two steps of a shuffle.
    A training token is shown with its count less one, as it would be seen were it held out,
    which also teaches the probability of unknown words.
 4. Scoring: many texts run side by side in lanes, the state carried through whole texts.
@@ -45,8 +45,8 @@ RANGES = np.array([0, 1, 2, 3, 5, 9, 17, 33, 65, 129])
 HIDDEN = 32
 BLOCK_TOKENS = 1 << 20
 SHARD_ENTRIES = 500_000
-#: One in how many training texts of a block trains its copy; blocks, tokens of each and updates of the common start.
-SHARE, WARM_BLOCKS, WARM_TOKENS, WARM_UPDATES = 8, 3, 50_000, 240
+#: Blocks, tokens of each and updates of the common start.
+WARM_BLOCKS, WARM_TOKENS, WARM_UPDATES = 3, 50_000, 240
 LANES, STEPS = 128, 16
 N_CLASSES = 1 + len(RANGES) + FREQUENT // CLASS_WORDS
 
@@ -64,10 +64,10 @@ def from_planes(data: bytes) -> np.ndarray:
 
 
 def to_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Rows of up to ``BLOCK_TOKENS`` tokens: the texts as indices into ``known``, and the share of them for training."""
+    """Rows of up to ``BLOCK_TOKENS`` tokens: the texts as indices into ``known``."""
     schema = (
         "block string, ids array<long>, held array<boolean>, lengths array<int>, words binary, "
-        "sample_lengths array<int>, sample binary, known binary, counts binary, by_frequency binary"
+        "known binary, counts binary, by_frequency binary"
     )
 
     def run(batches):
@@ -85,21 +85,14 @@ def to_blocks(docs: DataFrame, held_out: Column) -> DataFrame:
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
             index = place[index]
-            chosen = [i for i, out in enumerate(held) if not out and i % SHARE == 0]
-            ends = np.cumsum(lengths)
-            sample = [index[ends[i] - lengths[i] : ends[i]] for i in chosen]
             number += 1
-            row = [
-                f"{part}-{number}", ids, held, lengths, to_planes(index), [lengths[i] for i in chosen],
-                to_planes(np.concatenate([np.zeros(0, np.int64), *sample])), distinct.tobytes(), counts.tobytes(), to_planes(order),
-            ]
+            row = [f"{part}-{number}", ids, held, lengths, to_planes(index), distinct.tobytes(), counts.tobytes(), to_planes(order)]
             return pa.RecordBatch.from_pylist([dict(zip(names, row))], schema=target)
 
         names = [c.split()[0] for c in schema.split(", ")]
         target = pa.schema(
             [("block", pa.string()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32()))]
-            + [("words", pa.binary()), ("sample_lengths", pa.list_(pa.int32()))]
-            + [(n, pa.binary()) for n in names[6:]]
+            + [(n, pa.binary()) for n in names[4:]]
         )
         for batch in common.slices(batches):
             found, first = common.word_hashes([t.encode().lower() for t in batch.column("text").to_pylist()])
@@ -393,7 +386,10 @@ def train(net: dict, line: np.ndarray, updates: int = 1, rate: float = 0.08) ->
                 d_inner = np.concatenate([d_keep, d_reset, d_new * reset], 1)
                 grads["inner"] += previous[t].T @ d_inner
                 carried = (d * keep + d_inner @ net["inner"].T) * keeps[t]
-            np.add.at(grads["table"], np.stack(inputs).ravel(), d_inputs.reshape(-1, 3 * HIDDEN))
+            order, flat_inputs = np.argsort(symbols_in := np.stack(inputs).ravel(), kind="stable"), d_inputs.reshape(-1, 3 * HIDDEN)
+            ranked = symbols_in[order]
+            first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+            grads["table"][ranked[first]] = np.add.reduceat(flat_inputs[order], first, axis=0)
             for k, g in grads.items():
                 squares[k] += (g * len(targets) * np.float32(0.05)) ** 2 if k == "table" else g * g
                 net[k] -= rate * g * (len(targets) * np.float32(0.05) if k == "table" else 1) / np.sqrt(squares[k])
@@ -418,11 +414,37 @@ def sequences(symbols: np.ndarray, index: np.ndarray, lengths: list[int]) -> lis
     return [np.append(line[e - n : e], np.int32(0)) for e, n in zip(ends, lengths)]
 
 
-def sample_of(row: dict, lexicon: Lexicon) -> np.ndarray:
-    """The training share of a block as one line of symbols."""
-    symbols, _, _ = figures(row, lexicon, True)
-    parts = sequences(symbols, from_planes(row["sample"]), row["sample_lengths"])
-    return np.concatenate([np.zeros(0, np.int32), *parts])
+def prepared(lexicon: Lexicon, joined: DataFrame) -> DataFrame:
+    """Blocks with the symbols of their words, as training and as scoring see them, and the sums that need no network."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                shown, _, _ = figures(row, lexicon, True)
+                symbols, counts, share = figures(row, lexicon, False)
+                index, lengths = from_planes(row["words"]), np.array(row["lengths"], np.int64)
+                owner = np.repeat(np.arange(len(lengths)), lengths)
+                per_text = lambda values: np.bincount(owner, values[index], len(lengths))  # noqa: B023, E731
+                sums = [per_text(v).tolist() for v in ((counts > 0).astype(float), lexicon.base(counts), share)]
+                line = [row["block"], row["ids"], row["held"], row["lengths"], row["words"], to_planes(shown), to_planes(symbols), *sums]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(line, kinds.values())], names=list(kinds))
+
+    binary, doubles = pa.binary(), pa.list_(pa.float64())
+    kinds = {
+        "block": pa.string(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "lengths": pa.list_(pa.int32()), "words": binary,
+        "shown": binary, "symbols": binary, "known": doubles, "base": doubles, "share": doubles,
+    }
+    return joined.mapInArrow(
+        run,
+        "block string, ids array<long>, held array<boolean>, lengths array<int>, words binary, "
+        "shown binary, symbols binary, known array<double>, base array<double>, share array<double>",
+    )
+
+
+def training_line(row: dict) -> np.ndarray:
+    """All training texts of a block as one line of symbols."""
+    texts = sequences(from_planes(row["shown"]), from_planes(row["words"]), row["lengths"])
+    return np.concatenate([np.zeros(0, np.int32), *(t for t, out in zip(texts, row["held"]) if not out)])
 
 
 def flatten(net: dict) -> np.ndarray:
@@ -437,13 +459,13 @@ def unflatten(net: dict, flat: np.ndarray) -> dict:
     return out
 
 
-def averaged(samples: DataFrame, net: dict, lexicon: Lexicon, n_blocks: int, pieces: int = 16) -> dict:
+def averaged(blocks: DataFrame, net: dict, n_blocks: int, pieces: int = 16) -> dict:
     """One pass of every block's own copy, and their mean."""
 
     def own_copy(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                line = sample_of(row, lexicon)
+                line = training_line(row)
                 if len(line):
                     weight = float(len(line))
                     flat = flatten(train(net, line, 1, 0.04)) * np.float32(weight)
@@ -461,7 +483,7 @@ def averaged(samples: DataFrame, net: dict, lexicon: Lexicon, n_blocks: int, pie
         return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "weight": [pdf["weight"].sum()], "data": [total.tobytes()]})
 
     schema = "piece int, weight double, data binary"
-    copies = samples.mapInArrow(own_copy, "piece int, block string, weight double, data binary")
+    copies = blocks.mapInArrow(own_copy, "piece int, block string, weight double, data binary")
     # First within groups of about 64 blocks, then over the groups.
     group = F.pmod(F.xxhash64("block"), F.lit(1 + n_blocks // 64))
     first = copies.groupBy("piece", group.alias("group")).applyInPandas(add, schema)
@@ -488,9 +510,9 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     totals = counted.where("kind = 'block'").groupBy("block").agg(F.collect_list(F.struct("shard", "data")).alias("parts"))
     totals = totals.mapInArrow(together, "block string, totals binary")
-    totals = common.stage(totals, "totals")
-    with_totals = lambda *columns: blocks.select("block", "known", "by_frequency", *columns).join(totals, "block")
-    samples = with_totals("sample_lengths", "sample")
+    # Joined once and kept: training and scoring read the same rows.
+    ready = common.stage(prepared(lexicon, blocks.drop("counts").join(totals, "block")), "symbols")
+    learned = ready.select("block", "held", "lengths", "words", "shown")
 
     net = fresh(lexicon)
 
@@ -498,33 +520,29 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]]), pa.array([sample_of(row, lexicon)[:WARM_TOKENS].tobytes()], pa.binary())], names=["block", "line"]
+                    [pa.array([row["block"]]), pa.array([training_line(row)[:WARM_TOKENS].tobytes()], pa.binary())], names=["block", "line"]
                 )
 
     # A bounded start: up to WARM_TOKENS of each of a few blocks, picked by the hash of their names.
-    some = blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(WARM_BLOCKS)
-    some = samples.join(some, "block", "left_semi").mapInArrow(lines, "block string, line binary").collect()
+    names = [r["block"] for r in ready.select("block").orderBy(F.xxhash64("block"), "block").limit(WARM_BLOCKS).collect()]
+    some = learned.where(F.col("block").isin(names)).mapInArrow(lines, "block string, line binary").collect()
     start = [np.frombuffer(bytes(r["line"]), np.int32) for r in sorted(some, key=lambda r: r["block"])]
     net = train(net, np.concatenate(start), WARM_UPDATES)
-    net = averaged(samples, net, lexicon, n_blocks)
+    net = averaged(learned, net, n_blocks)
+    ends, tokens, end_score = lexicon.ends, lexicon.tokens, lexicon.base(np.array([lexicon.ends]))[0]
 
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                symbols, counts, share = figures(row, lexicon, False)
-                index, lengths = from_planes(row["words"]), np.array(row["lengths"], np.int64)
-                texts = sequences(symbols, index, row["lengths"])
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                per_text = lambda values: np.bincount(owner, values[index], len(lengths))  # noqa: B023, E731
-                end_count = np.array([lexicon.ends])
-                scores = score_texts(net, texts) / np.log(10) + per_text(share)
+                texts = sequences(from_planes(row["symbols"]), from_planes(row["words"]), row["lengths"])
+                lengths = np.array(row["lengths"], np.int64)
                 out = {
                     "doc_id": row["ids"], "held_out": row["held"], "n_tokens": lengths + 1,
-                    "n_known": per_text((counts > 0).astype(float)).astype(np.int64) + (lexicon.ends > 0),
-                    "train_tokens": np.full(len(lengths), lexicon.tokens), "base_score": per_text(lexicon.base(counts)) + lexicon.base(end_count)[0],
-                    "score": scores,
+                    "n_known": np.array(row["known"]).astype(np.int64) + (ends > 0),
+                    "train_tokens": np.full(len(lengths), tokens), "base_score": np.array(row["base"]) + end_score,
+                    "score": score_texts(net, texts) / np.log(10) + np.array(row["share"]),
                 }
                 kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    return with_totals("ids", "held", "lengths", "words").mapInArrow(score, SCHEMA)
+    return ready.select("ids", "held", "lengths", "words", "symbols", "known", "base", "share").mapInArrow(score, SCHEMA)

@@ -415,6 +415,29 @@ def test_lm_base_is_exact_and_model_is_better(spark, docs, empty):
     assert sum(x.score for x in held) > 0.75 * sum(x.base_score for x in held)
 
 
+def test_every_training_text_trains_the_network(spark):
+    """Held-out texts at every eighth place of a block once left it without any training text."""
+    r = random.Random(6)
+    cycle = {"a": "bc", "b": "cd", "c": "da", "d": "ab"}
+    rows = []
+    for i in range(200):
+        x, line = "a", []
+        for _ in range(60):
+            line.append(x)
+            x = r.choice(cycle[x])
+        rows.append((i, " ".join(line)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    held = [x for x in gru_lm.score_documents(table, F.col("doc_id") % 8 == 0).collect() if x.held_out]
+    assert len(held) == 25
+    assert sum(x.score for x in held) > 0.75 * sum(x.base_score for x in held)
+    lengths = [1 + i % 3 for i in range(20)]
+    row = {"shown": gru_lm.to_planes(np.arange(1, 100)), "words": gru_lm.to_planes(np.arange(sum(lengths))), "lengths": lengths}
+    out = [i % 4 == 0 for i in range(20)]
+    whole = np.split(np.arange(1, 1 + sum(lengths)), np.cumsum(lengths)[:-1])
+    want = [x for text, away in zip(whole, out) if not away for x in [*text, 0]]
+    assert gru_lm.training_line(row | {"held": out}).tolist() == want
+
+
 def test_pipeline_stages(spark, tmp_path, docs, empty):
     path = str(tmp_path)
     schema = "doc_id long, text string, lang string, source string, n_chars long"

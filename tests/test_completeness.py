@@ -57,6 +57,19 @@ def test_survey_selection_rules(spark):
     assert refused[:2] == [("lib/v.js", "vendored or third-party path"), ("gone.ts", "not found in deterministic inventory")]
 
 
+def test_survey_selection_spreads_beyond_the_best_eighty(spark):
+    files = [(f"src/x/f{i:03}.ts", 200 - i) for i in range(90)] + [("other/y/a.ts", 1)]
+    inventory = spark.createDataFrame(
+        [(1, p, False, False, e, 0) for p, e in files],
+        "project_id long, file_path string, documentation boolean, is_vendored boolean, entry_score int, doc_score int",
+    )
+    requests = spark.createDataFrame([(1, "src/x/f050.ts", 1)], "project_id long, file_path string, priority long")
+    seen = spark.createDataFrame([], "project_id long, file_path string")
+    rows = survey.select_files(inventory, requests, seen).filter("outcome = 'selected'").orderBy("pos").collect()
+    want = ["src/x/f050.ts", "src/x/f000.ts", "other/y/a.ts", "src/x/f001.ts", "src/x/f002.ts", "src/x/f003.ts"]
+    assert [r.file_path for r in rows] == want
+
+
 def test_followup_budget():
     assert [followup.followup_budget(n) for n in (1_000, 10_000, 100_000)] == [500, 1200, 2400]
 

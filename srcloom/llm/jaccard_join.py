@@ -1,10 +1,10 @@
-"""Near-duplicate join on word shingles with a MinHash LSH forest.
+"""Near-duplicate join on word shingles with banded MinHash.
 
 A text is the set of its runs of ``n`` words (a shorter text is one run). Texts with equal
-sets are one node. Every node has ``trees`` signatures; each is a path in a prefix trie, which
-as a table is the sorted pair of prefix and node. The prefix starts at its full depth
-and is shortened until a pair at the threshold shares one in at least ``recall`` of cases;
-nodes that share a prefix in any tree meet. Large groups are cut into blocks, and pairs
+sets are one node. Every node has ``trees`` bands of equally many MinHash values, the most at which
+a pair at the threshold shares a band in at least ``recall`` of cases. This depth follows from
+the parameters alone; it is not an LSH forest, whose prefixes the data shorten.
+Nodes that share a band meet. Large groups are cut into blocks, and pairs
 of blocks are spread over tasks; inside them the true similarity is computed from the full
 sets. A pair is counted in the first tree where it meets, so no list of pairs is ever made:
 a group gives each node its number of links and a star of its linked nodes, whose

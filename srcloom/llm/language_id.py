@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.llm import common
@@ -106,21 +106,31 @@ def train(windows: np.ndarray, labels: np.ndarray, n_labels: int, steps: int = 4
     return {"tables": params[:-3], "bias": params[-3], "out": params[-2], "out_bias": params[-1]}
 
 
-def fit(docs: DataFrame, learn_from: Column, docs_per_language: int = 400, windows_per_doc: int = 16) -> dict:
-    """Train on at most ``docs_per_language`` texts of each label, ``windows_per_doc`` evenly spaced windows of each."""
+def sample(docs: DataFrame, learn_from: Column, docs_per_language: int) -> DataFrame:
+    """Up to twice ``docs_per_language`` distinct rows of each label, since texts without a letter go later."""
     labelled = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
-        F.xxhash64(F.col("doc_id").cast("string")).alias("pick"),
+        F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("pick"),
     )
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {"languages": []}
-    # One in 2**63 hash values per document: the share that holds about the wanted number, with a margin.
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("pick").alias("n")).collect()}
+    # One in 2**63 hash values per row: the share that holds about the wanted number, with a margin.
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * docs_per_language / n))).otherwise(share)
-    chosen = labelled.where(F.shiftrightunsigned("pick", 1) < share * float(1 << 63))
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.2 * docs_per_language / max(1, n)))).otherwise(share)
+    order = F.shiftrightunsigned("pick", 1)
+    chosen = labelled.where(order < share * float(1 << 63)).groupBy("lang", "pick").agg(F.min("text").alias("text"))
+    # A hard limit, first within salts of a label, then over them.
+    chosen = chosen.withColumn("salt", F.pmod(F.col("pick"), F.lit(64)))
+    for keys in (["lang", "salt"], ["lang"]):
+        w = Window.partitionBy(*keys).orderBy(order, "pick")
+        chosen = chosen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * docs_per_language)
+    return chosen.select("lang", "text", "pick")
+
+
+def fit(docs: DataFrame, learn_from: Column, docs_per_language: int = 400, windows_per_doc: int = 16) -> dict:
+    """Train on at most ``docs_per_language`` texts of each label, ``windows_per_doc`` evenly spaced windows of each."""
+    chosen = sample(docs, learn_from, docs_per_language)
 
     def cut(batches):
         import pyarrow as pa

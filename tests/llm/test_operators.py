@@ -356,6 +356,14 @@ def test_cutoffs_are_certified_by_the_exact_tail(spark):
     assert sum(not r.kept for r in rows) <= 0.05 * 1500
 
 
+def test_language_sample_is_bounded_and_not_filled_by_repeats(spark):
+    rows = [(None, f"nameless {i}", "aa") for i in range(300)] + [(7, "again", "aa")] * 300 + [(1000 + i, f"named {i}", "aa") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [r.text for r in language_id.sample(table, F.lit(True), 50).collect()]
+    assert len(found) <= 100 and len(set(found)) == len(found)
+    assert min(sum(t.startswith(x) for t in found) for x in ("nameless", "named")) >= 10
+
+
 def test_language(spark, docs, empty):
     r = random.Random(2)
     stems = {"aa": "the and ing tion with that", "bb": "der und sch ung ein mit", "cc": "que les eau ment dans é"}

@@ -54,12 +54,17 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20) -> Itera
             yield batch.slice(start, step)
 
 
-def per_text(function: Callable[[list[str]], dict[str, list]], schema: str) -> Callable:
-    """A ``mapInArrow`` function: ``doc_id`` and the columns that ``function`` makes of the texts."""
+def arrow_schema(schema: str) -> pa.Schema:
+    """Arrow form of a DDL string; needs a session, so call it on the driver."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def per_text(function: Callable[[list[str]], dict[str, list]], schema: str) -> Callable:
+    """A ``mapInArrow`` function: ``doc_id`` and the columns that ``function`` makes of the texts."""
+    target = arrow_schema(schema)
 
     def run(batches):
         for batch in slices(batches):

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from srcloom.llm import (
     bpe,
     bpe_chunks,
+    chat_format,
     gru_lm,
     jaccard_join,
     language_id,
+    lexical_search,
     packing,
     pii,
     quality_rules,
@@ -69,6 +71,15 @@ def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), bpe.tokenizer_path(BYTE_BPE))
 
 
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(conversations))
+
+
 QUERIES = {
     "op1_language_id": language,
     "op2_best_fit_packing": pack,
@@ -80,6 +91,8 @@ QUERIES = {
     "op8_quality_rules": quality,
     "op9_exact_top_k": nearest,
     "op10_bpe_encode_decode": encode_decode,
+    "op12_lexical_search": lexical,
+    "op13_chat_format": chat,
 }
 
 SQL = {
@@ -87,4 +100,6 @@ SQL = {
     "op7_substring_dedup": substring_dedup.oracle_sql(),
     "op8_quality_rules": quality_rules.oracle_sql(),
     "op9_exact_top_k": voronoi_knn.oracle_sql(),
+    "op12_lexical_search": lexical_search.oracle_sql(),
+    "op13_chat_format": chat_format.oracle_sql(),
 }

@@ -17,12 +17,14 @@ from srcloom.llm import (
     pii,
     quality_rules,
     substring_dedup,
+    token_alignment,
     token_counts,
     voronoi_knn,
 )
 from srcloom.llm.common import id_remainder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,11 @@ def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(table(spark, sf_dir, "documents"), bpe.tokenizer_path(BYTE_BPE))
 
 
+def align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = bpe.tokenizer_path(BYTE_BPE), bpe.tokenizer_path(PIECE_BPE)
+    return token_alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
 
@@ -91,6 +98,7 @@ QUERIES = {
     "op8_quality_rules": quality,
     "op9_exact_top_k": nearest,
     "op10_bpe_encode_decode": encode_decode,
+    "op11_token_alignment": align_tokens,
     "op12_lexical_search": lexical,
     "op13_chat_format": chat,
 }

@@ -100,7 +100,7 @@ def test_alignment(spark, docs, monkeypatch):
     wanted = plain_alignment(ROWS)
     assert rows(token_alignment.align(docs, *paths)) == wanted
     # Blocks of a document or two: the counts are still those of the whole corpus.
-    monkeypatch.setattr(token_alignment, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(token_alignment, "BLOCK_CHARS", 200)
     assert rows(token_alignment.align(docs, *paths)) == wanted
     assert token_alignment.align(docs.limit(0), *paths).count() == 0
 

@@ -651,3 +651,71 @@ def select_context(candidates: DataFrame, units: DataFrame, budget: int) -> Data
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields)
     out = placed.groupBy(*group).applyInPandas(_fill_walk(), schema)
     return out.withColumn("slot", F.row_number().over(Window.partitionBy(*group).orderBy("place"))).drop("place", "budget")
+
+
+# --- workflow units of a set of sections ------------------------------------------------------------
+
+
+def section_workflow_units(requests: DataFrame, central: DataFrame, lifecycle: DataFrame, evidence: DataFrame, traces: DataFrame) -> DataFrame:
+    """Planned units of every section set, in order, each unit once.
+
+    ``requests``: (request_id, project_id, sections). The workflow section opens with the life cycle, puts workflows about
+    access and assistance behind the others, and ends with central units of other files; every other set opens with
+    central units. Workflows take part when the names of the sections ask for them.
+    ``central`` and ``lifecycle``: (project_id, id, file_path, pos); ``evidence``: (project_id, workflow, id, file_path, rank).
+    """
+    joined = F.lower(F.array_join("sections", " "))
+    asked = requests.select(
+        "request_id",
+        "project_id",
+        F.array_contains("sections", "Top User Workflows").alias("top"),
+        (rx.test(joined, dims.WORKFLOW_SECTION) | rx.test(joined, dims.PRODUCT_SECTION)).alias("any_workflow"),
+        rx.test(joined, dims.RISK_SECTION).alias("risky"),
+    )
+    buckets = paths.evidence_buckets(F.col(P))
+
+    def touches(wanted):
+        return F.bool_or(F.arrays_overlap(buckets, paths.strings(wanted)))
+
+    # A workflow is secondary beside a life cycle when it touches access or assistance and no main class.
+    kinds = evidence.groupBy("project_id", "workflow").agg(
+        touches(dims.RISK_BUCKETS).alias("at_risk"),
+        (touches(dims.SECONDARY_BUCKETS) & ~touches(dims.PRIMARY_BUCKETS)).alias("aside"),
+    )
+    living = lifecycle.select("project_id").distinct().withColumn("living", F.lit(True))
+    kinds = kinds.join(living, "project_id", "left").withColumn("aside", F.col("aside") & F.coalesce("living", F.lit(False)))
+    flows = (
+        evidence.join(traces.select("project_id", "workflow", F.col("rank").alias("at")), ["project_id", "workflow"])
+        .join(kinds.select("project_id", "workflow", "at_risk", "aside"), ["project_id", "workflow"])
+        .select("project_id", "id", P, "at_risk", "aside", "at", F.col("rank").alias("place"))
+    )
+    aside_files = flows.filter("aside").select("project_id", P).distinct()
+    beside = central.join(aside_files, ["project_id", P], "left_anti")
+    beside = beside.withColumn("n", F.row_number().over(Window.partitionBy("project_id").orderBy("pos"))).filter("n <= 6")
+
+    def piece(tier, *order):
+        places = [*order, *[F.lit(0)] * (3 - len(order))]
+        return F.struct(F.lit(tier).alias("tier"), *[p.cast("long").alias(f"p{i}") for i, p in enumerate(places)])
+
+    pieces = [
+        lifecycle.select("project_id", "id", piece(0, F.col("pos")).alias("at"), F.lit("top").alias("part")),
+        central.filter("pos <= 12").select("project_id", "id", piece(0, F.col("pos")).alias("at"), F.lit("other").alias("part")),
+        flows.select(
+            "project_id", "id", piece(1, F.col("aside").cast("int"), F.col("at"), F.col("place")).alias("at"),
+            F.when(F.col("at_risk"), "flow_at_risk").otherwise("flow").alias("part"),
+        ),
+        beside.select("project_id", "id", piece(2, F.col("pos")).alias("at"), F.lit("top").alias("part")),
+    ]
+    planned = reduce(lambda a, b: a.unionByName(b), pieces)
+    part = F.col("part")
+    fits = (
+        F.when(part == "top", F.col("top"))
+        .when(part == "other", ~F.col("top"))
+        .otherwise(F.col("any_workflow") | (F.col("risky") & (part == "flow_at_risk")))
+    )
+    rows = asked.join(planned, "project_id").filter(fits)
+    # Outside the workflow section the rank alone orders the workflows.
+    at = F.when(F.col("top") | (F.col("at.tier") != 1), F.col("at")).otherwise(F.col("at").withField("p0", F.lit(0).cast("long")))
+    first = rows.groupBy("request_id", "project_id", "id").agg(F.min(at).alias("at"))
+    order = Window.partitionBy("request_id").orderBy("at", "id")
+    return first.select("request_id", "project_id", "id", F.row_number().over(order).alias("pos"))

@@ -156,7 +156,7 @@ def overview_statement(units: DataFrame) -> DataFrame:
         "project_id", "id", "file_path", "start_line", "end_line", F.posexplode(sections.overview_paragraphs(F.col("code"))).alias("pos", "p")
     )
     p = F.col("p")
-    noisy = rx.test(p, sections.META_NOISE, "i")
+    noisy = rx.test(p, dims.META_NOISE, "i")
     descriptive = rx.test(F.substring(p, 1, 140), r"\bis (?:a|an|the|now)\b", "i") & ~noisy
     score = sections.overview_score(p)
     rated = paragraphs.withColumn("score", score).withColumn(

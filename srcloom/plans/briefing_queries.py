@@ -14,6 +14,7 @@ from srcloom.plans.packing_queries import tokens_sql, truncate_sql
 from srcloom.plans.text_queries import buckets_sql
 from srcloom.registry import query
 from srcloom.sources import corpus
+from srcloom.staging import shared
 
 _LP = "lower(file_path)"
 _USABLE = f"(NOT is_vendored AND NOT {q.m(_LP, dims.NOISE_FILE)} AND NOT {q.m('file_path', dims.TEST_FILE)})"
@@ -318,8 +319,9 @@ views.register(
 
 def _workflows(spark, sf):
     units = _units(spark, sf)
-    entities = br.domain_entities(units)
-    scored = br.workflow_scores(units, entities)
+    # Ids and scores only: written once, so that the text is read once for each of the two.
+    entities = shared(spark, sf, "entities", lambda: br.domain_entities(units))
+    scored = shared(spark, sf, "workflow-scores", lambda: br.workflow_scores(units, entities))
     return units, entities, scored, br.workflow_traces(scored, br.product_signals(units, entities))
 
 
@@ -334,19 +336,26 @@ def _(spark, sf):
     return br.workflow_evidence(scored).select("project_id", "workflow", "id", "layer", "score", "rank")
 
 
-@query(
-    "central_evidence",
+views.register(
+    "v_central_evidence",
     f"""SELECT * FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY first_at, id) AS pos FROM (SELECT project_id, id, min((tier, place)) AS first_at FROM (
       SELECT project_id, id, 0 AS tier, rank AS place FROM v_central UNION ALL
       SELECT project_id, id, 1, row_number() OVER (PARTITION BY project_id ORDER BY file_path, start_line, id) FROM v_usable WHERE {q.m('lp', r'^readme\.mdx?$|^package\.json$')} UNION ALL
       SELECT project_id, id, 2, pos FROM v_lifecycle UNION ALL SELECT project_id, id, 3, rank FROM v_entities UNION ALL
       SELECT e.project_id, e.id, 4, t.rank * 1000 + e.rank FROM v_workflow_evidence e JOIN v_traces t USING (project_id, workflow)) GROUP BY ALL)) WHERE pos <= 36""",
 )
-def _(spark, sf):
+
+
+def _central(spark, sf):
     units, entities, scored, traces = _workflows(spark, sf)
     return br.central_evidence(br.central_files(units), units, br.lifecycle_evidence(units), entities, scored, traces)
 
 
+@query("central_evidence", "SELECT * FROM v_central_evidence")
+def _(spark, sf):
+    return _central(spark, sf)
+
+
 # --- sections -------------------------------------------------------------------------------------------------
 
 _ROLES = list(dims.AUDIENCE_PLANS)

@@ -23,14 +23,14 @@ KINDS = {s: k for s, _, k in dims.SECTIONS}
 
 _SEC = f"list_filter(string_split(regexp_replace(concat(chr(10), answer), '\\n(###[ \\t]+)', chr(1) || '\\1', 'g'), chr(1)), lambda c: {q.m('c', r'^###\s+')})"
 _FIRST = q.trim("regexp_split_to_array(trimmed, chr(10) || '{2,}')[1]")
-_WEAK = f"""CASE WHEN fp = '' THEN true WHEN {q.m('fp', sections.META_NOISE, 'i')} THEN true WHEN {q.m('fp', sections.CITED)} THEN false WHEN {q.m('fp', sections.DEFINITION_OPENER)} THEN false
-  WHEN {q.m('fp', ':$')} AND length(fp) < 160 THEN true WHEN {q.m('fp', sections.WEAK_OPENER, 'i')} AND length(fp) < 140 THEN true ELSE length(fp) < 80 AND NOT {q.m('fp', '[.!?]$')} END"""
+_WEAK = f"""CASE WHEN fp = '' THEN true WHEN {q.m('fp', dims.META_NOISE, 'i')} THEN true WHEN {q.m('fp', dims.CITED)} THEN false WHEN {q.m('fp', dims.DEFINITION_OPENER)} THEN false
+  WHEN {q.m('fp', ':$')} AND length(fp) < 160 THEN true WHEN {q.m('fp', dims.WEAK_OPENER, 'i')} AND length(fp) < 140 THEN true ELSE length(fp) < 80 AND NOT {q.m('fp', '[.!?]$')} END"""
 
 
 @query(
     "briefing_sections",
     f"""SELECT answer_id, title, body, trimmed = '' OR {q.m('trimmed', r'^not found in provided context\.?$', 'i')} OR (kind = 'Product In One Paragraph' AND {_WEAK})
-        OR (NOT list_contains({q.arr(cit.SYNTHESIS_SECTIONS)}, title) AND NOT {q.m('trimmed', sections.CITED)}) AS needs_backfill FROM (
+        OR (NOT list_contains({q.arr(cit.SYNTHESIS_SECTIONS)}, title) AND NOT {q.m('trimmed', dims.CITED)}) AS needs_backfill FROM (
       SELECT *, {q.lit_map('title', KINDS, 'title')} AS kind, {_FIRST} AS fp FROM (SELECT *, {q.trim('body')} AS trimmed FROM (
         SELECT answer_id, {q.trim("regexp_extract(s, '^###[ \\t]+([^\\n]*)', 1)")} AS title, regexp_replace(s, '^[^\\n]*\\n?', '') AS body FROM (SELECT answer_id, unnest({_SEC}) AS s FROM answers))))""",
 )
@@ -46,7 +46,7 @@ def _(spark, sf):
 
 
 _T = q.trim("l")
-_WHOLE = f"({_T} <> '' AND NOT {q.m(_T, r'^[-*]\s*$')} AND NOT {q.m(_T, r'\[[^\]]*$')} AND {q.m(_T, sections.COMPLETE_LINE)})"
+_WHOLE = f"({_T} <> '' AND NOT {q.m(_T, r'^[-*]\s*$')} AND NOT {q.m(_T, r'\[[^\]]*$')} AND {q.m(_T, dims.COMPLETE_LINE)})"
 
 
 @query(
@@ -64,15 +64,15 @@ views.register(
 )
 views.register(
     "v_tidy_kept",
-    f"""SELECT answer_id, i, line, t, {q.m('line', sections.NUMBERED)} AS numbered, t = '' OR {q.m('line', r'^\s+\S')} AS neutral FROM (
+    f"""SELECT answer_id, i, line, t, {q.m('line', dims.NUMBERED)} AS numbered, t = '' OR {q.m('line', r'^\s+\S')} AS neutral FROM (
       SELECT *, first_value(CASE WHEN t <> '' THEN t END IGNORE NULLS) OVER (PARTITION BY answer_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM v_tidy_lines)
-      WHERE NOT {q.m('t', sections.DROPPABLE_HEADING)} OR (nxt IS NOT NULL AND NOT {q.m('nxt', sections.ANY_HEADING)})""",
+      WHERE NOT {q.m('t', dims.DROPPABLE_HEADING)} OR (nxt IS NOT NULL AND NOT {q.m('nxt', dims.ANY_HEADING)})""",
 )
 
 
 @query(
     "tidy_structure",
-    f"""SELECT answer_id, {squeeze_sql("string_agg(CASE WHEN numbered THEN concat(" + q.ex('line', sections.NUMBERED, 1) + ", n, '.', " + q.ex('line', sections.NUMBERED, 3) + ", " + q.ex('line', sections.NUMBERED, 4) + ") ELSE line END, chr(10) ORDER BY i)")} AS text FROM (
+    f"""SELECT answer_id, {squeeze_sql("string_agg(CASE WHEN numbered THEN concat(" + q.ex('line', dims.NUMBERED, 1) + ", n, '.', " + q.ex('line', dims.NUMBERED, 3) + ", " + q.ex('line', dims.NUMBERED, 4) + ") ELSE line END, chr(10) ORDER BY i)")} AS text FROM (
       SELECT *, count(*) FILTER (WHERE numbered) OVER (PARTITION BY answer_id, island ORDER BY i) AS n FROM (
         SELECT *, count(*) FILTER (WHERE NOT numbered AND NOT neutral) OVER (PARTITION BY answer_id ORDER BY i) AS island FROM v_tidy_kept)) GROUP BY answer_id""",
 )
@@ -85,23 +85,24 @@ for _pat, _by in ((r"(?s)```.*?```", " "), (r"<[^>]+>", " "), (r"!\[[^\]]*\]\([^
     _CLEAN = f"regexp_replace({_CLEAN}, {q.s(_pat)}, {q.s(_by)}, 'g')"
 _CLEAN = q.trim(q.rep(q.rep(_CLEAN, r"(?:^|\s)-\s+", " "), r"\s+", " "))
 _PTS = [
-    (q.m("p", sections.DEFINITION_OPENER), 10), (q.m("p", r"^(?:a|an)\s+open[-\s]source\b", "i"), 8), (q.m("p", sections.TAGLINE, "i"), 6),
-    (q.m("left(p, 160)", r"\b(?:is|are) (?:a|an|the)\b", "i"), 4), (q.m("p", r"^(?:the|a|an)\b", "i"), -2), (q.m("p", sections.META_NOISE, "i"), -10),
+    (q.m("p", dims.DEFINITION_OPENER), 10), (q.m("p", r"^(?:a|an)\s+open[-\s]source\b", "i"), 8), (q.m("p", dims.TAGLINE, "i"), 6),
+    (q.m("left(p, 160)", r"\b(?:is|are) (?:a|an|the)\b", "i"), 4), (q.m("p", r"^(?:the|a|an)\b", "i"), -2), (q.m("p", dims.META_NOISE, "i"), -10),
 ]
 _SENT = "regexp_extract(p, '^([^\\n\\r]+?[.!?])(?:\\s|\\z)', 1)"
 
 
-@query(
-    "overview_statement",
-    f"""SELECT project_id, id, CASE WHEN length({_SENT}) >= 40 THEN {_SENT} WHEN length(p) <= 260 THEN p ELSE concat(regexp_replace(regexp_replace(left(p, 260), '\\s+\\S*\\z', ''), '[,:;]\\s*\\z', ''), '.') END AS statement,
+def overview_sql(source: str) -> str:
+    return f"""SELECT project_id, id, CASE WHEN length({_SENT}) >= 40 THEN {_SENT} WHEN length(p) <= 260 THEN p ELSE concat(regexp_replace(regexp_replace(left(p, 260), '\\s+\\S*\\z', ''), '[,:;]\\s*\\z', ''), '.') END AS statement,
       concat('[', file_path, ':', start_line, '-', end_line, ']') AS citation FROM (
       SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY NOT {q.m('lower(file_path)', dims.README_FILE)}, file_path, start_line, id, grade, CASE WHEN grade = 0 THEN -score ELSE 0 END, pos) AS rn FROM (
-        SELECT *, CASE WHEN score > 0 THEN 0 WHEN {q.m('left(p, 140)', r'\bis (?:a|an|the|now)\b', 'i')} AND NOT {q.m('p', sections.META_NOISE, 'i')} THEN 1 WHEN NOT {q.m('p', sections.META_NOISE, 'i')} THEN 2 END AS grade FROM (
+        SELECT *, CASE WHEN score > 0 THEN 0 WHEN {q.m('left(p, 140)', r'\bis (?:a|an|the|now)\b', 'i')} AND NOT {q.m('p', dims.META_NOISE, 'i')} THEN 1 WHEN NOT {q.m('p', dims.META_NOISE, 'i')} THEN 2 END AS grade FROM (
           SELECT *, {' + '.join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, n in _PTS)} AS score FROM (
             SELECT project_id, id, file_path, start_line, end_line, ps[i] AS p, i AS pos FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(code, chr(10) || '{{2,}}'), lambda p: {_CLEAN}),
-              lambda p: length(p) >= 40 AND NOT {q.m('p', r'^donate\b', 'i')} AND NOT {q.m('p', sections.BOILERPLATE, 'i')}) AS ps FROM tree_units WHERE {q.m('lower(file_path)', dims.OVERVIEW_DOC)}), range(1, len(ps) + 1) r(i)))) WHERE grade IS NOT NULL)
-      WHERE rn = 1""",
-)
+              lambda p: length(p) >= 40 AND NOT {q.m('p', r'^donate\b', 'i')} AND NOT {q.m('p', dims.BOILERPLATE, 'i')}) AS ps FROM {source} WHERE {q.m('lower(file_path)', dims.OVERVIEW_DOC)}), range(1, len(ps) + 1) r(i)))) WHERE grade IS NOT NULL)
+      WHERE rn = 1"""
+
+
+@query("overview_statement", overview_sql("tree_units"))
 def _(spark, sf):
     return followup.overview_statement(corpus.tree_units(spark, sf))
 

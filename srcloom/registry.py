@@ -22,6 +22,7 @@ MODULES = [
     "survey_queries",
     "history_queries",
     "followup_queries",
+    "refill_queries",
 ]
 
 

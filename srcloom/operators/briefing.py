@@ -114,13 +114,14 @@ def domain_entities(units: DataFrame, n: int = 14) -> DataFrame:
 def product_signals(units: DataFrame, entities: DataFrame, n: int = 8) -> DataFrame:
     """Product words of a project by weighted use in its texts and entity names."""
     boost = F.when(paths.is_documentation(P), 4).otherwise(1)
-    counted = usable(units).select("project_id", boost.alias("boost"), unittext.workflow_text().alias("t"))
-    sums = counted.groupBy("project_id").agg(
-        *[
-            F.sum(F.least(F.lit(12), F.regexp_count("t", F.lit(rx.java(rf"\b{term}s?\b")))) * F.col("boost")).alias(term)
-            for term in dims.PRODUCT_TERMS
-        ]
-    )
+    # One pass over a text finds the uses of all words.
+    words = rx.extract_all(unittext.workflow_text(), rf"\b({'|'.join(dims.PRODUCT_TERMS)})s?\b")
+    counted = usable(units).select("project_id", boost.alias("boost"), words.alias("words")).filter("size(words) > 0")
+
+    def uses(term):
+        return F.least(F.lit(12), F.size(F.filter("words", lambda w: w == term))) * F.col("boost")
+
+    sums = counted.groupBy("project_id").agg(*[F.sum(uses(term)).alias(term) for term in dims.PRODUCT_TERMS])
     long = sums.select(
         "project_id",
         F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(t).alias("points")) for t in dims.PRODUCT_TERMS])).alias("x"),

@@ -200,6 +200,87 @@ def _split_columns(text):
     return [*out, part]
 
 
+# A second observation of the graph: customers are nodes, parts are edges between node ids.
+_EDGE_UPDATE = """CAST(floor(p_partkey / 25) AS BIGINT) AS project_id, concat('e', p_partkey) AS edge_id, CASE p_partkey % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'supports' WHEN 2 THEN 'depends_on' ELSE 'near' END AS type,
+  concat('n', p_partkey) AS from_id, concat('n', p_partkey + 1 + p_size % 4) AS to_id, 'medium' AS confidence, p_partkey AS ord"""
+views.register("v_kg_edge_update", f"SELECT {_EDGE_UPDATE} FROM part")
+views.register("v_good_nodes", "SELECT project_id, node_id, type, label, summary, confidence FROM v_node_errors WHERE len(errors) = 0")
+views.register(
+    "v_good_edges",
+    f"""SELECT project_id, edge_id, type, from_id, to_id, confidence FROM kg_edges e JOIN v_source_counts s USING (project_id) WHERE s.owner_id = e.edge_id AND s.n_sources > 0 AND s.bad_sources = 0 AND list_contains({_ETYPES}, type)
+      AND list_contains({_CONF}, confidence) AND (project_id, from_id) IN (SELECT (project_id, node_id) FROM v_good_nodes) AND (project_id, to_id) IN (SELECT (project_id, node_id) FROM v_good_nodes)""",
+)
+views.register("v_settled_ids", "SELECT project_id, node_id FROM v_good_nodes UNION SELECT project_id, node_id FROM v_update_errors WHERE len(errors) = 0")
+views.register(
+    "v_edge_update_errors",
+    f"""SELECT e.*, {q.compact([
+        f"CASE WHEN NOT list_contains({_ETYPES}, type) THEN 'type is invalid' END",
+        "CASE WHEN (e.project_id, e.from_id) NOT IN (SELECT (project_id, node_id) FROM v_settled_ids) THEN 'from must reference a known node' END",
+        "CASE WHEN (e.project_id, e.to_id) NOT IN (SELECT (project_id, node_id) FROM v_settled_ids) THEN 'to must reference a known node' END",
+        "CASE WHEN s.bad_sources > 0 THEN 'source range is invalid' END",
+        "CASE WHEN coalesce(s.n_sources, 0) = 0 THEN 'sources must include evidence' END",
+    ])} AS errors FROM v_kg_edge_update e LEFT JOIN v_source_counts s ON s.project_id = e.project_id AND s.owner_id = e.edge_id""",
+)
+_NEW_NODE = "(project_id, node_id) IN (SELECT (project_id, node_id) FROM v_good_nodes)"
+_NEW_EDGE = "(project_id, edge_id) IN (SELECT (project_id, edge_id) FROM v_good_edges)"
+_BASE_WARNINGS = "SELECT project_id, concat('Bad source in ', owner_id) AS warning, -2 AS tier, ord, concat('Bad source in ', owner_id) AS id FROM kg_sources WHERE end_line < start_line"
+
+
+@query(
+    "merge_graph_update",
+    f"""SELECT project_id, 'node' AS part, node_id AS item, 'kept' AS outcome, label AS detail FROM v_good_nodes WHERE (project_id, node_id) NOT IN (SELECT (project_id, node_id) FROM v_update_errors WHERE len(errors) = 0)
+      UNION ALL SELECT project_id, 'node', node_id, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN {_NEW_NODE} THEN 'updated' ELSE 'added' END, label FROM v_update_errors
+      UNION ALL SELECT project_id, 'edge', edge_id, 'kept', concat(from_id, '>', to_id) FROM v_good_edges WHERE (project_id, edge_id) NOT IN (SELECT (project_id, edge_id) FROM v_edge_update_errors WHERE len(errors) = 0)
+      UNION ALL SELECT project_id, 'edge', edge_id, CASE WHEN len(errors) > 0 THEN 'rejected' WHEN {_NEW_EDGE} THEN 'updated' ELSE 'added' END, concat(from_id, '>', to_id) FROM v_edge_update_errors
+      UNION ALL SELECT project_id, 'inspected', file_path, '', CAST(row_number() OVER (PARTITION BY project_id ORDER BY tier, ord, file_path) AS VARCHAR) FROM (SELECT project_id, file_path, min((tier, ord))[1] AS tier, min((tier, ord))[2] AS ord FROM (
+        SELECT project_id, file_path, -2 AS tier, 0 AS ord FROM v_inspected UNION ALL SELECT project_id, file_path, -1, ord FROM kg_sources) GROUP BY ALL)
+      UNION ALL SELECT project_id, 'warning', warning, '', CAST(row_number() OVER (PARTITION BY project_id ORDER BY spot, warning) AS VARCHAR) FROM (SELECT project_id, warning, min((tier, ord, id)) AS spot FROM ({_BASE_WARNINGS}
+        UNION ALL SELECT project_id, concat('Unclear role of ', label), -1, CAST(substr(node_id, 2) AS BIGINT), concat('Unclear role of ', label) FROM v_kg_update WHERE type = 'other'
+        UNION ALL SELECT project_id, concat('Rejected full graph update: ', unnest(errors)), 0, CAST(substr(node_id, 2) AS BIGINT), node_id FROM v_update_errors
+        UNION ALL SELECT project_id, concat('Rejected full graph update: ', unnest(errors)), 1, ord, edge_id FROM v_edge_update_errors
+        UNION ALL SELECT project_id, concat('Rejected graph node ', node_id, ': ', array_to_string(errors, '; ')), 2, CAST(substr(node_id, 2) AS BIGINT), node_id FROM v_update_errors WHERE len(errors) > 0
+        UNION ALL SELECT project_id, concat('Rejected graph edge ', edge_id, ': ', array_to_string(errors, '; ')), 3, ord, edge_id FROM v_edge_update_errors WHERE len(errors) > 0) GROUP BY ALL)
+      UNION ALL SELECT project_id, 'summary', '', '', CASE WHEN u.project_id IS NOT NULL AND project_id % 2 = 0 THEN 'Seen again' ELSE coalesce(s, '') END FROM (SELECT DISTINCT project_id, concat('Survey of ', project_id) AS s FROM kg_nodes) FULL JOIN (SELECT DISTINCT project_id FROM v_kg_update) u USING (project_id)""",
+)
+def _(spark, sf):
+    from srcloom.operators import graph_update as gu
+
+    sources = corpus.kg_sources(spark, sf)
+    number = F.substring("node_id", 2, 20).cast("long").alias("ord")
+    fields = ["project_id", "node_id", "type", "label", "summary", "confidence"]
+    nodes = survey.node_errors(corpus.kg_nodes(spark, sf), sources).withColumnRenamed("item_id", "node_id").filter(F.size("errors") == 0)
+    nodes = nodes.select(*fields, number)
+    links = ["project_id", "edge_id", "type", "from_id", "to_id", "confidence"]
+    edges = survey.edge_errors(corpus.kg_edges(spark, sf), nodes, sources).withColumnRenamed("item_id", "edge_id").filter(F.size("errors") == 0)
+    edges = edges.select(*links, F.substring("edge_id", 2, 20).cast("long").alias("ord"))
+    seen = corpus.table(spark, sf, "customer").selectExpr(*[x.strip() for x in _split_columns(_UPDATE)])
+    linked = corpus.table(spark, sf, "part").selectExpr(*[x.strip() for x in _split_columns(_EDGE_UPDATE)])
+    bad = sources.filter("end_line < start_line").select("project_id", F.concat(F.lit("Bad source in "), "owner_id").alias("warning"), "ord")
+    unclear = seen.filter("type = 'other'").select("project_id", F.concat(F.lit("Unclear role of "), "label").alias("warning"), number)
+    projects = corpus.kg_nodes(spark, sf).select("project_id").distinct()
+    base = gu.Graph(
+        nodes, edges, sources, _inspected(spark, sf).withColumn("ord", F.lit(0).cast("long")), bad,
+        projects.withColumn("summary", F.concat(F.lit("Survey of "), F.col("project_id").cast("string"))),
+    )
+    again = F.when(F.col("project_id") % 2 == 0, "Seen again").otherwise("  ").alias("summary")
+    update = gu.Graph(
+        seen.select(*fields, number), linked, sources, sources.select("project_id", "file_path", "ord"), unclear,
+        seen.select("project_id").distinct().select("project_id", again),
+    )
+    merged = gu.merge_update(base, update)
+
+    def part(name, table, item, outcome, detail):
+        return table.select("project_id", F.lit(name).alias("part"), item.alias("item"), outcome.alias("outcome"), detail.alias("detail"))
+
+    c, none = F.col, F.lit("")
+    ends = F.concat("from_id", F.lit(">"), "to_id")
+    out = part("node", merged["nodes"], c("node_id"), c("outcome"), c("label"))
+    out = out.unionByName(part("edge", merged["edges"], c("edge_id"), c("outcome"), ends))
+    out = out.unionByName(part("inspected", merged["inspected"], c("file_path"), none, c("pos").cast("string")))
+    out = out.unionByName(part("warning", merged["warnings"], c("warning"), none, c("pos").cast("string")))
+    return out.unionByName(part("summary", merged["summaries"], none, none, c("summary")))
+
+
 _WEIGHT = f"coalesce({q.lit_map('type', dims.NODE_PRIORITY)}, 0) + coalesce({q.lit_map('confidence', dims.CONFIDENCE_PRIORITY)}, 0) + least(5, n_sources) * 4"
 views.register(
     "v_compact_nodes",

@@ -321,12 +321,94 @@ def _(spark, sf):
     )
 
 
+# A second index of a part of the projects: some without vendored code, some under a new id, some without any unit.
+_AGAIN, _MOVED, _EMPTIED = "project_id % 3 = 0", "project_id % 3 = 1", "project_id % 7 = 6"
+_NEW_ID = 1_000_000
+views.register(
+    "v_indexed",
+    f"""SELECT project_id, file_path, code, imports FROM units WHERE NOT ({_EMPTIED}) AND NOT ({_MOVED}) AND NOT ({_AGAIN} AND is_vendored)
+      UNION ALL SELECT project_id + {_NEW_ID}, file_path, code, imports FROM units WHERE NOT ({_EMPTIED}) AND {_MOVED} AND kind = 'module'""",
+)
+
+
 @query(
     "replace_project_index",
-    """SELECT project_id, count(*) AS unit_count, count(DISTINCT file_path) AS file_count FROM units GROUP BY project_id""",
+    f"""SELECT p.project_id, repo_path, coalesce(u.unit_count, 0) AS unit_count, coalesce(u.file_count, 0) AS file_count, coalesce(u.n_chars, 0) AS n_chars, coalesce(e.n_edges, 0) AS n_edges
+      FROM (SELECT DISTINCT CASE WHEN {_MOVED} AND NOT ({_EMPTIED}) THEN project_id + {_NEW_ID} ELSE project_id END AS project_id, concat('/repos/', project_id) AS repo_path FROM units) p
+      LEFT JOIN (SELECT project_id, count(*) AS unit_count, count(DISTINCT file_path) AS file_count, CAST(sum(length(code)) AS BIGINT) AS n_chars FROM v_indexed GROUP BY project_id) u USING (project_id)
+      LEFT JOIN (SELECT project_id, count(*) AS n_edges FROM (SELECT DISTINCT project_id, file_path, unnest(imports) AS statement FROM v_indexed) GROUP BY project_id) e USING (project_id)""",
+)
+def _(spark, sf):
+    from uuid import uuid4
+
+    from srcloom.staging import shared_folder
+
+    folder = f"{shared_folder(spark)}/index-{uuid4().hex}"
+    units = corpus.units(spark, sf)
+
+    def edges(of):
+        statement = F.explode("imports").alias("import_statement")
+        return of.select("project_id", F.col("file_path").alias("source_file"), statement).distinct()
+
+    def projects(of, path_id="project_id"):
+        path = F.concat(F.lit("/repos/"), F.col(path_id).cast("string"))
+        return of.select("project_id", path.alias("repo_path")).distinct()
+
+    store.replace_index(folder, projects(units), units, edges(units))
+    emptied = units.filter(_EMPTIED)
+    rest = units.filter(f"not ({_EMPTIED})")
+    moved = rest.filter(_MOVED).withColumn("old_id", F.col("project_id")).withColumn("project_id", F.col("project_id") + _NEW_ID)
+    again = rest.filter(_AGAIN)
+    named = projects(emptied).unionByName(projects(again)).unionByName(projects(moved, "old_id"))
+    fresh = again.filter("not is_vendored").unionByName(moved.drop("old_id").filter("kind = 'module'"))
+    store.replace_index(folder, named, fresh, edges(fresh))
+    now = store.read_index(spark, folder, units.schema, edges(units).schema)
+    sizes = now["units"].groupBy("project_id").agg(
+        F.count("*").alias("units_read"), F.count_distinct("file_path").alias("files_read"), F.sum(F.length("code")).alias("n_chars")
+    )
+    links = now["edges"].groupBy("project_id").agg(F.count("*").alias("n_edges"))
+    rows = now["projects"].join(sizes, "project_id", "left").join(links, "project_id", "left").fillna(0)
+    # What is read agrees with the counts that the last replacement wrote.
+    return rows.filter("unit_count = units_read and file_count = files_read").select(
+        "project_id", "repo_path", "unit_count", "file_count", "n_chars", "n_edges"
+    )
+
+
+# Units as lines of JSON, one in two of them damaged in some way.
+_DAMAGE = "(start_line // 8 + project_id) % 7"
+_NO_LIST = "imports is not a list of strings"
+
+
+@query(
+    "load_units_json",
+    f"""SELECT CASE WHEN d NOT IN (0, 3) THEN id END AS id, CASE WHEN d <> 0 THEN file_path END AS file_path, CASE WHEN d <> 0 THEN md5(code) END AS code, CASE WHEN d NOT IN (0, 2) THEN start_line END AS start_line,
+      CASE WHEN d <> 0 THEN end_line END AS end_line, CASE WHEN d IN (0, 1, 5) THEN '' ELSE array_to_string(imports, '|') END AS imports, CASE WHEN d <> 0 THEN array_to_string(called_functions, '|') ELSE '' END AS called_functions,
+      d <> 0 AND is_vendored AS is_vendored, CASE d WHEN 0 THEN 'not a JSON object' WHEN 1 THEN '{_NO_LIST}' WHEN 2 THEN 'startLine is not a number' WHEN 3 THEN 'id is missing' WHEN 5 THEN '{_NO_LIST}' ELSE '' END AS problems
+      FROM (SELECT *, {_DAMAGE} AS d FROM units)""",
 )
 def _(spark, sf):
-    return store.project_counts(corpus.units(spark, sf))
+    from uuid import uuid4
+
+    from srcloom.staging import shared_folder
+
+    units = corpus.units(spark, sf).withColumn("d", F.expr(_DAMAGE.replace("//", "div")))
+    d = F.col("d")
+    listed = F.to_json("imports")
+    changed = {
+        "imports": F.when(d == 1, "no list").when(d == 5, '["a", 7]').otherwise(listed),
+        "start_line": F.when(d == 2, "x").otherwise(F.col("start_line").cast("string")),
+        "id": F.when(d != 3, F.col("id")),
+        "is_vendored": F.when(d == 4, F.col("is_vendored").cast("int").cast("string")).otherwise(F.col("is_vendored").cast("string")),
+    }
+    fields = [changed.get(to, F.col(to)).alias(name) for name, to in store.UNIT_FIELDS.items()]
+    line = F.to_json(F.struct(*fields))
+    path = f"{shared_folder(spark)}/units-{uuid4().hex}"
+    units.select(F.when(d == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    found = store.load_units(spark, path)
+    shown = {c: F.array_join(c, "|") for c in ("imports", "called_functions", "problems")}
+    return found.withColumns({**shown, "code": F.md5("code")}).select(
+        "id", "file_path", "code", "start_line", "end_line", "imports", "called_functions", "is_vendored", "problems"
+    )
 
 
 _DELETED = "SELECT DISTINCT project_id FROM sessions WHERE trim(brief) = '' AND generation_truncated"

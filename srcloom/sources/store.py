@@ -5,16 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-UNIT_SCHEMA = (
-    "id string, filePath string, language string, kind string, name string, code string, startLine int, endLine int,"
-    " parentName string, imports array<string>, docstring string, exportedNames array<string>,"
-    " calledFunctions array<string>, isVendored boolean"
-)
+from srcloom import staging
 
+_LISTS = ["imports", "exportedNames", "calledFunctions"]
+_NUMBERS = ["startLine", "endLine"]
+_REQUIRED = ["id", "filePath"]
+#: Unit fields as files name them, and as tables do.
+UNIT_FIELDS = {
+    "id": "id", "filePath": "file_path", "language": "language", "kind": "kind", "name": "name", "code": "code", "startLine": "start_line",
+    "endLine": "end_line", "parentName": "parent_name", "imports": "imports", "docstring": "docstring", "exportedNames": "exported_names",
+    "calledFunctions": "called_functions", "isVendored": "is_vendored",
+}
 
-def load_units_json(spark: SparkSession, path: str) -> DataFrame:
-    """Code units from files that hold one JSON array each."""
-    return spark.read.schema(UNIT_SCHEMA).option("multiLine", True).json(path)
+
+def load_units(spark: SparkSession, path: str, array_files: bool = False) -> DataFrame:
+    """Code units from JSON: a unit per line, or with ``array_files`` one array per file.
+
+    Every field is read as text and then fitted to its type on its own, so one bad field costs that field and not
+    the unit. ``problems`` names each: a line that is no JSON object, a missing id or path, a number or a list
+    that is none. List fields may also be JSON text; a list with anything but strings counts as empty.
+    """
+    raw = ", ".join(f"{name} string" for name in UNIT_FIELDS) + ", _corrupt string"
+    rows = (
+        spark.read.schema(raw).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", array_files).json(path)
+    )
+
+    def fitted(name):
+        c = F.col(name)
+        if name in _LISTS:
+            return strict_string_array(c)
+        if name in _NUMBERS:
+            return F.try_to_number(c, F.lit("999999999")).cast("int")
+        if name == "isVendored":
+            return F.coalesce(F.lower(c).isin("true", "1"), F.lit(False))
+        return c
+
+    lists = [F.when(F.col(n).isNotNull() & ~_is_string_list(F.col(n)), f"{n} is not a list of strings") for n in _LISTS]
+    numbers = [F.when(F.col(n).isNotNull() & fitted(n).isNull(), f"{n} is not a number") for n in _NUMBERS]
+    missing = [F.when(F.coalesce(F.col(n), F.lit("")) == "", f"{n} is missing") for n in _REQUIRED]
+    found = F.array_compact(F.array(*missing, *numbers, *lists))
+    problems = F.when(F.col("_corrupt").isNotNull(), F.array(F.lit("not a JSON object"))).otherwise(found)
+    return rows.select(*[fitted(n).alias(to) for n, to in UNIT_FIELDS.items()], problems.alias("problems"))
 
 
 def _items(json: Column) -> Column:
@@ -30,6 +61,10 @@ def _to_string(item: Column) -> Column:
     return F.try_variant_get(item, "$", "string")
 
 
+def _is_string_list(json: Column) -> Column:
+    return F.coalesce(F.forall(_items(json), _is_string), F.lit(False))
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -51,15 +86,20 @@ def project_counts(units: DataFrame) -> DataFrame:
     )
 
 
-def replace_projects(df: DataFrame, path: str) -> None:
+#: Rows that one file of a project's partition holds, about.
+ROWS_PER_FILE = 200_000
+
+
+def _overwrite_projects(df: DataFrame, path: str) -> None:
     """Overwrite the partitions of the projects in ``df`` and leave the others alone.
 
-    The rows of one project are spread over as many files as Spark needs: the
-    repartition adds a hash of the file path, so a huge project is not one task.
+    A project is spread over as many files as its rows need, so a huge one is not one task.
     """
+    sizes = df.groupBy("project_id").agg(F.ceil(F.count("*") / ROWS_PER_FILE).alias("slices"))
+    keyed = df.join(sizes, "project_id").withColumn("slice", F.pmod(F.xxhash64(*df.columns), "slices"))
     (
-        df.repartition("project_id", F.pmod(F.xxhash64("file_path"), F.lit(16)))
-        .sortWithinPartitions("project_id", "file_path")
+        keyed.repartition("project_id", "slice")
+        .drop("slices", "slice")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("project_id")
@@ -67,6 +107,49 @@ def replace_projects(df: DataFrame, path: str) -> None:
     )
 
 
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stored table, or an empty one before the first write."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+PROJECT_SCHEMA = "project_id long, repo_path string, unit_count long, file_count long"
+
+
+def replace_index(folder: str, projects: DataFrame, units: DataFrame, edges: DataFrame) -> None:
+    """Replace the whole index of the projects named by ``projects`` (project_id, repo_path).
+
+    Units and edges of other projects stay untouched. A project of another id with the same ``repo_path`` goes away. The
+    project rows are written last and decide what readers see: a run that fails before leaves the counts of
+    the old index, and a project without units leaves none of its old ones.
+    """
+    spark = projects.sparkSession
+    counts = units.groupBy("project_id").agg(F.count("*").alias("unit_count"), F.count_distinct("file_path").alias("file_count"))
+    rows = projects.join(counts, "project_id", "left").fillna(0, ["unit_count", "file_count"])
+    rows = staging.stage(rows.select("project_id", "repo_path", "unit_count", "file_count"), "projects")
+    before = staging.stage(_stored(spark, f"{folder}/projects", PROJECT_SCHEMA), "projects")
+    moved = before.join(rows.select("repo_path"), "repo_path", "left_semi").join(rows.select("project_id"), "project_id", "left_anti")
+    gone = moved.select("project_id", F.lit(None).cast("string").alias("repo_path"), *[F.lit(0).cast("long").alias(c) for c in ("unit_count", "file_count")])
+    for name, table in (("units", units), ("edges", edges)):
+        _overwrite_projects(table.join(rows.select("project_id"), "project_id", "left_semi"), f"{folder}/{name}")
+    _overwrite_projects(rows.unionByName(gone), f"{folder}/projects")
+
+
+def read_index(spark: SparkSession, folder: str, unit_schema, edge_schema) -> dict[str, DataFrame]:
+    """Projects, units and edges of a stored index, without what replaced or emptied projects left behind."""
+    projects = _stored(spark, f"{folder}/projects", PROJECT_SCHEMA).filter("repo_path is not null")
+    full = projects.filter("unit_count > 0").select("project_id")
+    units = _stored(spark, f"{folder}/units", unit_schema).join(full, "project_id", "left_semi")
+    edges = _stored(spark, f"{folder}/edges", edge_schema).join(full, "project_id", "left_semi")
+    return {"projects": projects, "units": units, "edges": edges}
+
+
 def delete_projects(gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Rows that survive when projects are deleted; messages go with their session."""
     kept = {}

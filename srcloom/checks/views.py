@@ -60,6 +60,9 @@ VIEWS = {
       ts AS created_at, ts AS updated_at,
       CASE event_id % 5 WHEN 0 THEN '["src/index.ts", "README.md"]' WHEN 1 THEN '["src/index.ts", 7]'
         WHEN 2 THEN '[null, "README.md"]' WHEN 3 THEN '{bad' ELSE '[]' END AS source_files_json FROM events""",
+    "v_session_refs": "SELECT event_id AS session_id, (user_id // 12)::BIGINT AS project_id, i - 1 AS pos, p.file_path, p.name, replace(replace(replace(p.lines, '{a}', (event_id % 11 + 1)::VARCHAR), '{b}', (event_id % 11 + 1 + event_id % 5)::VARCHAR), '{c}', (event_id % 90 + 1)::VARCHAR) AS lines FROM events, (VALUES "
+    + ", ".join(f"({i}, {s(path)}, {s(name)}, {s(lines)})" for i, (path, name, _, lines) in enumerate(c.SESSION_SOURCES, 1))
+    + ") p(i, file_path, name, lines) WHERE event_id % 9 <> 8",
     "messages": "SELECT conv_id AS session_id, turn AS ord, role, text AS content FROM conversations",
     "kg_nodes": f"""SELECT CAST(floor(p_partkey / 25) AS BIGINT) AS project_id, concat('n', p_partkey) AS node_id,
       {arr(c.NODE_KINDS)}[p_partkey % 8 + 1] AS type, p_name AS label, concat('Summary of ', p_name, ' ', p_type) AS summary,

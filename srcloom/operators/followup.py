@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from srcloom import dims, rx
 from srcloom.functions import citing, paths, questions, sections
 from srcloom.operators import fuse, pack
+from srcloom.sources import store
 
 # --- fixed values: words that mark sharing and storage code, and sources that distract ---------
 PIN_WORDS = r"\b(collab|share|portal|firebase|socket|room|link|encrypt|storage|local)\b"
@@ -89,29 +90,61 @@ def followup_hits(asked: DataFrame, hits: DataFrame, units: DataFrame, k: int =
     return fuse.merge(pinned.unionByName(again), k, order)
 
 
+#: Lines of a bucket by which ranges meet units.
+LINE_BUCKET = 64
+
+
+def _buckets(start: Column, end: Column) -> Column:
+    return F.sequence(F.floor(start / LINE_BUCKET), F.floor(F.greatest(start, end) / LINE_BUCKET))
+
+
+def session_refs(sessions: DataFrame) -> DataFrame:
+    """(session_id, project_id, pos, file_path, name, lines) of the sources that sessions keep as JSON."""
+    refs = sessions.select("session_id", "project_id", F.posexplode(store.source_refs(F.col("sources_json"))).alias("pos", "r"))
+    return refs.select("session_id", "project_id", "pos", "r.file_path", "r.name", "r.lines")
+
+
 def session_source_units(sources: DataFrame, units: DataFrame) -> DataFrame:
-    """Excerpt of the unit that holds, or else overlaps, each session source range.
+    """Excerpt units of the sources of sessions.
 
-    ``sources``: (session_id, project_id, pos, file_path, start_line, end_line).
+    ``sources``: (session_id, project_id, pos, file_path, name, lines). A range takes its lines from the first unit of the file that
+    holds it, else from the first one that overlaps; a source without a range takes the head of the file's module, else of its
+    first unit. Ranges meet units over buckets of lines, and a range that many sessions cite is looked up once.
     """
-    u = units.select(
-        "project_id", "file_path", "id", "name", "code", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line")
-    )
-    overlap = (F.col("from_line") <= F.col("end_line")) & (F.col("to_line") >= F.col("start_line"))
-    inside = (F.col("start_line") >= F.col("from_line")) & (F.col("end_line") <= F.col("to_line"))
-    rows = sources.join(u.drop("code"), ["project_id", "file_path"]).filter(overlap | inside)
+    keys = ["project_id", "file_path"]
+    wanted = sources.select(*keys, "lines").distinct()
+    start = rx.extract(F.col("lines"), r"^(\d{1,9})(?:-\d{1,9})?$", 1)
+    end = F.coalesce(F.nullif(rx.extract(F.col("lines"), r"^\d{1,9}-(\d{1,9})$", 1), F.lit("")), F.nullif(start, F.lit("")))
+    parsed = wanted.select(*keys, "lines", F.nullif(start, F.lit("")).cast("int").alias("start"), end.cast("int").alias("end"))
+    heads = units.select(*keys, "id", "kind", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
+    ranged = parsed.filter("start is not null").withColumn("bucket", F.explode(_buckets(F.col("start"), F.col("end"))))
+    spread = heads.withColumn("bucket", F.explode(_buckets(F.col("from_line"), F.col("to_line"))))
+    inside = (F.col("start") >= F.col("from_line")) & (F.col("end") <= F.col("to_line"))
+    overlap = (F.col("from_line") <= F.col("end")) & (F.col("to_line") >= F.col("start"))
+    met = ranged.join(spread, [*keys, "bucket"]).filter(inside | overlap)
     best = F.min(F.struct((~inside).cast("int").alias("loose"), "from_line", "id")).alias("b")
-    chosen = rows.groupBy("session_id", "project_id", "pos", "file_path", "start_line", "end_line").agg(best)
-    joined = chosen.select("*", F.col("b.id").alias("id")).drop("b").join(u.drop("file_path", "to_line"), ["project_id", "id"])
+    by_range = met.groupBy(*keys, "lines", "start", "end").agg(best).select(*keys, "lines", "start", "end", F.col("b.id").alias("id"))
+    first = heads.groupBy(*keys).agg(F.min(F.struct((F.col("kind") != "module").cast("int").alias("loose"), "from_line", "id")).alias("b"))
+    by_file = parsed.filter("start is null").join(first, keys).select(*keys, "lines", "start", "end", F.col("b.id").alias("id"))
+    chosen = by_range.unionByName(by_file).join(units.drop("file_path"), ["project_id", "id"])
     ls = F.split("code", "\n", -1)
-    first = F.greatest(F.lit(0), F.col("start_line") - F.col("from_line"))
-    last = F.greatest(first + 1, F.col("end_line") - F.col("from_line") + 1)
-    excerpt = rx.trim(F.array_join(F.slice(ls, first + 1, last - first), "\n"))
+    skip = F.greatest(F.lit(0), F.col("start") - F.col("start_line"))
+    last = F.greatest(skip + 1, F.col("end") - F.col("start_line") + 1)
+    excerpt = rx.trim(F.array_join(F.slice(ls, skip + 1, last - skip), "\n"))
     head = F.array_join(F.slice(ls, 1, 40), "\n")
-    return joined.select(
-        "session_id", "pos", "file_path", F.col("id").alias("unit_id"), "start_line", "end_line",
-        F.when(excerpt == "", head).otherwise(excerpt).alias("code"),
-    )
+    tag = F.concat(F.lit("session-source:"), F.when(F.col("start").isNull(), F.col("id")).otherwise(F.concat("file_path", F.lit(":"), "lines")))
+    changed = {
+        "unit_id": F.col("id"),
+        "id": tag,
+        "code": F.when(F.col("start").isNull() | (excerpt == ""), head).otherwise(excerpt),
+        "start_line": F.coalesce("start", "start_line"),
+        "end_line": F.coalesce("end", "end_line"),
+    }
+    found = chosen.withColumns(changed).drop("start", "end")
+    named = sources.select("session_id", *keys, "pos", F.col("name").alias("given"), "lines").join(found, [*keys, "lines"])
+    named = named.withColumn("name", F.when((F.col("given") != "") & F.col("id").endswith(F.col("lines")) & (F.col("lines") != ""), F.col("given")).otherwise(F.col("name")))
+    once = Window.partitionBy("session_id", "id").orderBy("pos")
+    return named.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n", "given", "lines")
 
 
 def citation_sources(ctx: DataFrame, judged: DataFrame) -> DataFrame:

@@ -142,20 +142,37 @@ def called_functions(code: Column) -> Column:
 
 
 def module_anchors(units: DataFrame, files: DataFrame) -> DataFrame:
-    """A whole-file module for every file whose units do not include one at line 1."""
+    """A whole-file module for every file whose units do not include one at line 1.
+
+    Its text is that of the file where ``files`` brings it; otherwise it is put together from the units of the file, from
+    the first line on. List columns that the units lack are left out.
+    """
     first = F.struct("start_line", "name")
+    lists = [c for c in ("exported_names", "imports", "called_functions") if c in units.columns]
+    texts = ["docstring"] if "docstring" in units.columns else []
     anchors = (
         units.groupBy("project_id", "file_path")
         .agg(
             F.bool_or((F.col("kind") == "module") & (F.col("start_line") == 1)).alias("anchored"),
             F.min_by("language", first).alias("language"),
             F.max("end_line").alias("last_line"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("exported_names")))).alias("exported_names"),
+            *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists],
+            *[F.min_by(c, first).alias(c) for c in texts],
             F.bool_and("is_vendored").alias("is_vendored"),
         )
         .filter("not anchored")
+        .drop("anchored")
     )
-    whole = anchors.join(files.select("project_id", "file_path", "content"), ["project_id", "file_path"], "left")
+    keys = ["project_id", "file_path"]
+    whole = anchors.join(files.filter("content is not null").select(*keys, "content"), keys, "left")
+    if "code" in units.columns:
+        # Only files without a text of their own are put together from their units.
+        bare = whole.filter("content is null").select(*keys)
+        pieces = F.array_sort(F.collect_list(F.struct("start_line", "name", "code")))
+        built = units.select(*keys, "start_line", "name", "code").join(bare, keys, "left_semi").groupBy(*keys).agg(pieces.alias("pieces"))
+        whole = whole.join(built.select(*keys, F.array_join(F.col("pieces.code"), "\n\n").alias("joined")), keys, "left")
+    else:
+        whole = whole.withColumn("joined", F.lit(None).cast("string"))
     return whole.select(
         "project_id",
         "file_path",
@@ -164,9 +181,10 @@ def module_anchors(units: DataFrame, files: DataFrame) -> DataFrame:
         paths.stem(F.col("file_path")).alias("name"),
         F.lit(1).alias("start_line"),
         F.coalesce(_line_count(F.col("content")), F.col("last_line")).alias("end_line"),
-        "exported_names",
+        *lists,
+        *texts,
         "is_vendored",
-        F.col("content").alias("code"),
+        F.coalesce("content", "joined").alias("code"),
     )
 
 

@@ -9,7 +9,7 @@ from srcloom.checks import sqlkit as q
 from srcloom.checks import views
 from srcloom.functions import questions, sections
 from srcloom.operators import citations as cit
-from srcloom.operators import followup, retrieve
+from srcloom.operators import followup, history, retrieve
 from srcloom.plans import answer
 from srcloom.plans.citation_queries import context_units, judged, norm_sql, squeeze_sql
 from srcloom.registry import query
@@ -123,41 +123,49 @@ def _(spark, sf):
     return followup.citation_sources(context_units(spark, sf), judged(spark, sf))
 
 
-# Source ranges of an order stand for the sources a session kept.
-@query(
-    "session_source_units",
-    f"""SELECT session_id, pos, file_path, unit_id, start_line, end_line, CASE WHEN ex = '' THEN array_to_string(list_slice(ls, 1, 40), chr(10)) ELSE ex END AS code FROM (
-      SELECT *, {q.trim("array_to_string(list_slice(ls, a + 1, greatest(a + 1, end_line - from_line + 1)), chr(10))")} AS ex FROM (
-        SELECT owner_id AS session_id, k.ord AS pos, k.file_path, k.start_line, k.end_line, u.id AS unit_id, u.start_line AS from_line, string_split(u.code, chr(10)) AS ls, greatest(0, k.start_line - u.start_line) AS a,
-          row_number() OVER (PARTITION BY k.ord ORDER BY NOT (k.start_line >= u.start_line AND k.end_line <= u.end_line), u.start_line, u.id) AS rn
-        FROM kg_sources k JOIN units u ON u.project_id = k.project_id AND u.file_path = k.file_path AND u.start_line <= k.end_line AND u.end_line >= k.start_line WHERE k.end_line >= k.start_line) WHERE rn = 1)""",
+views.register(
+    "v_session_units",
+    f"""SELECT session_id, project_id, pos, id, unit_id, file_path, name, start_line, end_line, CASE WHEN rs IS NULL OR ex = '' THEN array_to_string(list_slice(ls, 1, 40), chr(10)) ELSE ex END AS code FROM (
+      SELECT *, {q.trim("array_to_string(list_slice(ls, skip + 1, greatest(skip + 1, re - from_line + 1)), chr(10))")} AS ex, row_number() OVER (PARTITION BY session_id, id ORDER BY pos) AS n FROM (
+        SELECT session_id, project_id, pos, file_path, rs, re, uid AS unit_id, from_line, string_split(code, chr(10)) AS ls, greatest(0, rs - from_line) AS skip, CASE WHEN rs IS NOT NULL AND given <> '' THEN given ELSE uname END AS name,
+          CASE WHEN rs IS NULL THEN concat('session-source:', uid) ELSE concat('session-source:', file_path, ':', lines) END AS id, coalesce(rs, from_line) AS start_line, coalesce(re, to_line) AS end_line,
+          row_number() OVER (PARTITION BY session_id, pos ORDER BY loose, from_line, uid) AS rn FROM (
+          SELECT r.*, u.id AS uid, u.name AS uname, u.code, u.start_line AS from_line, u.end_line AS to_line, CASE WHEN rs IS NULL THEN CASE WHEN u.kind = 'module' THEN 0 ELSE 1 END WHEN rs >= u.start_line AND re <= u.end_line THEN 0 ELSE 1 END AS loose
+          FROM (SELECT session_id, project_id, pos, file_path, name AS given, lines, TRY_CAST(nullif(regexp_extract(lines, '^(\\d+)(?:-\\d+)?$', 1), '') AS INTEGER) AS rs,
+              TRY_CAST(coalesce(nullif(regexp_extract(lines, '^\\d+-(\\d+)$', 1), ''), regexp_extract(lines, '^(\\d+)$', 1)) AS INTEGER) AS re FROM v_session_refs) r
+          JOIN units u ON u.project_id = r.project_id AND u.file_path = r.file_path AND (rs IS NULL OR (rs >= u.start_line AND re <= u.end_line) OR (u.start_line <= re AND u.end_line >= rs)))) WHERE rn = 1) WHERE n = 1""",
 )
-def _(spark, sf):
-    kept = corpus.kg_sources(spark, sf).filter("end_line >= start_line").select(
-        F.col("owner_id").alias("session_id"), "project_id", F.col("ord").alias("pos"), "file_path", "start_line", "end_line"
-    )
-    return followup.session_source_units(kept, corpus.units(spark, sf))
 
 
-# --- follow-up retrieval -------------------------------------------------------------------------------
+@query("session_source_units", "SELECT session_id, pos, id, unit_id, file_path, name, start_line, end_line, md5(code) AS code FROM v_session_units")
+def _(spark, sf):
+    found = followup.session_source_units(followup.session_refs(corpus.sessions(spark, sf)), corpus.units(spark, sf))
+    return found.select("session_id", "pos", "id", "unit_id", "file_path", "name", "start_line", "end_line", F.md5("code").alias("code"))
 
-_PINNED_FILES = ["src/index.ts", "README.md", "src/db/store.ts"]
 
+# --- follow-up retrieval -------------------------------------------------------------------------------
 
 def _asked(spark, sf):
-    """Every question as a follow-up in a session that cites three files."""
+    """Every question as a follow-up in the latest completed session of its project."""
     f = questions.followup_intent(F.col("query"))
     rows = corpus.queries(spark, sf).withColumn("followup", f).withColumn(
         "query", questions.expand_followup(F.col("query"), F.col("followup"))
     )
-    return rows.withColumn("source_files", F.array(*[F.lit(p) for p in _PINNED_FILES]))
+    latest = history.latest_completed(corpus.sessions(spark, sf))
+    files = latest.select("project_id", "session_id").join(history.session_source_files(latest), "session_id")
+    none = F.array().cast("array<string>")
+    return rows.join(files, "project_id", "left").withColumn("source_files", F.coalesce("source_files", none))
 
 
+from srcloom.plans.history_queries import _DONE as DONE_SQL  # noqa: E402
+from srcloom.plans.history_queries import _FILES as FILES_SQL  # noqa: E402
 from srcloom.plans.text_queries import EXPAND_SQL, FOLLOWUP_SQL  # noqa: E402
 
 views.register(
     "v_followups",
-    f"SELECT query_id, project_id, followup, {EXPAND_SQL} AS query FROM (SELECT *, {FOLLOWUP_SQL} AS followup FROM queries)",
+    f"""SELECT query_id, q.project_id, followup, query, s.session_id, coalesce(s.files, CAST([] AS VARCHAR[])) AS files FROM (SELECT query_id, project_id, followup, {EXPAND_SQL} AS query FROM (SELECT *, {FOLLOWUP_SQL} AS followup FROM queries)) q
+      LEFT JOIN (SELECT project_id, arg_max(session_id, (updated_at, created_at, session_id)) AS session_id, arg_max({FILES_SQL}, (updated_at, created_at, session_id)) AS files
+        FROM (SELECT *, session_id % 5 AS event_case FROM sessions) WHERE {DONE_SQL} GROUP BY project_id) s ON s.project_id = q.project_id""",
 )
 _PT = "lower(concat_ws(' ', file_path, name, code))"
 views.register(
@@ -165,11 +173,11 @@ views.register(
     f"""SELECT query_id, project_id, unit_id, 'pinned' AS channel, 1001.0::DOUBLE - rank AS score, rank, is_vendored FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_pos, n) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id, file_pos ORDER BY pin DESC, start_line, unit_id) AS n FROM (
-          SELECT f.query_id, f.project_id, list_position({q.arr(_PINNED_FILES)}, u.file_path) AS file_pos, u.id AS unit_id, u.start_line, u.is_vendored,
+          SELECT f.query_id, f.project_id, list_position(f.files, u.file_path) AS file_pos, u.id AS unit_id, u.start_line, u.is_vendored,
             CASE WHEN kind IN ('function', 'method') THEN 14 WHEN kind = 'class' THEN CASE WHEN nl > 250 THEN -8 ELSE 6 END ELSE CASE WHEN nl > 220 THEN -14 ELSE 4 END END
             + CASE WHEN nl <= 80 THEN 8 WHEN nl <= 180 THEN 3 ELSE -10 END + 4 * len(list_filter(regexp_split_to_array(lower(f.query), '[^a-z0-9_]+'), lambda t: length(t) > 3 AND contains({_PT}, t)))
             + CASE WHEN {q.m(_PT, followup.PIN_WORDS)} THEN 8 ELSE 0 END + CASE WHEN {q.m('lower(file_path)', followup.PIN_SKIP)} THEN -30 ELSE 0 END AS pin
-          FROM v_followups f JOIN (SELECT *, end_line - start_line + 1 AS nl FROM units WHERE NOT is_vendored) u ON u.project_id = f.project_id AND list_contains({q.arr(_PINNED_FILES)}, u.file_path))) WHERE n <= 3) WHERE rank <= 12""",
+          FROM v_followups f JOIN (SELECT *, end_line - start_line + 1 AS nl FROM units WHERE NOT is_vendored) u ON u.project_id = f.project_id AND list_contains(f.files, u.file_path))) WHERE n <= 3) WHERE rank <= 12""",
 )
 
 
@@ -192,7 +200,12 @@ def _(spark, sf):
     asked = shared(spark, sf, "followups", lambda: answer.plans(_asked(spark, sf)))
     units = corpus.units(spark, sf)
     hits = retrieve.all_channels(asked.select("query_id", "project_id", "query"), units, answer.CHANNEL_K)
-    sources = followup.pinned_units(asked, units).select("query_id", "project_id", "unit_id", "rank")
+    sessions = corpus.sessions(spark, sf).join(asked.select("session_id").distinct(), "session_id", "left_semi")
+    excerpts = followup.session_source_units(followup.session_refs(sessions), units)
+    cited = excerpts.select("session_id", F.col("id").alias("unit_id"), F.col("pos").alias("rank"))
+    sources = asked.select("query_id", "project_id", "session_id").join(cited, "session_id").drop("session_id")
+    # An excerpt's name may differ from session to session; as a unit of its project it has one.
+    one = excerpts.drop("session_id", "pos", "unit_id").dropDuplicates(["project_id", "id"])
     found = followup.followup_hits(asked, hits, units).withColumnRenamed("ord", "rank")
-    packed = followup.pack_followup(asked, sources, found, units)
+    packed = followup.pack_followup(asked, sources, found, units.unionByName(one.select(units.columns)))
     return packed.select("query_id", "project_id", "unit_id", "file_path", "start_line", "end_line", "tokens", "exact", "slot")

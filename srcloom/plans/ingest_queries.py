@@ -287,6 +287,28 @@ def _(spark, sf):
     return df.withColumns({"code": F.md5("code"), "exported_names": F.array_join("exported_names", "|")})
 
 
+# Units without their modules; only files of good quality bring their text.
+_LISTED = {"exported_names": "exported_names", "imports": "imports", "called_functions": "called_functions"}
+
+
+@query(
+    "rebuild_module_anchor",
+    f"""SELECT project_id, file_path, language, name, end_line, {', '.join(f"array_to_string({c}, '|') AS {c}" for c in _LISTED)}, docstring, is_vendored, md5(code) AS code FROM (
+      SELECT u.project_id, u.file_path, arg_min(language, (start_line, u.name)) AS language, {q.stem('u.file_path')} AS name, coalesce(any_value(n), max(end_line)) AS end_line,
+        {', '.join(f"list_sort(list_distinct(flatten(list({c})))) AS {c}" for c in _LISTED)}, arg_min({{'d': docstring}}, (start_line, u.name)).d AS docstring, bool_and(u.is_vendored) AS is_vendored,
+        coalesce(any_value(f.content), string_agg(u.code, chr(10) || chr(10) ORDER BY start_line, u.name)) AS code
+      FROM (SELECT * FROM units WHERE kind <> 'module') u LEFT JOIN (SELECT project_id, file_path, content, len(string_split(content, chr(10))) AS n FROM files JOIN labels USING (doc_id) WHERE quality = 1) f USING (project_id, file_path)
+      GROUP BY u.project_id, u.file_path)""",
+)
+def _(spark, sf):
+    good = corpus.table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    files = corpus.files(spark, sf).join(good, "doc_id", "left_semi")
+    found = units.module_anchors(corpus.units(spark, sf).filter("kind <> 'module'"), files)
+    shown = {c: F.array_join(c, "|") for c in _LISTED}
+    columns = ["project_id", "file_path", "language", "name", "end_line", *_LISTED, "docstring", "is_vendored", "code"]
+    return found.withColumns({**shown, "code": F.md5("code")}).select(columns)
+
+
 @query(
     "index_stats",
     """SELECT project_id, count(*) FILTER (WHERE kind = 'function') AS n_function, count(*) FILTER (WHERE kind = 'class') AS n_class,

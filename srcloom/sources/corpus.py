@@ -270,6 +270,26 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Cited sources of a session: (file, name, kind, lines), where a lines text may be a range, a line or neither.
+SESSION_SOURCES = [
+    ("src/index.ts", "startApp", "function", "{a}-{b}"), ("README.md", "Readme", "module", ""), ("src/db/store.ts", "", "class", "{c}"),
+    ("src/daily/pipeline.ts", "runPipeline", "method", "{b}-{c}"), ("gone.ts", "gone", "module", "1-2"),
+]
+
+
+def session_source_text(source: tuple) -> str:
+    path, name, kind, lines = source
+    return f'{{"filePath":"{path}","name":"{name}","kind":"{kind}","lines":"{lines}"}}'
+
+
+def _session_sources(e):
+    """Well-formed sources and one that is none; every ninth list is cut off."""
+    text = F.lit("[" + ",".join(map(session_source_text, SESSION_SOURCES)) + ',{"filePath":"README.md","lines":3}]')
+    for mark, number in (("{a}", e % 11 + 1), ("{b}", e % 11 + 1 + e % 5), ("{c}", e % 90 + 1)):
+        text = F.replace(text, F.lit(mark), number.cast("string"))
+    return F.when(e % 9 == 8, F.substring(text, 1, 40)).otherwise(text)
+
+
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf, "events").select(
@@ -286,6 +306,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
         .when(e % 5 == 3, "{bad")
         .otherwise("[]")
         .alias("source_files_json"),
+        _session_sources(e).alias("sources_json"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,16 @@ def lenient_string_array(json: Column) -> Column:
     return F.coalesce(F.transform(F.filter(_items(json), _is_string), _to_string), _none())
 
 
+def source_refs(json: Column) -> Column:
+    """Array of (file_path, name, kind, lines); items that lack one of these as a text are dropped."""
+    fields = {"filePath": "file_path", "name": "name", "kind": "kind", "lines": "lines"}
+    part = lambda item, name: F.try_variant_get(item, f"$.{name}", "variant")
+    whole = lambda item: reduce(lambda a, b: a & b, [_is_string(part(item, n)) for n in fields])
+    ref = lambda item: F.struct(*[_to_string(part(item, n)).alias(to) for n, to in fields.items()])
+    none = F.array().cast("array<struct<file_path:string,name:string,kind:string,lines:string>>")
+    return F.coalesce(F.transform(F.filter(_items(json), whole), ref), none)
+
+
 def project_counts(units: DataFrame) -> DataFrame:
     return units.groupBy("project_id").agg(
         F.count("*").alias("unit_count"), F.count_distinct("file_path").alias("file_count")

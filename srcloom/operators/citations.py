@@ -339,6 +339,23 @@ def validate_evidence(items: DataFrame, ctx: DataFrame) -> DataFrame:
     )
 
 
+def parse_choices(choices: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The tag or DROP that every model reply means: (answer_id, pos, choice), null where it means none.
+
+    ``choices``: (answer_id, pos, reply); ``allowed``: (answer_id, choice). A reply may be the tag or DROP itself, a JSON object with
+    a ``choice``, or a text whose first bracket is a tag; what holds first counts.
+    """
+    text = rx.trim(F.col("reply"))
+    parsed = F.try_variant_get(F.try_parse_json(text), "$.choice", "string")
+    bracket = F.nullif(rx.extract(text, r"(\[[^\]]+\])", 1), F.lit(""))
+    read = choices.select("answer_id", "pos", F.posexplode(F.array(text, parsed, bracket)).alias("rank", "choice"))
+    known = allowed.select("answer_id", "choice").distinct().withColumn("allowed", F.lit(True))
+    rows = read.filter("choice is not null").join(known, ["answer_id", "choice"], "left")
+    meant = F.col("allowed") | ((F.col("choice") == "DROP") & (F.col("rank") < 2))
+    best = rows.filter(meant).groupBy("answer_id", "pos").agg(F.min_by("choice", "rank").alias("choice"))
+    return choices.select("answer_id", "pos").join(best, ["answer_id", "pos"], "left")
+
+
 def attach_choices(answers: DataFrame, claims_: DataFrame, choices: DataFrame, ctx: DataFrame) -> DataFrame:
     """Append the chosen tag to the first line that holds each uncited claim.
 

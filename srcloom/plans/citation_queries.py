@@ -390,8 +390,49 @@ def _(spark, sf):
     return cit.validate_evidence(_items(spark, sf), context_units(spark, sf))
 
 
-@query("attach_selected_citations")
+# Replies to the question for a tag: the tag, JSON, a sentence around it, or a refusal.
+_REPLIES = "CASE pos % 5 WHEN 0 THEN concat(' ', citation, chr(10)) WHEN 1 THEN concat('{\"choice\": \"', citation, '\"}') WHEN 2 THEN concat('I take ', citation, ' here [x].') WHEN 3 THEN '{\"choice\": \"DROP\"}' ELSE '[no.ts:1-2]' END"
+views.register("v_replies", f"SELECT answer_id, pos, {_REPLIES.replace('chr(10)', 'chr(10)')} AS reply, citation FROM v_items")
+views.register(
+    "v_choices",
+    f"""SELECT answer_id, pos, CASE WHEN EXISTS (SELECT 1 FROM v_ctx u WHERE u.answer_id = r.answer_id AND {_TAG} = r.citation) AND pos % 5 < 3 THEN citation WHEN pos % 5 = 3 THEN 'DROP' END AS choice FROM v_replies r""",
+)
+
+
+@query("parse_citation_choices", "SELECT answer_id, pos, choice FROM v_choices")
+def _(spark, sf):
+    return cit.parse_choices(_replies(spark, sf), _allowed(spark, sf))
+
+
+def _replies(spark, sf):
+    return _items(spark, sf).select("answer_id", "pos", F.expr(_REPLIES).alias("reply"))
+
+
+def _allowed(spark, sf):
+    return context_units(spark, sf).select("answer_id", F.concat(F.lit("["), cit.citation_tag(), F.lit("]")).alias("choice"))
+
+
+_ENDED = "regexp_replace(claim, '[ \\t]*([.!?])[ \\t]*\\z', '')"
+_CITED = f"concat({q.trim(_ENDED)}, ' ', choice, regexp_extract(claim, '([.!?])[ \\t]*\\z', 1))"
+views.register(
+    "v_picks",
+    f"""SELECT * FROM (SELECT c.answer_id, c.pos, c.claim, CASE WHEN h.choice <> 'DROP' THEN h.choice END AS choice, row_number() OVER (PARTITION BY c.answer_id ORDER BY c.pos) AS call
+      FROM v_claims c LEFT JOIN v_choices h USING (answer_id, pos) WHERE NOT c.cited AND NOT c.exempt) WHERE call <= {dims.CITATION_REPAIR_MAX_CALLS}""",
+)
+views.register(
+    "v_attach_walk",
+    f"""WITH RECURSIVE walk AS (SELECT a.answer_id, a.answer AS text, 0 AS attached, 0 AS call FROM answers a WHERE a.answer_id NOT IN (SELECT answer_id FROM v_judged WHERE NOT valid)
+      UNION ALL SELECT w.answer_id, CASE WHEN choice IS NOT NULL AND contains(w.text, claim) THEN concat(left(w.text, instr(w.text, claim) - 1), {_CITED}, substr(w.text, instr(w.text, claim) + length(claim))) ELSE w.text END,
+        w.attached + CASE WHEN choice IS NOT NULL AND contains(w.text, claim) THEN 1 ELSE 0 END, w.call + 1 FROM walk w JOIN v_picks p ON p.answer_id = w.answer_id AND p.call = w.call + 1)
+      SELECT answer_id, arg_max(text, call) AS text, max(attached) AS attached FROM walk GROUP BY answer_id""",
+)
+
+
+@query(
+    "attach_selected_citations",
+    """SELECT a.answer_id, coalesce(w.text, a.answer) AS answer, coalesce(w.attached, 0) AS attached, coalesce(n, 0) AS calls, coalesce(n, 0) - coalesce(w.attached, 0) AS dropped
+      FROM answers a LEFT JOIN v_attach_walk w USING (answer_id) LEFT JOIN (SELECT answer_id, count(*) AS n FROM v_picks GROUP BY answer_id) USING (answer_id)""",
+)
 def _(spark, sf):
-    claims = _claims(spark, sf)
-    choices = _items(spark, sf).select("answer_id", "pos", F.col("citation").alias("choice"))
-    return cit.attach_choices(corpus.answers(spark, sf), claims, choices, context_units(spark, sf))
+    choices = cit.parse_choices(_replies(spark, sf), _allowed(spark, sf))
+    return cit.attach_choices(corpus.answers(spark, sf), _claims(spark, sf), choices, context_units(spark, sf))

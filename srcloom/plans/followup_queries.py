@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from srcloom import dims
@@ -205,7 +206,8 @@ def _(spark, sf):
     cited = excerpts.select("session_id", F.col("id").alias("unit_id"), F.col("pos").alias("rank"))
     sources = asked.select("query_id", "project_id", "session_id").join(cited, "session_id").drop("session_id")
     # An excerpt's name may differ from session to session; as a unit of its project it has one.
-    one = excerpts.drop("session_id", "pos", "unit_id").dropDuplicates(["project_id", "id"])
+    first = Window.partitionBy("project_id", "id").orderBy("session_id", "pos")
+    one = excerpts.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
     found = followup.followup_hits(asked, hits, units).withColumnRenamed("ord", "rank")
     packed = followup.pack_followup(asked, sources, found, units.unionByName(one.select(units.columns)))
     return packed.select("query_id", "project_id", "unit_id", "file_path", "start_line", "end_line", "tokens", "exact", "slot")

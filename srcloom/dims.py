@@ -1022,3 +1022,20 @@ RISK_SECTION = r"risk|privacy|operational"
 RISK_BUCKETS = ["auth_security", "storage_files", "analytics_tracking", "billing_limits", "workflow_jobs", "ai_features"]
 SECONDARY_BUCKETS = ["ai_features", "auth_security"]
 PRIMARY_BUCKETS = ["routes_pages", "api_handlers", "storage_files", "analytics_tracking", "billing_limits", "workflow_jobs"]
+
+# --- fixed values: briefing retrieval by query rows ------------------------------------------------
+#: (points, what the query must say, column of the unit, what it must say, reason)
+BRIEFING_QUERY_RULES = [
+    (10, r"\b(product manager|pm|briefing|orientation|non-technical)\b", "low",
+     r"\b(readme|docs|welcome|share|export|collab|local|privacy|security|risk)\b", "product briefing match"),
+    (18, r"\b(product manager|pm|briefing|orientation|non-technical)\b", "path_name",
+     r"\b(localdata|filemanager|portal|backend|sharedialog|export|collab|collaboration|storage|share|sync|socket)\b", "workflow owner"),
+    *[
+        (points, asked, "text", words, reason)
+        for (points, asked, words), reason in zip(
+            BRIEFING_RULES,
+            ["local persistence evidence", "input/editor state evidence", "render/output evidence", "persistence evidence",
+             "language feature evidence", "collaboration/privacy evidence"],
+        )
+    ],
+]

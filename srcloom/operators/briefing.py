@@ -547,12 +547,8 @@ def section_queries(sessions: DataFrame) -> DataFrame:
     return out.withColumn("terms", F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)))
 
 
-def briefing_hits(units: DataFrame, sections: list[str], k: int = 24, per_file: int = 3) -> DataFrame:
-    """Top units of each project for each section query, a few per file.
-
-    The questions are a fixed list, so what each of them asks for is known when the
-    plan is built, and a unit is scored for all sections in one pass over its text.
-    """
+def _briefing_static() -> Column:
+    """Points of a unit that no query changes."""
     low, text = F.col("low"), F.col("text")
     term_points = reduce(
         lambda a, b: a + b,
@@ -563,7 +559,7 @@ def briefing_hits(units: DataFrame, sections: list[str], k: int = 24, per_file:
             for t in dims.BRIEFING_WORKFLOW_TERMS
         ],
     )
-    static = (
+    return (
         F.when(paths.is_test_file(P), -30).otherwise(0)
         + F.when(paths.is_documentation(P), F.when(rx.test(low, r"^readme\.md$"), 44).otherwise(24)).otherwise(0)
         + F.when(paths.is_package_boundary(P), 22).otherwise(0)
@@ -572,12 +568,30 @@ def briefing_hits(units: DataFrame, sections: list[str], k: int = 24, per_file:
         + term_points
         + unittext.length_penalty()
     )
-    rows = units.filter(~F.col("is_vendored") & ~paths.is_noise(P)).withColumns({"low": F.lower(P), "text": unittext.briefing_text()})
-    facts = rows.select(
+
+
+def _briefing_rows(units: DataFrame) -> DataFrame:
+    rows = units.filter(~F.col("is_vendored") & ~paths.is_noise(P))
+    return rows.withColumns({"low": F.lower(P), "text": unittext.briefing_text()})
+
+
+def _product_terms(text: Column) -> Column:
+    return F.filter(paths.strings(dims.BRIEFING_PRODUCT_TERMS), lambda t: F.contains(text, t))
+
+
+def briefing_hits(units: DataFrame, sections: list[str], k: int = 24, per_file: int = 3) -> DataFrame:
+    """Top units of each project for each section query, a few per file.
+
+    The questions are a fixed list, so what each of them asks for is known when the
+    plan is built, and a unit is scored for all sections in one pass over its text.
+    """
+    low, text = F.col("low"), F.col("text")
+    static = _briefing_static()
+    facts = _briefing_rows(units).select(
         *HEAD,
         static.alias("static"),
         rx.test(low, dims.CHANGELOG_FILE).alias("changelog"),
-        F.filter(paths.strings(dims.BRIEFING_PRODUCT_TERMS), lambda t: F.contains(text, t)).alias("product"),
+        _product_terms(text).alias("product"),
         *[rx.test(text, unit_words).alias(f"rule{i}") for i, (_, _, unit_words) in enumerate(dims.BRIEFING_RULES)],
     )
 
@@ -597,6 +611,72 @@ def briefing_hits(units: DataFrame, sections: list[str], k: int = 24, per_file:
     return _top(few, ["project_id", "section"], k, F.desc("score"))
 
 
+def briefing_facts(units: DataFrame) -> DataFrame:
+    """What a query can ask of a unit, without its text: points, product terms, matched rules, reasons that always hold."""
+    low = F.col("low")
+    reasons = [
+        F.when(paths.is_documentation(P), "overview documentation"),
+        F.when(paths.is_package_boundary(P), "package or app boundary"),
+        F.when(rx.test(low, r"^(src|app|apps|packages)/"), "production source"),
+        F.when(F.col("kind") == "module", "file-level context"),
+        *[
+            F.when(F.contains(low, F.lit(t)) | F.contains(F.lower("name"), F.lit(t)), f"workflow term in path/name: {t}")
+            for t in dims.BRIEFING_WORKFLOW_TERMS
+        ],
+    ]
+    rows = _briefing_rows(units).withColumn("path_name", F.lower(F.concat_ws(" ", P, "name")))
+    matched = [F.when(rx.test(F.col(on), words), i) for i, (_, _, on, words, _) in enumerate(dims.BRIEFING_QUERY_RULES)]
+    return rows.select(
+        *HEAD,
+        _briefing_static().alias("static"),
+        rx.test(low, dims.CHANGELOG_FILE).alias("changelog"),
+        _product_terms(F.col("text")).alias("product"),
+        F.array_compact(F.array(*matched)).alias("matched"),
+        F.array_compact(F.array(*reasons)).alias("reasons"),
+    )
+
+
+def briefing_search(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """The best units of a project for every query row, with the reasons of each.
+
+    ``queries``: (query_id, project_id, query, k, per_file). What a query asks for comes down to a profile: product terms,
+    rules and whether changelogs count. Units are scored once per project and profile, however many queries share it,
+    and no text leaves the first step.
+    """
+    low = F.lower("query")
+    asked = [F.when(rx.test(low, words), i) for i, (_, words, _, _, _) in enumerate(dims.BRIEFING_QUERY_RULES)]
+    profile = ["project_id", "terms", "rules", "releases", "per_file"]
+    rows = queries.withColumns(
+        {
+            "terms": _product_terms(low),
+            "rules": F.array_compact(F.array(*asked)),
+            "releases": rx.test(low, dims.CHANGELOG_QUERY),
+        }
+    ).select("query_id", *profile, "k")
+    profiles = rows.groupBy(*profile).agg(F.max("k").alias("most"))
+    # Product terms and rules in common; their points come from a table that is part of the row, not of the plan.
+    points = F.array(*[F.lit(p) for p, *_ in dims.BRIEFING_QUERY_RULES])
+    why = paths.strings([r for *_, r in dims.BRIEFING_QUERY_RULES])
+    both = F.array_intersect("rules", "matched")
+    score = (
+        F.col("static")
+        + F.size(F.array_intersect("product", "terms")) * 4
+        + F.aggregate(both, F.lit(0), lambda total, i: total + F.get(points, i))
+        + F.when(F.col("changelog") & ~F.col("releases"), -55).otherwise(0)
+    )
+    scored = profiles.join(briefing_facts(units), "project_id").withColumns(
+        {"score": score, "reasons": F.concat("reasons", F.transform(both, lambda i: F.get(why, i)))}
+    )
+    scored = scored.filter("score > 0").select(*profile, "most", "id", P, "start_line", "score", "reasons")
+    in_file = Window.partitionBy(*profile, P).orderBy(*_order(F.desc("score")))
+    over = Window.partitionBy(*profile).orderBy(*_order(F.desc("score")))
+    few = scored.withColumn("n", F.row_number().over(in_file)).filter("n <= per_file")
+    best = few.withColumn("rank", F.row_number().over(over)).filter("rank <= most")
+    return rows.join(best.drop("n", "most"), profile).filter("rank <= k").select(
+        "query_id", "project_id", "id", P, "score", "rank", "reasons"
+    )
+
+
 # --- choosing the context of a section -------------------------------------------------------------------------
 
 

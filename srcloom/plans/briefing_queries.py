@@ -402,6 +402,35 @@ def _(spark, sf):
     return br.briefing_hits(_units(spark, sf), _SECTIONS).select("project_id", "section", "id", "file_path", "score", "rank")
 
 
+_BR_ON = {"low": "lp", "path_name": "lower(concat_ws(' ', file_path, name))", "text": "bt"}
+_BR = " + ".join(f"CASE WHEN {q.m('sq', asked)} AND m{i} THEN {p} ELSE 0 END" for i, (p, asked, _, _, _) in enumerate(dims.BRIEFING_QUERY_RULES))
+_BR_WHY = [f"CASE WHEN {q.m('sq', asked)} AND m{i} THEN {q.s(r)} END" for i, (_, asked, _, _, r) in enumerate(dims.BRIEFING_QUERY_RULES)]
+_BR_ALWAYS = [
+    f"CASE WHEN {_DOC} THEN 'overview documentation' END", f"CASE WHEN {q.m('file_path', dims.PACKAGE_BOUNDARY)} THEN 'package or app boundary' END",
+    f"CASE WHEN {q.m('lp', r'^(src|app|apps|packages)/')} THEN 'production source' END", "CASE WHEN kind = 'module' THEN 'file-level context' END",
+    *[f"CASE WHEN contains(lp, {q.s(t)}) OR contains(lower(name), {q.s(t)}) THEN {q.s('workflow term in path/name: ' + t)} END" for t in dims.BRIEFING_WORKFLOW_TERMS],
+]
+views.register(
+    "v_briefing_facts",
+    f"""SELECT project_id, id, file_path, start_line, bt, {_STATIC} AS static, {q.m('lp', dims.CHANGELOG_FILE)} AS changelog, {', '.join(f"{q.m(_BR_ON[on], words)} AS m{i}" for i, (_, _, on, words, _) in enumerate(dims.BRIEFING_QUERY_RULES))}, {q.compact(_BR_ALWAYS)} AS always
+      FROM (SELECT *, {_LP} AS lp, {_BT} AS bt, end_line - start_line + 1 AS nl FROM tree_units WHERE NOT is_vendored AND NOT {q.m(_LP, dims.NOISE_FILE)})""",
+)
+
+
+@query(
+    "briefing_search",
+    f"""SELECT query_id, project_id, id, file_path, score, rank, reasons FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path, start_line, id) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, start_line, id) AS n FROM (
+        SELECT q.query_id, q.project_id, q.k, q.per_file, f.id, f.file_path, f.start_line, static + {_PT} + {_BR} + CASE WHEN changelog AND NOT {q.m('sq', dims.CHANGELOG_QUERY)} THEN -55 ELSE 0 END AS score,
+          array_to_string(always || {q.compact(_BR_WHY)}, '|') AS reasons FROM (SELECT *, lower(query) AS sq, CASE WHEN starts_with(query_id, 'g') THEN 24 ELSE 8 END AS k, CASE WHEN starts_with(query_id, 'g') THEN 3 ELSE 2 END AS per_file FROM queries) q
+        JOIN v_briefing_facts f USING (project_id)) WHERE score > 0) WHERE n <= per_file) WHERE rank <= k""",
+)
+def _(spark, sf):
+    golden = F.startswith("query_id", F.lit("g"))
+    asked = corpus.queries(spark, sf).withColumns({"k": F.when(golden, 24).otherwise(8), "per_file": F.when(golden, 3).otherwise(2)})
+    return br.briefing_search(_units(spark, sf), asked).withColumn("reasons", F.array_join("reasons", "|"))
+
+
 # The context of a section is filled from planned units, then from the briefing hits.
 BUDGET = 1440
 views.register(

@@ -102,43 +102,60 @@ def occurrences(strings: DataFrame, units: DataFrame) -> DataFrame:
     return postings.join(asked, ["project_id", "token"]).select("project_id", "id", "s").distinct()
 
 
-def evidence(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """How each string occurs in each unit, as flags."""
-    joined = pairs.join(
-        units.select(
-            "project_id", "id", "name", "file_path", "exported_names", "imports", "called_functions", "docstring", "code",
-            "kind",
-        ),
-        ["project_id", "id"],
-    )
-    s, low = F.col("s"), F.lower("s")
+#: Strings that meet a unit's text together.
+STRINGS_PER_READ = 256
 
-    def within(items: str, needle: Column, fold: bool) -> Column:
-        return F.exists(items, lambda x: F.contains(F.lower(x) if fold else x, needle))
 
-    text = unittext.search_text()
-    lower_name, lower_path = F.lower("name"), F.lower("file_path")
-    return joined.select(
-        "project_id",
-        "id",
-        "s",
-        (F.col("name") == s).alias("name_raw"),
-        (lower_name == low).alias("name_eq"),
-        F.contains(lower_name, low).alias("name_in"),
-        (F.endswith(lower_path, low) | (F.col("file_path") == s)).alias("path_end"),
-        F.contains(lower_path, low).alias("path_in"),
-        F.array_contains("exported_names", s).alias("export_raw"),
-        F.exists("exported_names", lambda x: F.lower(x) == low).alias("export_eq"),
-        within("exported_names", low, True).alias("export_in"),
-        within("imports", s, False).alias("import_raw"),
-        within("imports", low, True).alias("import_in"),
-        within("called_functions", low, True).alias("call_in"),
-        F.coalesce(F.contains(F.lower("docstring"), low), F.lit(False)).alias("doc_in"),
-        F.contains("code", s).alias("code_raw"),
-        F.contains(F.lower("code"), low).alias("code_in"),
-        F.contains(text, s).alias("text_raw"),
-        F.contains(F.lower(text), low).alias("text_in"),
+def evidence(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """How each string occurs in each unit, as flags.
+
+    The strings of a unit come to its text in groups, so the text and its lower-case forms are made once for hundreds of strings
+    and never copied to a row of one string.
+    """
+    nth = F.row_number().over(Window.partitionBy("project_id", "id").orderBy("s"))
+    groups = (
+        pairs.withColumn("block", F.floor((nth - 1) / STRINGS_PER_READ))
+        .groupBy("project_id", "id", "block")
+        .agg(F.collect_list("s").alias("strings"))
     )
+    text = unittext.search_text()
+    lower = lambda items: F.transform(items, F.lower)
+    # These columns stand before the join: inside the lambda below they would be made once per string.
+    read = units.select(
+        "project_id", "id", "name", "file_path", "exported_names", "imports", "code",
+        F.lower("name").alias("l_name"), F.lower("file_path").alias("l_path"), F.lower("code").alias("l_code"), F.lower("docstring").alias("l_doc"),
+        lower("exported_names").alias("l_exports"), lower("imports").alias("l_imports"), lower("called_functions").alias("l_calls"),
+        text.alias("raw"), F.lower(text).alias("l_text"),
+    )
+    c = F.col
+
+    def within(items: str, needle: Column) -> Column:
+        return F.exists(items, lambda x: F.contains(x, needle))
+
+    def flags(s: Column) -> Column:
+        low = F.lower(s)
+        found = {
+            "name_raw": c("name") == s,
+            "name_eq": c("l_name") == low,
+            "name_in": F.contains("l_name", low),
+            "path_end": F.endswith("l_path", low) | (c("file_path") == s),
+            "path_in": F.contains("l_path", low),
+            "export_raw": F.array_contains("exported_names", s),
+            "export_eq": F.array_contains("l_exports", low),
+            "export_in": within("l_exports", low),
+            "import_raw": within("imports", s),
+            "import_in": within("l_imports", low),
+            "call_in": within("l_calls", low),
+            "doc_in": F.coalesce(F.contains("l_doc", low), F.lit(False)),
+            "code_raw": F.contains("code", s),
+            "code_in": F.contains("l_code", low),
+            "text_raw": F.contains("raw", s),
+            "text_in": F.contains("l_text", low),
+        }
+        return F.struct(s.alias("s"), *[v.alias(k) for k, v in found.items()])
+
+    met = groups.join(read, ["project_id", "id"])
+    return met.select("project_id", "id", F.explode(F.transform("strings", flags)).alias("e")).select("project_id", "id", "e.*")
 
 
 def unit_facts(units: DataFrame) -> DataFrame:

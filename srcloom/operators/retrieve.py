@@ -97,9 +97,9 @@ def occurrences(strings: DataFrame, units: DataFrame) -> DataFrame:
         .filter(F.contains("token", F.col("anchor")))
         .select("token", "anchor")
     )
-    # Narrow the pairs to the projects that ask for the string before meeting the postings.
-    asked = anchored.join(found, "anchor").select("project_id", "token", "s")
-    return postings.join(asked, ["project_id", "token"]).select("project_id", "id", "s").distinct()
+    # A short string lies in very many tokens: it meets the tokens of a unit first, and only then the projects that ask for it.
+    held = postings.join(found, "token").select("project_id", "id", "anchor")
+    return held.join(anchored, ["project_id", "anchor"]).select("project_id", "id", "s").distinct()
 
 
 #: Strings that meet a unit's text together.

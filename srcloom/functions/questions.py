@@ -48,8 +48,8 @@ def short_needles(q: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(phrases(q), constants(q)), F.lower))
 
 
-def terms(q: Column) -> Column:
-    """First 20 distinct terms; a term keeps its first place and its last spelling."""
+def terms(q: Column, most: int | None = None) -> Column:
+    """All distinct terms, or the first ``most``; a term keeps its first place and its last spelling."""
     raw = rx.extract_all(q, dims.Q_TERM, 0)
     low = F.transform(raw, F.lower)
     order = F.array_except(F.array_distinct(low), strings(dims.STOP_WORDS))
@@ -59,7 +59,8 @@ def terms(q: Column) -> Column:
         spelled = F.element_at(F.reverse(raw), F.array_position(backwards, value).cast("int"))
         return F.struct(value.alias("value"), rx.test(spelled, dims.Q_CODE_LIKE).alias("code_like"))
 
-    return F.transform(F.slice(order, 1, dims.MAX_TERMS), describe).cast(TERM_TYPE)
+    chosen = order if most is None else F.slice(order, 1, most)
+    return F.transform(chosen, describe).cast(TERM_TYPE)
 
 
 def term_values(q: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom import dims, rx
+from srcloom import dims, rx, staging
 from srcloom.functions import paths
 
 
@@ -19,7 +19,6 @@ def is_indexable(p: Column) -> Column:
     base = paths.basename(p)
     return (
         _no_excluded_dir(p)
-        & (paths.depth(p) <= dims.MAX_DEPTH)
         & F.lower(paths.extname(p)).isin(dims.INDEX_EXTENSIONS)
         & ~rx.test(base, dims.LOCK_OR_SNAPSHOT, "i")
         & ~rx.test(base, dims.INDEX_LOCKFILES, "i")
@@ -31,7 +30,6 @@ def is_surveyable(p: Column) -> Column:
     base = paths.basename(p)
     return (
         _no_excluded_dir(p)
-        & (paths.depth(p) <= dims.MAX_DEPTH)
         & F.lower(paths.extname(p)).isin(dims.SURVEY_EXTENSIONS)
         & ~rx.test(base, dims.LOCK_OR_SNAPSHOT, "i")
         & ~rx.test(base, dims.SURVEY_LOCKFILES, "i")
@@ -41,8 +39,9 @@ def is_surveyable(p: Column) -> Column:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """Keep the files that may be indexed."""
-    return files.filter(is_indexable(F.col("file_path")))
+    """Keep the files that may be indexed, however deep; ``too_deep`` marks those beyond the depth of a scan."""
+    p = F.col("file_path")
+    return files.filter(is_indexable(p)).withColumn("too_deep", paths.depth(p) > dims.MAX_DEPTH)
 
 
 NO_LIMIT = 2**62
@@ -76,39 +75,63 @@ def apply_byte_budget(
 ) -> DataFrame:
     """Mark files that lie beyond the file limit, are too large or no longer fit the byte budget.
 
-    A file that overflows is skipped, a later and smaller one may still fit, so the
-    decision is a fold in path order. The fold sees only sizes of the files within the
-    limit that :func:`cap_files` was given; the others keep their row.
+    A file that overflows is skipped, a later and smaller one may still fit, so the total is carried in path order. Everything
+    before the first overflow follows from a running sum; behind it the rounds of :func:`_walk_left` decide. No project's
+    files are gathered in one row.
     """
-    state = "struct<total:bigint,reasons:array<string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<string>").alias("reasons"))
-
-    def step(acc, f):
-        reason = (
-            F.when(f["bytes"] > max_file_bytes, "oversized")
-            .when(acc["total"] + f["bytes"] > max_total_bytes, "byte_budget")
-            .otherwise("")
-        )
-        return F.struct(
-            (acc["total"] + F.when(reason == "", f["bytes"]).otherwise(0)).alias("total"),
-            F.array_append(acc["reasons"], reason).alias("reasons"),
-        ).cast(state)
-
-    ordered = F.array_sort(F.collect_list(F.struct("file_path", "bytes")))
-    folded = capped.filter("not over_file_limit").groupBy("project_id").agg(ordered.alias("fs")).select(
-        "project_id",
-        F.explode(F.arrays_zip("fs", F.aggregate("fs", start.cast(state), step)["reasons"].alias("reasons"))).alias("z"),
-    )
-    within = folded.select(
-        "project_id",
-        F.col("z.fs.file_path").alias("file_path"),
-        F.col("z.fs.bytes").alias("bytes"),
-        F.nullif(F.col("z.reasons"), F.lit("")).alias("skip_reason"),
-    )
+    flags = capped.select("project_id", "file_path", "bytes", "rank", "over_file_limit")
+    open_ = flags.filter("not over_file_limit").withColumn("oversized", F.col("bytes") > max_file_bytes)
+    sized = F.when(F.col("oversized"), 0).otherwise(F.col("bytes"))
+    w = Window.partitionBy("project_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = open_.withColumn("running", F.sum(sized).over(w))
+    reason = F.when(F.col("oversized"), "oversized").when(F.col("running") > max_total_bytes, "byte_budget")
+    first = running.withColumn("skip_reason", reason).select("project_id", "file_path", "bytes", "rank", "running", "oversized", "skip_reason")
+    if max_total_bytes < NO_LIMIT:
+        late = F.col("skip_reason") == "byte_budget"
+        total = F.coalesce(F.max(F.when((F.col("running") <= max_total_bytes), F.col("running"))), F.lit(0))
+        spent = first.groupBy("project_id").agg(total.cast("long").alias("total"))
+        fits = _walk_left(first.filter(late).select("project_id", "rank", "bytes"), spent, max_total_bytes)
+        keyed = first.join(fits.withColumn("fits", F.lit(True)), ["project_id", "rank"], "left")
+        first = keyed.withColumn("skip_reason", F.when(F.col("fits").isNull(), F.col("skip_reason")))
+    within = first.select("project_id", "file_path", "bytes", "skip_reason")
     beyond = capped.filter("over_file_limit").select("project_id", "file_path", "bytes", F.lit("file_limit").alias("skip_reason"))
     return within.unionByName(beyond)
 
 
+def _walk_left(left: DataFrame, spent: DataFrame, most: int) -> DataFrame:
+    """(project_id, rank) of the files that still fit after the first overflow.
+
+    A round looks at the files no larger than the room that is left. Small files, at most half the room each, all fit until
+    they fill half of it; a large one fits when the small ones before it leave it the room. The first large file that fits, or
+    the small one that passes the half, ends the round with less than half the room left, so the rounds
+    are no more than the binary digits of the budget, whatever the number of files.
+    """
+    taken = left.select("project_id", "rank").limit(0)
+    rest = left
+    while True:
+        room = spent.select("project_id", (F.lit(most) - F.col("total")).alias("room"))
+        small = F.col("bytes") * 2 <= F.col("room")
+        w = Window.partitionBy("project_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = (
+            rest.join(room, "project_id")
+            .filter(F.col("bytes") <= F.col("room"))
+            .withColumn("small", small)
+            .withColumn("sum", F.sum(F.when(F.col("small"), F.col("bytes")).otherwise(0)).over(w))
+        )
+        ends = F.when(F.col("small"), F.col("sum") * 2 > F.col("room")).otherwise(F.col("sum") + F.col("bytes") <= F.col("room"))
+        run = staging.stage(run.withColumn("ends", ends), "budget")
+        if run.isEmpty():
+            return taken
+        last = run.filter("ends").groupBy("project_id").agg(F.min("rank").alias("last"))
+        seen = run.join(last, "project_id", "left")
+        fits = (F.col("rank") == F.col("last")) | (F.col("small") & (F.col("last").isNull() | (F.col("rank") < F.col("last"))))
+        now = staging.stage(seen.filter(fits).select("project_id", "rank", "bytes"), "budget")
+        taken = taken.unionByName(now.select("project_id", "rank"))
+        added = now.groupBy("project_id").agg(F.sum("bytes").alias("added"))
+        spent = spent.join(added, "project_id").select("project_id", (F.col("total") + F.col("added")).cast("long").alias("total"))
+        rest = seen.filter(F.col("rank") > F.col("last")).select("project_id", "rank", "bytes")
+
+
 def index_warnings(
     flags: DataFrame,
     budgeted: DataFrame,
@@ -154,7 +177,7 @@ def unsupported_languages(files: DataFrame) -> DataFrame:
     unsupported = [e for e in dims.LANGUAGE_LABELS if e not in dims.INDEX_EXTENSIONS]
     ignored = rx.test(F.lower(paths.normalize(p)), dims.MIGRATION_SQL)
     found = files.filter(
-        ext.isin(unsupported) & ~ignored & _no_excluded_dir(p) & (paths.depth(p) <= dims.MAX_DEPTH)
+        ext.isin(unsupported) & ~ignored & _no_excluded_dir(p)
     ).select("project_id", ext.alias("extension"), "file_path")
     keys = ["project_id", "extension"]
     w = Window.partitionBy(*keys).orderBy("file_path")

@@ -29,11 +29,11 @@ def sensitive_sql(p: str) -> str:
 
 _BASE = q.basename("file_path")
 _INDEXABLE = (
-    f"(NOT {_EXCL} AND {_DEPTH} <= {dims.MAX_DEPTH} AND list_contains({q.arr(dims.INDEX_EXTENSIONS)}, lower({q.ext('file_path')}))"
+    f"(NOT {_EXCL} AND list_contains({q.arr(dims.INDEX_EXTENSIONS)}, lower({q.ext('file_path')}))"
     f" AND NOT {q.m(_BASE, dims.LOCK_OR_SNAPSHOT, 'i')} AND NOT {q.m(_BASE, dims.INDEX_LOCKFILES, 'i')}"
     f" AND NOT {sensitive_sql('file_path')})"
 )
-views.register("v_scanned", f"SELECT project_id, file_path, bytes, content FROM tree_files WHERE {_INDEXABLE}")
+views.register("v_scanned", f"SELECT project_id, file_path, bytes, {_DEPTH} > {dims.MAX_DEPTH} AS too_deep, content FROM tree_files WHERE {_INDEXABLE}")
 views.register(
     "v_capped",
     "SELECT *, rank > " + str(LIMITS["max_files"]) + " AS over_file_limit FROM (SELECT project_id, file_path, bytes,"
@@ -49,9 +49,9 @@ views.register(
 )
 
 
-@query("scan_repository", "SELECT project_id, file_path, bytes FROM v_scanned")
+@query("scan_repository", "SELECT project_id, file_path, bytes, too_deep FROM v_scanned")
 def _(spark, sf):
-    return ingest.scan(corpus.tree_files(spark, sf)).select("project_id", "file_path", "bytes")
+    return ingest.scan(corpus.tree_files(spark, sf)).select("project_id", "file_path", "bytes", "too_deep")
 
 
 def _capped(spark, sf):
@@ -114,7 +114,7 @@ _UNSUP = [e for e in dims.LANGUAGE_LABELS if e not in dims.INDEX_EXTENSIONS]
     f"""SELECT project_id, extension, label, count(*) AS file_count, array_to_string(list_slice(list_sort(list(file_path)), 1, 3), '|') AS sample_files
       FROM (SELECT project_id, file_path, lower({q.ext('file_path')}) AS extension,
         {q.lit_map(f"lower({q.ext('file_path')})", dims.LANGUAGE_LABELS)} AS label FROM tree_files
-        WHERE NOT {_EXCL} AND {_DEPTH} <= {dims.MAX_DEPTH} AND NOT {q.m('lower(file_path)', dims.MIGRATION_SQL)})
+        WHERE NOT {_EXCL} AND NOT {q.m('lower(file_path)', dims.MIGRATION_SQL)})
       WHERE list_contains({q.arr(_UNSUP)}, extension) GROUP BY ALL""",
 )
 def _(spark, sf):

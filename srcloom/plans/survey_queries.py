@@ -17,7 +17,7 @@ from srcloom.staging import shared
 _B = q.basename("file_path")
 _X = f"lower({q.ext('file_path')})"
 _SURVEYABLE = (
-    f"(NOT {_EXCL} AND {_DEPTH} <= {dims.MAX_DEPTH} AND list_contains({q.arr(dims.SURVEY_EXTENSIONS)}, {_X}) AND NOT {q.m(_B, dims.LOCK_OR_SNAPSHOT, 'i')}"
+    f"(NOT {_EXCL} AND list_contains({q.arr(dims.SURVEY_EXTENSIONS)}, {_X}) AND NOT {q.m(_B, dims.LOCK_OR_SNAPSHOT, 'i')}"
     f" AND NOT {q.m(_B, dims.SURVEY_LOCKFILES, 'i')} AND NOT {q.m(_B, dims.SURVEY_BINARIES, 'i')} AND NOT {sensitive_sql('file_path')})"
 )
 # The scores of v_scored come from the raw text; the inventory scores the redacted text.
@@ -31,7 +31,7 @@ views.register("v_survey_scored", views.VIEWS["v_scored"].replace("v_signals", "
 views.register(
     "v_inventory",
     f"""SELECT project_id, file_path, bytes, {q.lit_map(_X, dims.SURVEY_LABELS, f"upper(regexp_replace({_X}, '^[.]', ''))")} AS language,
-      list_contains({q.arr(dims.INDEX_EXTENSIONS)}, {_X}) AS supported, is_doc AS documentation, entry_score, doc_score, false AS skipped,
+      list_contains({q.arr(dims.INDEX_EXTENSIONS)}, {_X}) AS supported, is_doc AS documentation, entry_score, doc_score, bytes > {dims.MAX_FILE_BYTES} AS oversized,
       EXISTS (SELECT 1 FROM v_prefixes v WHERE v.project_id = s.project_id AND (s.file_path = v.prefix OR starts_with(s.file_path, v.prefix || '/'))) AS is_vendored FROM v_survey_scored s""",
 )
 
@@ -51,9 +51,9 @@ def _(spark, sf):
 
 
 def _ranked_sql(kind):
-    score, extra, n = ("entry_score", "", 80) if kind == "candidate" else ("doc_score", " AND doc_score > 0", 40)
-    return f"""SELECT * FROM (SELECT project_id, file_path, {score} AS score, row_number() OVER (PARTITION BY project_id ORDER BY {score} DESC, file_path) AS rank
-      FROM v_inventory WHERE NOT is_vendored{extra}) WHERE rank <= {n}"""
+    score, extra = ("entry_score", "") if kind == "candidate" else ("doc_score", " AND doc_score > 0")
+    return f"""SELECT project_id, file_path, {score} AS score, row_number() OVER (PARTITION BY project_id ORDER BY {score} DESC, file_path) AS rank
+      FROM v_inventory WHERE NOT is_vendored{extra}"""
 
 
 views.register("v_top_candidates", _ranked_sql("candidate"))
@@ -80,7 +80,7 @@ def _(spark, sf):
 
 @query(
     "inventory_totals",
-    """SELECT project_id, count(*) AS scanned, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE supported) AS supported,
+    """SELECT project_id, count(*) AS scanned, count(*) FILTER (WHERE oversized) AS oversized, count(*) FILTER (WHERE supported) AS supported,
       count(*) FILTER (WHERE NOT supported) AS unsupported FROM v_inventory GROUP BY project_id""",
 )
 def _(spark, sf):

@@ -333,7 +333,7 @@ views.register(
         row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS ord FROM (
         SELECT query_id, lower(raw[i]) AS value, {q.m('raw[i]', dims.Q_CODE_LIKE)} AS code_like, i AS pos
         FROM (SELECT query_id, {_raw} AS raw FROM queries), range(1, len(raw) + 1) r(i))
-      WHERE NOT list_contains({q.arr(dims.STOP_WORDS)}, value) GROUP BY query_id, value) WHERE ord <= {dims.MAX_TERMS}""",
+      WHERE NOT list_contains({q.arr(dims.STOP_WORDS)}, value) GROUP BY query_id, value)""",
 )
 views.register(
     "v_features",

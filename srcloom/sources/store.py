@@ -47,7 +47,10 @@ def load_units(spark: SparkSession, path: str, array_files: bool = False) -> Dat
     missing = [F.when(F.coalesce(F.col(n), F.lit("")) == "", f"{n} is missing") for n in _REQUIRED]
     found = F.array_compact(F.array(*missing, *numbers, *lists))
     problems = F.when(F.col("_corrupt").isNotNull(), F.array(F.lit("not a JSON object"))).otherwise(found)
-    return rows.select(*[fitted(n).alias(to) for n, to in UNIT_FIELDS.items()], problems.alias("problems"))
+    whole = F.col("_corrupt").isNull()
+    empty = {**{n: _none() for n in _LISTS}, "isVendored": F.lit(False)}
+    fields = [F.when(whole, fitted(n)).otherwise(empty.get(n, F.lit(None))).alias(to) for n, to in UNIT_FIELDS.items()]
+    return rows.select(*fields, problems.alias("problems"))
 
 
 def _items(json: Column) -> Column:

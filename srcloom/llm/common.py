@@ -37,6 +37,17 @@ def id_remainder(column, divisor: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def spare_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor costs nothing."""
     path = f"{staging.shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"

@@ -163,6 +163,10 @@ def fit(docs: DataFrame, learn_from: Column, docs_per_language: int = 400, windo
     return model | {"languages": languages}
 
 
+def has_letter(text: str) -> bool:
+    return _LETTER.search(text) is not None
+
+
 def predict(model: dict, texts: list[str]) -> tuple[list[str], list[float]]:
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     if not model["languages"]:

@@ -124,15 +124,17 @@ _RUN_ITEM = re.compile(rf"(?i)\b(?:{_NAME}|{'|'.join(_SIGN_NAMES)})\b|[0-9]+|[.+
 _RUN_START = re.compile(rf"(?i)\b(?:plus|{_NAME})\b")
 _GAP = re.compile(r"[\x20-]{0,2}")
 _OPEN, _CLOSE = r"[\[({<]\x20?", r"\x20?[\])}>]"
-_AT = rf"(?:\x20?{_OPEN}(?:at|@){_CLOSE}\x20?|\x20(?:at|AT)\x20|\x20@\x20)"
-_DOT = rf"(?:\x20?{_OPEN}(?:dot|punkt|point|\.){_CLOSE}\x20?|\x20(?:dot|DOT)\x20)"
-_HOST = r"[A-Za-z0-9-]{1,63}"
+_AT = rf"(?:\x20?{_OPEN}(?:at|@){_CLOSE}\x20?|\x20at\x20|\x20@\x20)"
+_DOT = rf"(?:\x20?{_OPEN}(?:dot|punkt|point|\.){_CLOSE}\x20?|\x20dot\x20)"
+_HOST = r"[A-Za-z0-9-]+"
 #: A disguised address: a local part, a sign for @, and a host with at least one sign for the dot.
 _ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}?)"
-    rf"(?P<at>{_AT}|@)(?P<host>{_HOST}(?:(?:{_DOT}|\.){_HOST}){{1,4}})(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+){{0,15}}?)"
+    rf"(?P<at>{_AT}|@)(?P<host>{_HOST}(?:(?:{_DOT}|\.){_HOST}){{1,16}})(?![A-Za-z0-9])",
     re.I,
 )
+#: Four groups of digits with at least one disguised dot between them.
+_MACHINE = re.compile(rf"(?i)(?<![0-9])[0-9]++(?:(?:{_DOT}|\.)[0-9]++){{3}}")
 _DOT_RE, _AT_RE = re.compile(_DOT, re.I), re.compile(_AT, re.I)
 _PLAIN_AT = re.compile(r"\x20at\x20", re.I)
 #: Literal signs of a disguise; texts without any are not searched further.
@@ -240,6 +242,16 @@ def undisguise_addresses(tape: Tape) -> Tape:
     return tape.apply(edits)
 
 
+def undisguise_machines(tape: Tape) -> Tape:
+    """Disguised dots between groups of digits become dots where the detector then sees an address."""
+    edits = []
+    for m in _MACHINE.finditer(tape.text):
+        dots = list(_DOT_RE.finditer(tape.text, *m.span()))
+        if dots and ips(_DOT_RE.sub(".", m[0])):
+            edits += [(d.start(), d.end(), ".") for d in dots]
+    return tape.apply(edits)
+
+
 def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     tape = Tape(text)
     if not text.isascii() and _BEYOND_LATIN.search(text) and _GLYPH.search(text):
@@ -248,7 +260,7 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
     if any(hint in low for hint in _NAME_HINTS):
         tape = spell_out(tape)
     if any(hint in low for hint in _AT_HINTS):
-        tape = undisguise_addresses(tape)
+        tape = undisguise_machines(undisguise_addresses(tape))
     if tape.text is text:
         return {k: [] for k in KINDS}
     out = {}

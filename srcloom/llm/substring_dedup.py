@@ -292,25 +292,26 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text`` (each with the white space behind it); other columns stay."""
     found, _, spans = repeat_spans(docs, window)
     copy = (F.col("first") < F.col("doc_id")) & (F.col("n_words") >= window)
+    own_id, own_md5, own_spans = common.spare_names(docs, "_id", "_md5", "_spans")
     # The id of the row's text decides, so that repeated ids with other texts are not touched.
     plan = (
         found.join(spans, ["doc_id", "md5"], "left")
         .select(
-            F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"),
-            F.when(copy, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))).otherwise(F.col("spans")).alias("_spans"),
+            F.col("doc_id").alias(own_id), F.col("md5").alias(own_md5),
+            F.when(copy, F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))).otherwise(F.col("spans")).alias(own_spans),
         )
-        .where(F.col("_spans").isNotNull() & F.col("_id").isNotNull())
-        .dropDuplicates(["_id", "_md5"])
+        .where(F.col(own_spans).isNotNull() & F.col(own_id).isNotNull())
+        .dropDuplicates([own_id, own_md5])
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(plan, (docs["doc_id"] == F.col("_id")) & (F.md5(text.cast("binary")) == F.col("_md5")), "left")
+    joined = docs.join(plan, (docs["doc_id"] == F.col(own_id)) & (F.md5(text.cast("binary")) == F.col(own_md5)), "left")
 
     names = docs.columns
 
     def cut(batches):
         for batch in common.slices(batches):
             texts = []
-            for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+            for t, s in zip(batch.column("text").to_pylist(), batch.column(own_spans).to_pylist()):
                 if t and s:
                     words = _WORD.findall(t.encode())
                     gone = marked(len(words), s).tolist()
@@ -319,7 +320,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return joined.select(*[F.col(f"`{n}`") for n in names], own_spans).mapInArrow(cut, docs.schema)
 
 
 def oracle_sql() -> str:

@@ -15,7 +15,6 @@ import time
 from srcloom import registry, staging
 from srcloom.session import local_session
 
-# The retrieval pipeline is not timed by default: see "State of measurement" in the README.
 HEADLINE = [
     "redact_text",
     "declaration_scan",
@@ -30,6 +29,9 @@ HEADLINE = [
     "select_briefing_context",
     "validate_graph",
     "markdown_report",
+    "lexical_search",
+    "rerank",
+    "pack_context",
 ]
 
 

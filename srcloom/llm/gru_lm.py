@@ -47,7 +47,9 @@ BLOCK_TOKENS = 1 << 20
 SHARD_ENTRIES = 500_000
 #: Blocks, tokens of each and updates of the common start.
 WARM_BLOCKS, WARM_TOKENS, WARM_UPDATES = 3, 50_000, 240
-LANES, STEPS = 128, 16
+LANES, STEPS = 512, 16
+#: Adagrad rate of the one pass of a block; the start uses ``train``'s default.
+PASS_RATE = 0.15
 N_CLASSES = 1 + len(RANGES) + FREQUENT // CLASS_WORDS
 
 
@@ -241,41 +243,90 @@ def fresh(lexicon: Lexicon, seed: int = 0) -> dict[str, np.ndarray]:
     }
 
 
-def classes_of(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Output class of a symbol and its place in it (-1 where the class has no softmax of its own)."""
-    word = symbols - 1 - len(RANGES)
-    return np.where(word < 0, symbols, 1 + len(RANGES) + word // CLASS_WORDS), np.where(word < 0, -1, word % CLASS_WORDS)
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def step(net: dict, symbols: np.ndarray, state: np.ndarray):
-    x, g = net["table"][symbols], state @ net["inner"]
-    gates = sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-    keep, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    inner = g[:, 2 * HIDDEN :]
-    new = np.tanh(x[:, 2 * HIDDEN :] + reset * inner)
-    return new + keep * (state - new), (keep, reset, new, inner)
-
-
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+_WORD = np.arange(N_SYMBOLS) - 1 - len(RANGES)
+#: Output class of a symbol and its place in it (-1 where the class has no softmax of its own). Short
+#: integers, which numpy sorts by radix.
+_CLASS = np.where(_WORD < 0, np.arange(N_SYMBOLS), 1 + len(RANGES) + _WORD // CLASS_WORDS).astype(np.int16)
+_PLACE = np.where(_WORD < 0, -1, _WORD % CLASS_WORDS).astype(np.int16)
+
+
+class Recurrence:
+    """Steps of the network over windows of lanes, in buffers that all windows share."""
+
+    def __init__(self, net: dict, steps: int, lanes: int):
+        self.net, self.lanes = net, lanes
+        wide = lambda k: np.empty((steps, lanes, k * HIDDEN), np.float32)
+        self.gates, self.inner, self.new, self.previous, self.states = wide(2), wide(1), wide(1), wide(1), wide(1)
+        self.goes_on = np.empty((steps, lanes, 1), np.float32)
+        self.product = np.empty((lanes, 3 * HIDDEN), np.float32)
+
+    def run(self, inputs: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """States after each of ``inputs`` (steps, lanes); the symbol that ends a text clears the state before it."""
+        n, half = len(inputs), np.float32(0.5)
+        seen = self.net["table"][inputs]
+        np.copyto(self.goes_on[:n, :, 0], inputs > 0)
+        for t in range(n):
+            gates, inner, new, previous = self.gates[t], self.inner[t], self.new[t], self.previous[t]
+            np.multiply(state, self.goes_on[t], out=previous)
+            np.matmul(previous, self.net["inner"], out=self.product)
+            inner[:] = self.product[:, 2 * HIDDEN :]
+            # The logistic function as a hyperbolic tangent of half the argument.
+            np.add(seen[t, :, : 2 * HIDDEN], self.product[:, : 2 * HIDDEN], out=gates)
+            gates *= half
+            np.tanh(gates, out=gates)
+            gates *= half
+            gates += half
+            np.multiply(gates[:, HIDDEN:], inner, out=new)
+            new += seen[t, :, 2 * HIDDEN :]
+            np.tanh(new, out=new)
+            state = self.states[t]
+            np.subtract(previous, new, out=state)
+            state *= gates[:, :HIDDEN]
+            state += new
+        return self.states[:n]
+
+
+def class_odds(net: dict, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all classes less the largest of the row, and their exponentials, both (classes, rows)."""
+    logits = net["to_class"].T @ states.T
+    logits += net["class_bias"][:, None]
+    logits -= logits.max(0)
+    return logits, np.exp(logits)
+
+
+class Members:
+    """Rows whose class has a softmax of its own, ordered by class."""
+
+    def __init__(self, classes: np.ndarray, places: np.ndarray):
+        words = np.flatnonzero(places >= 0)
+        own = classes[words] - 1 - len(RANGES)
+        order = np.argsort(own, kind="stable")
+        self.rows, self.own, self.places = words[order], own[order], places[words][order]
+        edges = np.searchsorted(self.own, np.arange(FREQUENT // CLASS_WORDS + 1))
+        self.parts = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
+
+    def logits(self, net: dict, states: np.ndarray) -> np.ndarray:
+        """Logits of the words of each row's class, less the largest of the row; ``states`` are those of ``rows``."""
+        out = np.empty((len(states), CLASS_WORDS), np.float32)
+        for k, part in self.parts:
+            np.matmul(states[part], net["to_word"][k], out=out[part])
+        out += net["word_bias"][self.own]
+        out -= out.max(1, keepdims=True)
+        return out
+
+
+_ONES = np.ones(CLASS_WORDS, np.float32)
 
 
 def log_likelihood(net: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target symbol given its state."""
-    classes, places = classes_of(targets)
-    out = log_softmax(states @ net["to_class"] + net["class_bias"])[np.arange(len(targets)), classes]
-    order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(1 + len(RANGES), N_CLASSES + 1))
-    for k in range(len(edges) - 1):
-        rows = order[edges[k] : edges[k + 1]]
-        if len(rows):
-            logs = log_softmax(states[rows] @ net["to_word"][k] + net["word_bias"][k])
-            out[rows] += logs[np.arange(len(rows)), places[rows]]
+    classes, places = _CLASS[targets], _PLACE[targets]
+    logits, odds = class_odds(net, states)
+    out = logits[classes, np.arange(len(targets))] - np.log(odds.sum(0))
+    words = Members(classes, places)
+    logits = words.logits(net, states[words.rows])
+    chosen = logits[np.arange(len(words.rows)), words.places]
+    out[words.rows] += chosen - np.log(np.exp(logits, out=logits) @ _ONES)
     return out
 
 
@@ -298,22 +349,25 @@ def lanes_of(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarra
     return symbols, number
 
 
-def score_texts(net: dict, texts: list[np.ndarray], lanes: int = 256, window: int = 256) -> np.ndarray:
+def score_texts(net: dict, texts: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
     """Natural log-likelihood of whole texts; the state runs through each from its start to its end."""
     symbols, number = lanes_of(texts, lanes)
     scores = np.zeros(len(texts))
     state = np.zeros((symbols.shape[1], HIDDEN), np.float32)
     before = np.zeros(symbols.shape[1], np.int32)
+    network = None
     for start in range(0, len(symbols), window):
         part = symbols[start : start + window]
-        live = np.flatnonzero((part >= 0).any(0))
-        part, state, before = part[:, live], state[live], before[live]
-        symbols, number = symbols[:, live], number[:, live]
-        states = np.empty((*part.shape, HIDDEN), np.float32)
-        for t in range(len(part)):
-            state, _ = step(net, np.maximum(before, 0), np.where((before == 0)[:, None], np.float32(0), state))
-            states[t] = state
-            before = part[t]
+        live = (part[0] >= 0).nonzero()[0]
+        if len(live) < part.shape[1]:
+            # A lane is one run of symbols, so a lane without one here has none later.
+            state, before, symbols, number = state[live], before[live], symbols[:, live], number[:, live]
+            part = symbols[start : start + window]
+        if network is None or network.lanes != len(live):
+            network = Recurrence(net, window, len(live))
+        inputs = np.maximum(np.concatenate([before[None], part[:-1]]), 0)
+        states = network.run(inputs, state)
+        state, before = states[-1].copy(), part[-1]
         valid = part >= 0
         logs = log_likelihood(net, states[valid], part[valid])
         scores += np.bincount(number[start : start + window][valid], logs, len(texts))
@@ -334,65 +388,77 @@ def train(net: dict, line: np.ndarray, updates: int = 1, rate: float = 0.08) ->
     symbols = np.full(lanes * height, -1, np.int32)
     symbols[: len(line)] = line
     symbols = symbols.reshape(lanes, height).T
+    network = Recurrence(net, STEPS, lanes)
+    d_inner = np.empty((STEPS, lanes, 3 * HIDDEN), np.float32)
+    d_new, d = np.empty((STEPS, lanes, HIDDEN), np.float32), np.empty((lanes, HIDDEN), np.float32)
     for _ in range(-(-updates // -(-height // STEPS))):
-        state = np.zeros((symbols.shape[1], HIDDEN), np.float32)
-        before = np.zeros(symbols.shape[1], np.int32)
-        for start in range(0, len(symbols), STEPS):
+        state = np.zeros((lanes, HIDDEN), np.float32)
+        before = np.zeros(lanes, np.int32)
+        for start in range(0, height, STEPS):
             part = symbols[start : start + STEPS]
-            steps, inputs, previous, keeps, states = [], [], [], [], []
-            for t in range(len(part)):
-                keep = (before > 0)[:, None].astype(np.float32)
-                inputs.append(np.maximum(before, 0))
-                previous.append(state * keep)
-                state, parts = step(net, inputs[-1], previous[-1])
-                steps.append(parts)
-                keeps.append(keep)
-                states.append(state)
-                before = part[t]
             valid = part >= 0
             if not valid.any():
                 break
-            states = np.stack(states)
+            steps = len(part)
+            inputs = np.maximum(np.concatenate([before[None], part[:-1]]), 0)
+            states = network.run(inputs, state)
             flat, targets = states[valid], part[valid]
             n = np.float32(1 / len(targets))
-            classes, places = classes_of(targets)
-            delta = np.exp(log_softmax(flat @ net["to_class"] + net["class_bias"]))
-            delta[np.arange(len(targets)), classes] -= 1
+            classes, places = _CLASS[targets], _PLACE[targets]
+            _, delta = class_odds(net, flat)
+            delta /= delta.sum(0)
+            delta[classes, np.arange(len(targets))] -= 1
+            delta *= n
+            grads = {"to_class": flat.T @ delta.T, "class_bias": delta.sum(1)}
+            back = (net["to_class"] @ delta).T.copy()
+            words = Members(classes, places)
+            word_states = flat[words.rows]
+            delta = words.logits(net, word_states)
+            np.exp(delta, out=delta)
+            delta /= (delta @ _ONES)[:, None]
+            delta[np.arange(len(words.rows)), words.places] -= 1
             delta *= n
-            grads = {k: np.zeros_like(v) for k, v in net.items()}
-            grads["to_class"], grads["class_bias"] = flat.T @ delta, delta.sum(0)
-            back = delta @ net["to_class"].T
-            order = np.argsort(classes, kind="stable")
-            edges = np.searchsorted(classes[order], np.arange(1 + len(RANGES), N_CLASSES + 1))
-            for k in range(len(edges) - 1):
-                rows = order[edges[k] : edges[k + 1]]
-                if len(rows):
-                    d = np.exp(log_softmax(flat[rows] @ net["to_word"][k] + net["word_bias"][k]))
-                    d[np.arange(len(rows)), places[rows]] -= 1
-                    d *= n
-                    grads["to_word"][k], grads["word_bias"][k] = flat[rows].T @ d, d.sum(0)
-                    back[rows] += d @ net["to_word"][k].T
+            word_back = np.empty_like(word_states)
+            grads["to_word"], grads["word_bias"] = np.zeros_like(net["to_word"]), np.zeros_like(net["word_bias"])
+            for k, rows in words.parts:
+                grads["to_word"][k], grads["word_bias"][k] = word_states[rows].T @ delta[rows], delta[rows].sum(0)
+                np.matmul(delta[rows], net["to_word"][k].T, out=word_back[rows])
+            back[words.rows] += word_back
             d_states = np.zeros_like(states)
             d_states[valid] = back
-            carried = np.zeros_like(states[0])
-            d_inputs = np.empty((*part.shape, 3 * HIDDEN), np.float32)
-            for t in reversed(range(len(part))):
-                keep, reset, new, inner = steps[t]
-                d = d_states[t] + carried
-                d_new = d * (1 - keep) * (1 - new * new)
-                d_keep = d * (previous[t] - new) * keep * (1 - keep)
-                d_reset = d_new * inner * reset * (1 - reset)
-                d_inputs[t] = np.concatenate([d_keep, d_reset, d_new], 1)
-                d_inner = np.concatenate([d_keep, d_reset, d_new * reset], 1)
-                grads["inner"] += previous[t].T @ d_inner
-                carried = (d * keep + d_inner @ net["inner"].T) * keeps[t]
-            order, flat_inputs = np.argsort(symbols_in := np.stack(inputs).ravel(), kind="stable"), d_inputs.reshape(-1, 3 * HIDDEN)
-            ranked = symbols_in[order]
+            # What does not depend on the later steps is worked out for all steps at once.
+            gates, new, previous = network.gates[:steps], network.new[:steps], network.previous[:steps]
+            keep, reset, inner = gates[..., :HIDDEN], gates[..., HIDDEN:], network.inner[:steps]
+            rest = 1 - keep
+            to_new, to_keep, to_reset = rest * (1 - new * new), (previous - new) * keep * rest, inner * reset * (1 - reset)
+            carried, back_inner = np.float32(0), np.ascontiguousarray(net["inner"].T)
+            for t in reversed(range(steps)):
+                np.add(d_states[t], carried, out=d)
+                np.multiply(d, to_new[t], out=d_new[t])
+                np.multiply(d, to_keep[t], out=d_inner[t, :, :HIDDEN])
+                np.multiply(d_new[t], to_reset[t], out=d_inner[t, :, HIDDEN : 2 * HIDDEN])
+                np.multiply(d_new[t], reset[t], out=d_inner[t, :, 2 * HIDDEN :])
+                carried = d_inner[t] @ back_inner
+                carried += d * keep[t]
+                carried *= network.goes_on[t]
+            flat_inner = d_inner[:steps].reshape(-1, 3 * HIDDEN)
+            grads["inner"] = previous.reshape(-1, HIDDEN).T @ flat_inner
+            state, before = states[-1].copy(), part[-1]
+            # The table: only the rows of symbols that were seen have a gradient.
+            flat_inner[:, 2 * HIDDEN :] = d_new[:steps].reshape(-1, HIDDEN)
+            short = inputs.ravel().astype(np.int16)
+            order = np.argsort(short, kind="stable")
+            ranked = short[order]
             first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-            grads["table"][ranked[first]] = np.add.reduceat(flat_inputs[order], first, axis=0)
+            seen, by_symbol = ranked[first], np.add.reduceat(flat_inner[order], first, axis=0)
+            by_symbol *= len(targets) * np.float32(0.05)
+            squares["table"][seen] += by_symbol * by_symbol
+            net["table"][seen] -= rate * by_symbol / np.sqrt(squares["table"][seen])
             for k, g in grads.items():
-                squares[k] += (g * len(targets) * np.float32(0.05)) ** 2 if k == "table" else g * g
-                net[k] -= rate * g * (len(targets) * np.float32(0.05) if k == "table" else 1) / np.sqrt(squares[k])
+                squares[k] += g * g
+                g *= np.float32(rate)
+                g /= np.sqrt(squares[k])
+                net[k] -= g
     return net
 
 
@@ -468,7 +534,7 @@ def averaged(blocks: DataFrame, net: dict, n_blocks: int, pieces: int = 16) -> d
                 line = training_line(row)
                 if len(line):
                     weight = float(len(line))
-                    flat = flatten(train(net, line, 1, 0.04)) * np.float32(weight)
+                    flat = flatten(train(net, line, 1, PASS_RATE)) * np.float32(weight)
                     data = [p.tobytes() for p in np.array_split(flat, pieces)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(range(pieces), pa.int32()), pa.array([row["block"]] * pieces), pa.array([weight] * pieces), pa.array(data, pa.binary())],

@@ -390,6 +390,46 @@ def test_windows_cover_the_text():
         assert covered == set(range(n))
 
 
+def test_lm_scores_equal_a_plain_loop():
+    """One text at a time, one symbol at a time, in double precision, against lanes and windows."""
+    r = np.random.default_rng(5)
+    n, h = gru_lm.N_SYMBOLS, gru_lm.HIDDEN
+    net = {
+        "table": r.normal(0, 0.5, (n, 3 * h)), "inner": r.normal(0, 0.5, (h, 3 * h)), "to_class": r.normal(0, 0.5, (h, gru_lm.N_CLASSES)),
+        "class_bias": r.normal(0, 1, gru_lm.N_CLASSES), "to_word": r.normal(0, 0.5, (45, h, 45)), "word_bias": r.normal(0, 1, (45, 45)),
+    }
+    texts = [np.append(r.integers(1, n, k), 0).astype(np.int32) for k in (0, 1, 7, 40, 300, 0, 33, 129)]
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    log_odds = lambda z, k: z[k] - np.log(np.exp(z).sum())
+    want, first = [], 1 + len(gru_lm.RANGES)
+    for text in texts:
+        state, before, total = np.zeros(h), 0, 0.0
+        for symbol in text:
+            x, g = net["table"][before], state @ net["inner"]
+            keep, reset = logistic(x[:h] + g[:h]), logistic(x[h : 2 * h] + g[h : 2 * h])
+            state = keep * state + (1 - keep) * np.tanh(x[2 * h :] + reset * g[2 * h :])
+            word = symbol - first
+            total += log_odds(state @ net["to_class"] + net["class_bias"], symbol if word < 0 else first + word // 45)
+            if word >= 0:
+                total += log_odds(state @ net["to_word"][word // 45] + net["word_bias"][word // 45], word % 45)
+            before = symbol
+        want.append(total)
+    single = {k: v.astype(np.float32) for k, v in net.items()}
+    for lanes, window in ((1, 5), (3, 16), (64, 32)):
+        assert np.allclose(gru_lm.score_texts(single, texts, lanes, window), want, rtol=1e-3, atol=1e-3)
+
+
+def test_lm_gradients_descend():
+    """A start from even odds must learn a line in which every symbol names the next."""
+    lexicon = gru_lm.Lexicon.__new__(gru_lm.Lexicon)
+    lexicon.top_counts, lexicon.ends, lexicon.range_sums = np.full(6, 10), 10, np.ones(len(gru_lm.RANGES))
+    first = 1 + len(gru_lm.RANGES)
+    line = np.tile(np.append(first + np.arange(6), 0), 300).astype(np.int32)
+    net = gru_lm.fresh(lexicon)
+    before, after = gru_lm.score_texts(net, [line[:7]])[0], gru_lm.score_texts(gru_lm.train(net, line, 200), [line[:7]])[0]
+    assert after > before / 10 and after < 0
+
+
 def test_lm_base_is_exact_and_model_is_better(spark, docs, empty):
     def check(rows, table):
         out = gru_lm.score_documents(table, F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))).collect()

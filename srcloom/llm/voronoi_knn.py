@@ -2,14 +2,17 @@
 
 Every vector gets one more component that brings all data to the same length, and
 queries are scaled to that length too; then the largest inner products are the smallest
-distances. Data is grouped by its nearest pivot, and inside a cell cut into blocks by its
-distance to the pivot. Per cell, the smallest distances to the pivot give each query an
-upper bound of the distance of its k-th neighbour. A data block is sent to a block of
-queries only if the triangle inequality leaves room for a neighbour in it; the pair is
+distances. Data is grouped by its nearest pivot, and inside a cell cut into rings by its
+distance to the pivot. Queries are grouped by their nearest pivot too, so that those of one
+group look the same way. Per cell, the smallest distances to the pivot give each query an
+upper bound of the distance of its k-th neighbour. A group of queries is sent only to the rings
+in which the triangle inequality leaves room for a neighbour; each block of a ring is
 solved by one exact matrix product, and the best of all blocks are merged.
 
-Pivots are a sample of bounded size; any pivots give exact results. Bounds are floating-point
-numbers with slack, scores are exact integers.
+Large rings are dealt over blocks and large groups of queries over parts, both by counts, so a
+hot cell is spread over many keys of the join. Pivots are a sample whose number grows with the
+root of the number of vectors, up to ``MOST_PIVOTS``; any pivots give exact results. Bounds are
+floating-point numbers with slack, scores are exact integers.
 
 Edge cases: vectors that are null or hold null or non-finite components, and rows
 with a null id, take no part; of several rows with one id the least vector counts; of vectors
@@ -29,10 +32,12 @@ from pyspark.sql import Window
 from srcloom.llm import common
 
 SCHEMA = "query_id long, rank int, vec_id long, score long"
-PIVOTS = 48
+PIVOTS, MOST_PIVOTS = 48, 1024
 DATA_BLOCK = 2048
 QUERY_BLOCK = 1024
 MAX_RINGS = 32
+#: Blocks of a ring that share a key of the join, and vectors that make a ring of its own.
+SHARE_BLOCKS, RING_ROWS = 16, 4 * DATA_BLOCK
 _LOCAL = "query_id long, vec_id long, score long"
 
 
@@ -107,19 +112,45 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
     return rows, out_ids, out_scores
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
-    """The ``k`` best of all other vectors for every query."""
-    spark = vectors.sparkSession
+class Rings:
+    """Rings of the cells from their counts and spans of distances, and the deal of large rings."""
+
+    def __init__(self, n_cells: int, cells: list):
+        self.rings, self.low, self.span = np.ones(n_cells, np.int64), np.zeros(n_cells), np.ones(n_cells)
+        for r in cells:
+            self.rings[r["cell"]] = min(MAX_RINGS, -(-r["n"] // RING_ROWS))
+            self.low[r["cell"]], self.span[r["cell"]] = r["low"], max(r["high"] - r["low"], 1e-9)
+        self.deals = np.zeros((n_cells, MAX_RINGS), np.int64)
+
+    def of(self, cell, d: np.ndarray) -> np.ndarray:
+        """Rising in ``d``, so that bounds of distances are bounds of rings."""
+        at = np.floor((d - self.low[cell]) / self.span[cell] * self.rings[cell])
+        return np.clip(at, 0, self.rings[cell] - 1).astype(np.int32)
+
+    def count(self, rows: list) -> None:
+        for r in rows:
+            self.deals[r["cell"], r["ring"]] = -(-r["n"] // DATA_BLOCK)
+
+
+def dealt(ids: np.ndarray, deals: np.ndarray) -> np.ndarray:
+    return (common.mix(ids.astype(np.int64).view(np.uint64)) % np.maximum(deals, 1).astype(np.uint64)).astype(np.int32)
+
+
+def candidate_blocks(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, pivots: int | None) -> tuple[DataFrame, int]:
+    """Blocks of data beside the parts of queries that may have a neighbour in them, and the width of their rows."""
     data = common.stage(whole_vectors(vectors, id_col, vector_col), "vectors")
     facts = data.agg(
-        F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("radius2"), F.max(F.size("v")).alias("width")
+        F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("radius2"), F.max(F.size("v")).alias("width")
     ).first()
-    if facts["width"] is None:
-        return spark.createDataFrame([], SCHEMA)
+    if not facts["n"]:
+        return None, 0
     width = max(1, facts["width"])
+    pivots = pivots or int(np.clip(int(facts["n"] ** 0.5), PIVOTS, MOST_PIVOTS))
     # A bounded sample, spread by a hash; equal vectors would make equal cells.
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).select("v").collect()
-    space = Space(np.unique(matrix([r["v"] for r in sample], width), axis=0)[:: max(1, len(sample) // pivots)][:pivots], facts["radius2"])
+    distinct = np.unique(matrix([r["v"] for r in sample], width), axis=0)
+    space = Space(distinct[:: max(1, len(distinct) // pivots)][:pivots], facts["radius2"])
+    n_cells = len(space.pivots)
 
     def assign(batches):
         for batch in common.slices(batches):
@@ -136,8 +167,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     placed = common.stage(data.mapInArrow(assign, "vec_id long, cell int, d double, row binary"), "cells")
     # Per cell: how many, and the k + 1 smallest distances to the pivot (one may be the query's own).
-    counts = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()}
-    summary = {c: (r["n"], r["low"], r["high"]) for c, r in counts.items()}
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
     close = (
         placed.select("cell", "d", "vec_id")
         .withColumn("place", F.row_number().over(Window.partitionBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("d")))
@@ -149,34 +179,55 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     )
     near = sorted((r["cell"], r["d"]) for r in close)
     near_cell, near_d = np.array([c for c, _ in near]), np.array([d for _, d in near])
-    # Blocks of one cell are rings around its pivot; a ring with many vectors is dealt over several blocks.
-    n_cells = len(space.pivots)
-    low = [summary.get(c, (0, 0.0, 0.0))[1] for c in range(n_cells)]
-    span = [max(summary.get(c, (0, 0.0, 0.0))[2] - low[c], 1e-9) for c in range(n_cells)]
-    rings = [min(MAX_RINGS, -(-summary.get(c, (1,))[0] // DATA_BLOCK)) for c in range(n_cells)]
-    of_cell = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("cell"))
-    ring = F.least(F.floor((F.col("d") - of_cell(low)) / of_cell(span) * of_cell(rings)), of_cell(rings) - 1).cast("int")
-    ringed = placed.withColumn("ring", ring)
-    in_ring = {(r["cell"], r["ring"]): r["n"] for r in ringed.groupBy("cell", "ring").agg(F.count("*").alias("n")).collect()}
-    deals = [-(-in_ring.get((c, g), 1) // DATA_BLOCK) for c in range(n_cells) for g in range(MAX_RINGS)]
-    deal = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(d) for d in deals]), F.col("cell") * MAX_RINGS + F.col("ring")))
+    rings = Rings(n_cells, cells)
+
+    def ring_rows(batches):
+        for batch in batches:
+            cell, ids = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy()
+            ring = rings.of(cell, batch.column("d").to_numpy())
+            deal = dealt(ids, rings.deals[cell, ring])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ring), pa.array(deal)], names=[*batch.schema.names, "ring", "deal"])
+
+    first = placed.select("vec_id", "cell", "d").mapInArrow(ring_rows, "vec_id long, cell int, d double, ring int, deal int")
+    rings.count(first.groupBy("cell", "ring").agg(F.count("*").alias("n")).collect())
+    ringed = placed.mapInArrow(ring_rows, "vec_id long, cell int, d double, row binary, ring int, deal int")
 
     def make_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         return pd.DataFrame(
             {
-                "cell": [pdf["cell"].iloc[0]], "low": [pdf["d"].min()], "high": [pdf["d"].max()],
+                "cell": [pdf["cell"].iloc[0]], "ring": [pdf["ring"].iloc[0]], "share": [pdf["deal"].iloc[0] // SHARE_BLOCKS],
+                "low": [pdf["d"].min()], "high": [pdf["d"].max()],
                 "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "rows": [b"".join(pdf["row"])],
             }
         )
 
-    blocks = ringed.groupBy("cell", "ring", deal.alias("deal")).applyInPandas(
-        make_block, "cell int, low double, high double, ids binary, rows binary"
+    keys = ["cell", "ring", "share"]
+    blocks = ringed.groupBy("cell", "ring", "deal").applyInPandas(
+        make_block, "cell int, ring int, share int, low double, high double, ids binary, rows binary"
     )
 
-    n_queries = placed.where(is_query).count()
-    query_parts = -(-n_queries // QUERY_BLOCK)
-    cells = [(c, *summary[c]) for c in sorted(summary)]
+    def homes(batches):
+        for batch in common.slices(batches):
+            rows = np.frombuffer(b"".join(batch.column("row").to_pylist()), np.float64).reshape(batch.num_rows, width)
+            # A zero query is as far from everything and would widen the bounds of a group.
+            home = np.where((rows != 0).any(1), space.to_pivots(space.aim(rows)).argmin(1), n_cells)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"), pa.array(home, pa.int32()), batch.column("row")], names=["vec_id", "home", "row"]
+            )
+
+    queries = placed.where(is_query).select("vec_id", "row").mapInArrow(homes, "vec_id long, home int, row binary")
+    queries = common.stage(queries, "queries")
+    parts = np.ones(n_cells + 1, np.int64)
+    for r in queries.groupBy("home").agg(F.count("*").alias("n")).collect():
+        parts[r["home"]] = -(-r["n"] // QUERY_BLOCK)
+
+    def deal_queries(batches):
+        for batch in batches:
+            part = dealt(batch.column("vec_id").to_numpy(), parts[batch.column("home").to_numpy()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["vec_id", "home", "row", "part"])
+
+    spans = [(r["cell"], r["low"], r["high"]) for r in sorted(cells, key=lambda r: r["cell"])]
 
     def make_queries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
@@ -184,26 +235,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         distances = space.to_pivots(space.aim(rows))
         upper = distances[:, near_cell] + near_d[None]
         reach = np.full(len(pdf), np.inf) if upper.shape[1] <= k else np.partition(upper, k, axis=1)[:, k]
-        # A zero query is as far from everything: nothing can be left out for it.
+        # Nothing can be left out for a zero query.
         reach = np.where((rows != 0).any(1), reach, np.inf) + space.slack
         out = []
-        for c, _, nearest_d, farthest_d in cells:
+        for c, nearest_d, farthest_d in spans:
             below, above = (distances[:, c] - reach).min(), (distances[:, c] + reach).max()
             if below <= farthest_d and above >= nearest_d:
-                out.append((c, below, above))
+                ends = rings.of(c, np.array([max(below, nearest_d), min(above, farthest_d)]))
+                for ring in range(ends[0], ends[1] + 1):
+                    out += [(c, ring, s, below, above) for s in range(-(-int(rings.deals[c, ring]) // SHARE_BLOCKS))]
         ids = pdf["vec_id"].to_numpy(np.int64).tobytes()
-        return pd.DataFrame(
-            {
-                "cell": np.array([c for c, _, _ in out], np.int32), "below": [b for _, b, _ in out], "above": [a for _, _, a in out],
-                "q_ids": [ids] * len(out), "q_rows": [rows.tobytes()] * len(out),
-            }
-        )
+        found = pd.DataFrame(out, columns=[*keys, "below", "above"])
+        return found.assign(q_ids=[ids] * len(out), q_rows=[rows.tobytes()] * len(out))
 
     needs = (
-        placed.where(is_query)
-        .groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, query_parts))).alias("part"))
-        .applyInPandas(make_queries, "cell int, below double, above double, q_ids binary, q_rows binary")
+        queries.mapInArrow(deal_queries, "vec_id long, home int, row binary, part int")
+        .groupBy("home", "part")
+        .applyInPandas(make_queries, "cell int, ring int, share int, below double, above double, q_ids binary, q_rows binary")
     )
+    pairs = blocks.join(needs, keys).where((F.col("high") >= F.col("below")) & (F.col("low") <= F.col("above")))
+    return pairs.select("ids", "rows", "q_ids", "q_rows"), width
+
+
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None
+) -> DataFrame:
+    """The ``k`` best of all other vectors for every query."""
+    pairs, width = candidate_blocks(vectors, is_query, k, id_col, vector_col, pivots)
+    if pairs is None:
+        return vectors.sparkSession.createDataFrame([], SCHEMA)
 
     def solve(batches):
         for batch in batches:
@@ -218,10 +278,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     names=["query_id", "vec_id", "score"],
                 )
 
-    pairs = blocks.join(needs, "cell").where((F.col("high") >= F.col("below")) & (F.col("low") <= F.col("above")))
-    local = pairs.select("ids", "rows", "q_ids", "q_rows").mapInArrow(solve, _LOCAL)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.mapInArrow(solve, _LOCAL).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle_sql() -> str:

@@ -322,6 +322,28 @@ def test_top_k(spark):
     assert voronoi_knn.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_leaves_out_far_cells_and_spreads_hot_ones(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    centres = r.normal(0, 1, (40, 16))
+    points = np.concatenate([centres[r.integers(0, 40, 4000)] + r.normal(0, 0.15, (4000, 16)), np.tile(centres[0], (2000, 1))])
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(points)]
+    # Columns named as the operator's own must not matter.
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string, ring int")
+    for name, value in (("DATA_BLOCK", 128), ("RING_ROWS", 256), ("SHARE_BLOCKS", 2), ("QUERY_BLOCK", 32)):
+        monkeypatch.setattr(voronoi_knn, name, value)
+    is_query = F.col("vec_id") % 50 == 0
+    pairs, _ = voronoi_knn.candidate_blocks(df, is_query, 5, "vec_id", "embedding", None)
+    solved = pairs.select(F.sum(F.length("ids") / 8 * F.length("q_ids") / 8)).first()[0]
+    assert solved < 0.6 * len(points) * len(points) / 50
+    whole = np.floor(256 * points).astype(np.int64)
+    want = []
+    for q in range(0, len(points), 50):
+        scores = whole @ whole[q]
+        order = [int(i) for i in np.lexsort((np.arange(len(points)), -scores)) if i != q][:5]
+        want += [(q, n + 1, i, int(scores[i])) for n, i in enumerate(order)]
+    assert by_row(voronoi_knn.top_k(df, is_query)) == sorted(want, key=repr)
+
+
 def test_quality_counts(docs, empty, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     want = []

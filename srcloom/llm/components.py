@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 from srcloom.llm import common
 
 
+#: Keys over which the edges of one node are spread, so that a hub is never in one task.
+SALTS = 256
+
+
+def _salted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with a salt, and the least neighbour ``m`` of every ``u`` with the salts it occurs under (``SALTS`` at most)."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    return salted, parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts"))
+
+
+def _with_least(salted: DataFrame, least: DataFrame) -> DataFrame:
+    return salted.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    salted, least = _salted(edges.union(edges.select("v", "u")))
+    least = least.withColumn("m", F.least("u", "m"))
+    return _with_least(salted.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-    joined = down.join(least, F.col("u") == F.col("k"))
-    own = least.select(F.col("k").alias("u"), F.col("m").alias("v"))
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(own)
+    salted, least = _salted(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    moved = _with_least(salted, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return moved.union(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ from srcloom.llm.jaccard_join import groups_of
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 WINDOW, KEY = 50, 24
+#: Windows of one hash that go under one key of a join, and hashes that can be spread over more keys.
+HOT_ROWS, MOST_HOT = 20_000, 10_000
 #: Words that one copy of a shard is to be streamed at most (a single passage may be longer).
 STREAM_WORDS = 100_000
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -161,6 +163,23 @@ def passages(positions: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(p[0]), int(p[-1]) + window) for p in np.split(positions, breaks) if len(p)]
 
 
+def with_owners(windows: DataFrame, owned: DataFrame) -> DataFrame:
+    """Windows with the owner of their hash; the windows of one hot hash are spread over many keys.
+
+    Only the ``MOST_HOT`` most frequent hashes can be spread, which bounds their table. Any other
+    hash has no more windows than each of those, so at most one in ``MOST_HOT`` of all.
+    """
+    hot = owned.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "w").limit(MOST_HOT)
+    hot = [(r["w"], -(-r["n"] // HOT_ROWS)) for r in hot.select("w", "n").collect()]
+    if not hot:
+        return windows.join(owned.select("w", "owner"), "w")
+    copies = F.broadcast(windows.sparkSession.createDataFrame(hot, "w long, copies long"))
+    salt = F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("copies", F.lit(1)))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))
+    spread = windows.join(copies, "w", "left").withColumn("salt", salt).drop("copies")
+    return spread.join(owned.join(copies, "w", "left").select("w", "owner", salts.alias("salt")), ["w", "salt"]).drop("salt")
+
+
 def repeat_spans(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The survey (with ``first``, the least id of its text), the candidate texts, and (doc_id, md5, spans) to remove."""
     texts = common.id_and_text(docs).withColumn("md5", F.md5(F.col("text").cast("binary")))
@@ -189,8 +208,9 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> tuple
             )
 
     windows = candidates.mapInArrow(window_rows, "w long, doc_id long, at int")
-    owned = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last")
-    hits = windows.join(owned.select("w", "owner"), "w").groupBy("doc_id", "owner").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    owned = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    owned = common.stage(owned.where("owner <> last").select("w", "owner", "n"), "owners")
+    hits = with_owners(windows, owned).groupBy("doc_id", "owner").agg(F.sort_array(F.collect_set("at")).alias("at"))
     per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("owner", "at")).alias("hits"))
 
     def routes(batches):

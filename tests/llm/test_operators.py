@@ -15,6 +15,7 @@ import corpus_pipeline
 from srcloom.llm import (
     bpe,
     bpe_chunks,
+    components,
     gru_lm,
     jaccard_join,
     language_id,
@@ -230,7 +231,10 @@ def words(text):
     return (text or "").encode().split()
 
 
-def test_substring_dedup(docs, empty):
+@pytest.mark.parametrize("hot_rows", [substring_dedup.HOT_ROWS, 2])
+def test_substring_dedup(docs, empty, monkeypatch, hot_rows):
+    # With two rows to a key, most windows take the way of the hot ones.
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", hot_rows)
     first = {}
     for doc_id, text, *_ in ROWS:
         if doc_id is not None:
@@ -250,6 +254,26 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_components_of_hubs_chains_and_cycles(spark, monkeypatch):
+    r = random.Random(6)
+    edges = [(5000, k) for k in range(600)] + [(k, k + 1) for k in range(700, 760)] + [(760, 700), (9, 9)]
+    edges += [(r.randrange(6000, 6200), r.randrange(6000, 6200)) for _ in range(120)] + [(8000, 5000), (8000, 8001)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = sorted((x, root(x)) for x in parent if root(x) != x)
+    for salts in (components.SALTS, 3):
+        monkeypatch.setattr(components, "SALTS", salts)
+        assert sorted(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect())) == want
+
+
 def test_automaton_matches_plain_search():
     for _ in range(60):
         texts = [[rng.randrange(3) for _ in range(rng.randrange(1, 40))] for _ in range(3)]

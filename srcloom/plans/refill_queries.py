@@ -193,7 +193,7 @@ def _overlap(col, buckets):
 
 def _request_sql():
     rows = ", ".join(f"({q.s(role)}, {i}, {q.arr(part)}, {q.s(' '.join(part).lower())})" for role, i, part in _PARTS)
-    return f"""SELECT concat(project_id, ':', role, ':', i) AS request_id, project_id, list_contains(sections, 'Top User Workflows') AS top, {q.m('joined', dims.WORKFLOW_SECTION)} OR {q.m('joined', dims.PRODUCT_SECTION)} AS any_workflow,
+    return f"""SELECT concat(project_id, ':', role, ':', i) AS request_id, project_id, list_contains(sections, 'Top User Workflows') AS top, {q.m('joined', dims.WORKFLOW_SECTION)} OR {q.m('joined', dims.REFILL_PRODUCT_SECTION)} AS any_workflow,
       {q.m('joined', dims.RISK_SECTION)} AS risky FROM (SELECT DISTINCT project_id FROM tree_units), (VALUES {rows}) p(role, i, sections, joined)"""
 
 

@@ -227,3 +227,10 @@ def test_terms_of_long_questions(spark, most, n):
     text = " ".join(f"word{i}" for i in range(40))
     row = spark.createDataFrame([(text,)], "q string").select(questions.terms(F.col("q"), most).alias("t")).first()
     assert len(row.t) == n
+
+
+def test_workflow_sections_take_overview_documents(spark):
+    rows = [(1, "a", "README.md", 1, "overview_docs", 9)]
+    scored = spark.createDataFrame(rows, "project_id long, id string, file_path string, start_line int, bucket string, score int")
+    want = {"Product In One Paragraph", "Who Uses It And Why", "Codebase Product Map", "Top User Workflows"}
+    assert want <= {r.section for r in briefing.product_overview(scored).collect()}

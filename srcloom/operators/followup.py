@@ -9,6 +9,7 @@ from srcloom import dims, rx
 from srcloom.functions import citing, paths, questions, sections
 from srcloom.operators import fuse, pack
 from srcloom.sources import store
+from srcloom.staging import stage
 
 # --- fixed values: words that mark sharing and storage code, and sources that distract ---------
 PIN_WORDS = r"\b(collab|share|portal|firebase|socket|room|link|encrypt|storage|local)\b"
@@ -72,17 +73,18 @@ def followup_hits(asked: DataFrame, hits: DataFrame, units: DataFrame, k: int =
     """Hits for a follow-up: pinned and channel hits, boosted, reranked, pinned first again.
 
     ``asked`` carries the expanded query, the follow-up intent and the plan features;
-    ``hits`` the channel hits of the expanded queries.
+    ``hits`` the channel hits of the expanded queries, a stored table. The pinned and the merged hits, a few rows per question that
+    later steps read again, are staged, so no plan holds their whole lineage several times.
     """
     order = ["pinned", "exact", "grep", "lexical", "overview"]
-    pinned = pinned_units(asked, units)
+    pinned = stage(pinned_units(asked, units), "pinned")
     wants = asked.filter(
         F.col("followup").isin("glossary", "persona_rewrite") | F.col("intent").isin(fuse.OVERVIEW_INTENTS)
     ).select("query_id")
     plain = hits.filter("channel <> 'overview'")
     over = hits.filter("channel = 'overview'").join(wants, "query_id", "left_semi")
     merged = fuse.merge(pinned.unionByName(plain).unionByName(over), 2 * k, order)
-    boosted = boost_sources(merged, asked, units.select("project_id", "id", "file_path"))
+    boosted = stage(boost_sources(merged, asked, units.select("project_id", "id", "file_path")), "boosted")
     reranked = fuse.rerank(asked, boosted, units, k)
     again = reranked.select(
         "query_id", "project_id", "unit_id", F.lit("exact").alias("channel"), "score", F.col("rank"), "is_vendored"

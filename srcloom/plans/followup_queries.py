@@ -15,7 +15,7 @@ from srcloom.plans import answer
 from srcloom.plans.citation_queries import context_units, judged, norm_sql, squeeze_sql
 from srcloom.registry import query
 from srcloom.sources import corpus
-from srcloom.staging import shared
+from srcloom.staging import shared, stage
 
 A = "answer"
 KINDS = {s: k for s, _, k in dims.SECTIONS}
@@ -187,27 +187,31 @@ def _(spark, sf):
     return followup.pinned_units(_asked(spark, sf), corpus.units(spark, sf))
 
 
+def _hits(spark, sf, asked, units):
+    """Channel hits of the expanded questions and the hits of the follow-ups, stored tables."""
+    plain = asked.select("query_id", "project_id", "query")
+    hits = shared(spark, sf, "followup-hits", lambda: retrieve.all_channels(plain, units, answer.CHANNEL_K))
+    return shared(spark, sf, "followup-found", lambda: followup.followup_hits(asked, hits, units))
+
+
 @query("followup_retrieval")
 def _(spark, sf):
     asked = shared(spark, sf, "followups", lambda: answer.plans(_asked(spark, sf)))
-    plain = asked.select("query_id", "project_id", "query")
-    units = corpus.units(spark, sf)
-    hits = retrieve.all_channels(plain, units, answer.CHANNEL_K)
-    return followup.followup_hits(asked, hits, units).withColumn("score", F.round("score", 6))
+    return _hits(spark, sf, asked, corpus.units(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query("pack_followup")
 def _(spark, sf):
     asked = shared(spark, sf, "followups", lambda: answer.plans(_asked(spark, sf)))
     units = corpus.units(spark, sf)
-    hits = retrieve.all_channels(asked.select("query_id", "project_id", "query"), units, answer.CHANNEL_K)
     sessions = corpus.sessions(spark, sf).join(asked.select("session_id").distinct(), "session_id", "left_semi")
-    excerpts = followup.session_source_units(followup.session_refs(sessions), units)
+    # Excerpts are short, and three steps read them.
+    excerpts = stage(followup.session_source_units(followup.session_refs(sessions), units), "excerpts")
     cited = excerpts.select("session_id", F.col("id").alias("unit_id"), F.col("pos").alias("rank"))
     sources = asked.select("query_id", "project_id", "session_id").join(cited, "session_id").drop("session_id")
     # An excerpt's name may differ from session to session; as a unit of its project it has one.
     first = Window.partitionBy("project_id", "id").orderBy("session_id", "pos")
     one = excerpts.withColumn("nth", F.row_number().over(first)).filter("nth = 1")
-    found = followup.followup_hits(asked, hits, units).withColumnRenamed("ord", "rank")
+    found = _hits(spark, sf, asked, units).withColumnRenamed("ord", "rank")
     packed = followup.pack_followup(asked, sources, found, units.unionByName(one.select(units.columns)))
     return packed.select("query_id", "project_id", "unit_id", "file_path", "start_line", "end_line", "tokens", "exact", "slot")

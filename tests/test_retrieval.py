@@ -2,6 +2,7 @@
 
 import collections
 
+import __spark_entry__ as entry
 from srcloom.operators import retrieve
 
 QUERY = "query_id string, project_id long, query string"
@@ -40,3 +41,8 @@ def test_whole_paths_inside_questions(spark):
     units = spark.createDataFrame([unit("a", 1, ""), unit("b", 1, ""), unit("a", 2, "")], UNIT)
     query = spark.createDataFrame([("q", 1, "what is SRC/A.ts?"), ("r", 2, "src/b.ts")], QUERY)
     assert [tuple(r) for r in retrieve._paths_inside_questions(query, units).collect()] == [("q", 1, "a")]
+
+
+def test_the_plan_of_a_packed_followup_stays_small(spark):
+    packed = entry.queries()["pack_followup"](spark, "/root/testdata/sf0.001")
+    assert packed._jdf.queryExecution().executedPlan().toString().count("Exchange") < 100

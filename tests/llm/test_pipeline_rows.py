@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from srcloom.llm import pii
+from srcloom.llm import language_id, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +68,19 @@ def test_long_runs_of_signs_are_linear():
     assert pii.find_spans(f"{local} at host dot example dot com")[1]["email"] == [(0, 108)]
     for run in ("a dot ", "1 dot ", "a@", "a.b.", "a-"):
         pii.find_spans(run * 20000 + " dot ")
+
+
+def test_the_least_right_score_is_taken_over_all_labelled_rows(spark):
+    words = {"aa": ["alpha", "beta", "gamma", "delta"], "bb": ["xylo", "zumba", "quark", "wyvern"]}
+    rows = [(i, " ".join(words[lang][(i * k) % 4] for k in range(1, 30)), lang) for i in range(40) for lang in words]
+    r = random.Random(5)
+    both = words["aa"] + words["bb"]
+    mixed = [(1000 + i, " ".join("".join(r.sample(w, len(w) - 1)) for w in r.choices(both, k=8)), "aa") for i in range(600)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    model = language_id.fit(docs.where("doc_id < 1000"), F.lit(True))
+    named = zip(mixed, *language_id.predict(model, [m[1] for m in mixed]))
+    want = min(score for (_, _, lang), found, score in named if found == lang)
+    held_out = docs.where("doc_id >= 1000")
+    for shift in range(0, 50_000, 10_000):  # another id is another place in any choice by hash
+        moved = held_out.withColumn("doc_id", F.col("doc_id") + shift)
+        assert corpus_pipeline._least_right_score(moved, model, F.lit(True)) == pytest.approx(want, rel=1e-9)

@@ -180,6 +180,16 @@ def with_owners(windows: DataFrame, owned: DataFrame) -> DataFrame:
     return spread.join(owned.join(copies, "w", "left").select("w", "owner", salts.alias("salt")), ["w", "salt"]).drop("salt")
 
 
+def shared_keys(firsts: DataFrame) -> DataFrame:
+    """(first, keys): of every text the keys that another text has too; texts without any are left out.
+
+    A row per key is shuffled, so it holds two numbers and not the digest of the text.
+    """
+    occurs = firsts.select("first", F.explode("keys").alias("k"))
+    shared = occurs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    return occurs.join(shared, "k").groupBy("first").agg(F.collect_list("k").alias("keys"))
+
+
 def repeat_spans(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The survey (with ``first``, the least id of its text), the candidate texts, and (doc_id, md5, spans) to remove."""
     texts = common.id_and_text(docs).withColumn("md5", F.md5(F.col("text").cast("binary")))
@@ -187,9 +197,7 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, key: int = KEY) -> tuple
     firsts = found.where("doc_id is not null").groupBy("md5").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
     long_ = firsts.where(F.size("keys") > 0).groupBy("first").agg(F.min(F.struct("md5", "keys")).alias("x"))
     long_ = common.stage(long_.select("first", "x.md5", "x.keys"), "firsts")
-    occurs = long_.select("first", "md5", F.explode("keys").alias("k"))
-    shared = occurs.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    wanted = occurs.join(shared, "k").groupBy("first", "md5").agg(F.collect_list("k").alias("keys"))
+    wanted = shared_keys(long_.select("first", "keys")).join(long_.select("first", "md5"), "first")
     candidates = texts.join(wanted.withColumnRenamed("first", "doc_id"), ["doc_id", "md5"])
     candidates = common.stage(candidates.select("doc_id", "md5", "text", "keys"), "candidates")
 

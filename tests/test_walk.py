@@ -66,3 +66,18 @@ def test_a_packed_question_has_no_python_step(spark):
     out = pack.pack(spark.createDataFrame(rows, schema))
     assert "InPandas" not in _plan(out)
     assert [r["unit_id"] for r in out.orderBy("slot").collect()] == ["u1", "u3"]
+
+
+def test_the_rules_of_central_files_are_judged_once(spark):
+    units = spark.createDataFrame(
+        [(1, f"u{i}", p, "main", "module", 1, 9, False, ["a"], ["b"], ["c"], None, "start the server and run the workflow") for i, p in enumerate(["src/index.ts", "README.md", "test/a.test.ts"])],
+        "project_id long, id string, file_path string, name string, kind string, start_line int, end_line int, is_vendored boolean,"
+        " imports array<string>, exported_names array<string>, called_functions array<string>, docstring string, code string",
+    )
+    out = briefing.central_files(units)
+    pattern = next(t[1] for _, _, cond in briefing.dims.CENTRAL_RULES for alt in cond for t in alt if t[0] == "wtext")
+    optimized = out._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count(briefing.rx.java(pattern)) == sum(
+        t[1] == pattern for _, _, cond in briefing.dims.CENTRAL_RULES for alt in cond for t in alt
+    )
+    assert {r["id"] for r in out.collect()} == {"u0", "u1"}

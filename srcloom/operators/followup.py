@@ -128,13 +128,14 @@ def session_source_units(sources: DataFrame, units: DataFrame) -> DataFrame:
     by_range = met.groupBy(*keys, "lines", "start", "end").agg(best).select(*keys, "lines", "start", "end", F.col("b.id").alias("id"))
     first = heads.groupBy(*keys).agg(F.min(F.struct((F.col("kind") != "module").cast("int").alias("loose"), "from_line", "id")).alias("b"))
     by_file = parsed.filter("start is null").join(first, keys).select(*keys, "lines", "start", "end", F.col("b.id").alias("id"))
-    chosen = by_range.unionByName(by_file).join(units.drop("file_path"), ["project_id", "id"])
+    picked = stage(by_range.unionByName(by_file), "session-ranges")
+    tag = F.concat(F.lit("session-source:"), F.when(F.col("start").isNull(), F.col("id")).otherwise(F.concat("file_path", F.lit(":"), "lines")))
+    chosen = picked.join(units.drop("file_path"), ["project_id", "id"])
     ls = F.split("code", "\n", -1)
     skip = F.greatest(F.lit(0), F.col("start") - F.col("start_line"))
     last = F.greatest(skip + 1, F.col("end") - F.col("start_line") + 1)
     excerpt = rx.trim(F.array_join(F.slice(ls, skip + 1, last - skip), "\n"))
     head = F.array_join(F.slice(ls, 1, 40), "\n")
-    tag = F.concat(F.lit("session-source:"), F.when(F.col("start").isNull(), F.col("id")).otherwise(F.concat("file_path", F.lit(":"), "lines")))
     changed = {
         "unit_id": F.col("id"),
         "id": tag,
@@ -143,10 +144,15 @@ def session_source_units(sources: DataFrame, units: DataFrame) -> DataFrame:
         "end_line": F.coalesce("end", "end_line"),
     }
     found = chosen.withColumns(changed).drop("start", "end")
-    named = sources.select("session_id", *keys, "pos", F.col("name").alias("given"), "lines").join(found, [*keys, "lines"])
-    named = named.withColumn("name", F.when((F.col("given") != "") & F.col("id").endswith(F.col("lines")) & (F.col("lines") != ""), F.col("given")).otherwise(F.col("name")))
-    once = Window.partitionBy("session_id", "id").orderBy("pos")
-    return named.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n", "given", "lines")
+    # A session's sources are made distinct by their tags; the text of a range comes to the rows that are left.
+    tagged = sources.select("session_id", *keys, "pos", F.col("name").alias("given"), "lines").join(
+        picked.select(*keys, "lines", tag.alias("tag")), [*keys, "lines"]
+    )
+    once = Window.partitionBy("session_id", "tag").orderBy("pos")
+    left = tagged.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n", "tag")
+    named = left.join(found, [*keys, "lines"])
+    given = (F.col("given") != "") & F.col("id").endswith(F.col("lines")) & (F.col("lines") != "")
+    return named.withColumn("name", F.when(given, F.col("given")).otherwise(F.col("name"))).drop("given", "lines")
 
 
 def citation_sources(ctx: DataFrame, judged: DataFrame) -> DataFrame:

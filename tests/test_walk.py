@@ -81,3 +81,21 @@ def test_the_rules_of_central_files_are_judged_once(spark):
         t[1] == pattern for _, _, cond in briefing.dims.CENTRAL_RULES for alt in cond for t in alt
     )
     assert {r["id"] for r in out.collect()} == {"u0", "u1"}
+
+
+def test_session_sources_are_distinct_before_their_text_comes(spark):
+    from srcloom.operators import followup
+
+    units = spark.createDataFrame(
+        [(1, "u1", "a.ts", "module", "A", "one\ntwo\nthree", 1, 3), (1, "u2", "b.ts", "class", "B", "x\ny", 1, 2)],
+        "project_id long, id string, file_path string, kind string, name string, code string, start_line int, end_line int",
+    )
+    rows = [(9, 1, 0, "a.ts", "n", "2-2"), (9, 1, 1, "a.ts", "m", "2-2"), (9, 1, 2, "b.ts", "", "?"), (9, 1, 3, "b.ts", "", ""), (9, 1, 4, "no.ts", "", "1")]
+    sources = spark.createDataFrame(rows, "session_id long, project_id long, pos int, file_path string, name string, lines string")
+    out = followup.session_source_units(sources, units)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.split("\n") if "Window" in line)
+    assert "code" not in plan[plan.index(window):].split("Relation")[0].split("Join")[0]
+    assert plan.index("Join") < plan.index("Window")
+    got = {(r["pos"], r["id"], r["name"], r["code"]) for r in out.collect()}
+    assert got == {(0, "session-source:a.ts:2-2", "n", "two"), (2, "session-source:u2", "B", "x\ny")}

@@ -46,3 +46,12 @@ def test_whole_paths_inside_questions(spark):
 def test_the_plan_of_a_packed_followup_stays_small(spark):
     packed = entry.queries()["pack_followup"](spark, "/root/testdata/sf0.001")
     assert packed._jdf.queryExecution().executedPlan().toString().count("Exchange") < 100
+
+
+def test_questions_and_units_are_shuffled_once_and_pairs_never(spark):
+    units = spark.createDataFrame([unit(f"u{i}", 1, f"alpha test {i}") for i in range(9)], UNIT)
+    query = spark.createDataFrame([("q", 1, "alpha storeLoader test config"), ("r", 1, 'Why "u3" in src/u4.ts?')], QUERY)
+    hits = retrieve.channel_hits(query, units, "grep", 5)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    found = {(r.query_id, r.unit_id): r.score for r in hits.collect()}
+    assert len(found) == 10 and found["r", "u4"] == max(s for (q, _), s in found.items() if q == "r")

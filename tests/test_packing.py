@@ -1,6 +1,6 @@
 import random
 
-from srcloom.operators import pack
+from srcloom.operators import fuse, pack
 
 
 def brute(rows):
@@ -35,3 +35,19 @@ def test_pack_equals_the_plain_walk_over_all_candidates(spark):
     for query in ("a", "b", "c"):
         want |= brute([r for r in rows if r["query_id"] == query])
     assert got == want
+
+
+def test_sources_and_rerank_marks_need_no_code_behind_a_unit(spark):
+    units = spark.createDataFrame(
+        [("a", 1, "src/db/store.ts", "save", "function", "x = rank(1)", "typescript", None), ("b", 1, "test/a.test.ts", "t", "function", "x = 1", "typescript", None)],
+        "id string, project_id long, file_path string, name string, kind string, code string, language string, docstring string",
+    )
+    marks = {r.id: r for r in fuse.with_marks(units).collect()}
+    assert marks["a"].workflow_marks == [False, False, True, False, False, True, True, False] and not marks["a"].is_test
+    assert marks["b"].is_test and not any(marks["b"].workflow_marks)
+    packed = spark.createDataFrame(
+        [("q", 1, "a", 1, "src/db/store.ts", 4, 9)],
+        "query_id string, project_id long, unit_id string, slot int, file_path string, start_line int, end_line int",
+    )
+    rows = pack.source_list(pack.context_lines(packed, units.drop("code"))).collect()
+    assert [(r.file_path, r.name, r.lines, r.ord) for r in rows] == [("src/db/store.ts", "save", "4-9", 1)]

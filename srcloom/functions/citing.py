@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from srcloom import dims, rx
+from srcloom.functions.lists import bound
 
 RANGE = r"^\d+(?:-\d+)?$"
 WITH_FILE = r"^(.+?):(\d+(?:-\d+)?)$"
@@ -48,12 +49,15 @@ def expand_group(body: Column) -> Column:
 
 def citations(text: Column) -> Column:
     """Distinct citations of an answer: bracketed ones, then bare ones not already covered."""
-    bracketed = F.flatten(F.transform(bracket_bodies(text), expand_group))
-    bare = F.filter(
-        bare_citations(text),
-        lambda c: ~F.exists(bracketed, lambda b: (b == c) | F.endswith(b, F.concat(F.lit("/"), c))),
-    )
-    return F.array_distinct(F.concat(bracketed, bare))
+
+    def with_bare(bracketed: Column) -> Column:
+        bare = F.filter(
+            bare_citations(text),
+            lambda c: ~F.exists(bracketed, lambda b: (b == c) | F.endswith(b, F.concat(F.lit("/"), c))),
+        )
+        return F.array_distinct(F.concat(bracketed, bare))
+
+    return bound(F.flatten(F.transform(bracket_bodies(text), expand_group)), with_bare)
 
 
 def normalize(value: Column) -> Column:

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from srcloom import dims, rx
 from srcloom.functions import citing, paths
+from srcloom.functions.lists import rows_of
 
 SYNTHESIS_SECTIONS = ["Product In One Paragraph", "What It Enables And Why It Matters"]
 
 
 def extract(answers: DataFrame) -> DataFrame:
     """One row per distinct citation of an answer, parsed."""
-    rows = answers.select("answer_id", F.posexplode(citing.citations(F.col("answer"))).alias("pos", "citation"))
+    rows = rows_of(answers, ["answer_id"], citing.citations(F.col("answer")), "citation", "pos")
     return rows.withColumn("p", citing.parse(F.col("citation"))).select("answer_id", "pos", "citation", "p.*")
 
 
@@ -84,9 +85,7 @@ def claims(answers: DataFrame, synthesis_sections: list[str] | None = None) -> D
     exempt = F.transform(
         citing.split_claims(citing.section_text(F.col("answer"), synthesis_sections or [])), citing.normalize_claim
     )
-    rows = answers.select(
-        "answer_id", exempt.alias("exempt"), F.posexplode(citing.checked_claims(F.col("answer"))).alias("pos", "claim")
-    )
+    rows = rows_of(answers, ["answer_id", exempt.alias("exempt")], citing.checked_claims(F.col("answer")), "claim", "pos")
     return rows.select(
         "answer_id",
         "pos",

@@ -47,3 +47,13 @@ def test_citation_group(spark):
 
 def test_links_are_no_citations(spark):
     assert one(spark, "see [a.ts:1](x)", citing.bracket_bodies(F.col("x"))) == []
+
+
+def test_citations_and_claims_are_read_once(spark):
+    from srcloom.operators import citations as cit
+
+    answers = spark.createDataFrame([(1, "See a/b.ts:1-2 [src/a/b.ts:1-2] and [x.ts:3, 5-6]."), (2, "")], "answer_id long, answer string")
+    plan = cit.extract(answers)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(answer") <= 2
+    rows = cit.extract(answers).orderBy("pos").collect()
+    assert [(r.answer_id, r.citation) for r in rows] == [(1, "src/a/b.ts:1-2"), (1, "x.ts:3"), (1, "x.ts:5-6")]

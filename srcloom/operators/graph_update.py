@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.operators import survey
+from srcloom.staging import stage
 
 
 @dataclass
@@ -92,10 +93,11 @@ def _in_order(rows: DataFrame, value: str) -> DataFrame:
 def merge_update(base: Graph, update: Graph) -> dict[str, DataFrame]:
     """The merged graph: nodes and edges with ``outcome`` and ``errors``, sources, inspected files, warnings and summaries.
 
-    ``base`` is taken as sound. Sources follow the version of an item that stands.
+    ``base`` is taken as sound. Sources follow the version of an item that stands. The settled nodes and edges are read by
+    several parts, so they are staged.
     """
-    nodes = settled_nodes(base, update)
-    edges = settled_edges(base, update, nodes)
+    nodes = stage(settled_nodes(base, update), "settled-nodes")
+    edges = stage(settled_edges(base, update, nodes), "settled-edges")
     owner = nodes.select("project_id", F.col("node_id").alias("owner_id"), "outcome").unionByName(
         edges.select("project_id", F.col("edge_id").alias("owner_id"), "outcome")
     )

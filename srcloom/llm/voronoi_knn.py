@@ -3,16 +3,16 @@
 Every vector gets one more component that brings all data to the same length, and
 queries are scaled to that length too; then the largest inner products are the smallest
 distances. Data is grouped by its nearest pivot, and inside a cell cut into rings by its
-distance to the pivot. Queries are grouped by their nearest pivot too, so that those of one
-group look the same way. Per cell, the smallest distances to the pivot give each query an
-upper bound of the distance of its k-th neighbour. A group of queries is sent only to the rings
-in which the triangle inequality leaves room for a neighbour; each block of a ring is
-solved by one exact matrix product, and the best of all blocks are merged.
-
-Large rings are dealt over blocks and large groups of queries over parts, both by counts, so a
-hot cell is spread over many keys of the join. Pivots are a sample whose number grows with the
+distance to the pivot. Per cell, the smallest distances to the pivot give each query an
+upper bound of the distance of its k-th neighbour, which also bounds its k-th score from below.
+Neighbouring rings are put into bins of bounded size, and a query is sent, alone and once per bin, only to the bins
+with a ring in which the triangle inequality leaves room for a neighbour. A bin keeps its data while
+its queries pass by in blocks; each ring is solved by one exact matrix product with the queries that reach it, and
+the best of all bins are merged.
+
+Large rings are dealt over several bins by counts, so a hot cell is spread. Pivots are a sample whose number grows with the
 root of the number of vectors, up to ``MOST_PIVOTS``; any pivots give exact results. Bounds are
-floating-point numbers with slack, scores are exact integers.
+floating-point numbers with slack, scores are exact integers. Whole numbers travel in the fewest bytes that hold them all.
 
 Edge cases: vectors that are null or hold null or non-finite components, and rows
 with a null id, take no part; of several rows with one id the least vector counts; of vectors
@@ -36,9 +36,13 @@ PIVOTS, MOST_PIVOTS = 48, 1024
 DATA_BLOCK = 2048
 QUERY_BLOCK = 1024
 MAX_RINGS = 32
-#: Blocks of a ring that share a key of the join, and vectors that make a ring of its own.
-SHARE_BLOCKS, RING_ROWS = 16, 4 * DATA_BLOCK
+#: Most blocks and bytes of a bin, the bins that small data is spread over, and vectors that make a ring of its own.
+SHARE_BLOCKS, BIN_BYTES, LEAST_BINS, RING_ROWS = 128, 32 << 20, 64, 4 * DATA_BLOCK
+#: Bounds of a block of queries that are worked out at once.
+BOUNDS = 4 << 20
 _LOCAL = "query_id long, vec_id long, score long"
+#: Rows of a bin: data (kind 0, ``d`` is the distance to the pivot), then queries (kind 1, ``d`` is the reach).
+_MET = "bin int, kind int, cell int, ring int, vec_id long, d double, row binary"
 
 
 def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
@@ -96,61 +100,174 @@ def exact_products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
-    """(row, id, score) of each row's k best, ties to the smaller id; ``ids`` ascend."""
-    rows, out_ids, out_scores = [], [], []
-    for r in range(len(scores)):
-        line = scores[r]
-        others = np.flatnonzero(ids != own[r])
-        if len(others) > k:
-            edge = np.partition(line[others], len(others) - k)[len(others) - k]
-            others = others[line[others] >= edge]
-        order = others[np.lexsort((ids[others], -line[others]))][:k]
-        rows += [r] * len(order)
-        out_ids += ids[order].tolist()
-        out_scores += line[order].tolist()
-    return rows, out_ids, out_scores
+class Best:
+    """The ``k`` best (score, id) of each query of a block, ties to the smaller id."""
+
+    def __init__(self, own: np.ndarray, lower: np.ndarray, k: int):
+        self.own, self.least, self.k = own, lower.copy(), k
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), lower[:0]
+
+    def add(self, near: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of the queries ``near`` (places in the block) with the vectors ``ids``."""
+        over = scores >= self.least[near][:, None]
+        if scores.shape[1] > self.k and np.count_nonzero(over) > 4 * (self.k + 1) * len(near):
+            # One of the k + 1 best may be the query itself.
+            at = scores.shape[1] - self.k - 1
+            self.least[near] = np.maximum(self.least[near], np.partition(scores, at, axis=1)[:, at])
+            over = scores >= self.least[near][:, None]
+        r, c = np.nonzero(over)
+        row, found = near[r], ids[c]
+        other = found != self.own[row]
+        if not other.any():
+            return
+        row = np.concatenate([self.row, row[other]])
+        found = np.concatenate([self.id, found[other]])
+        score = np.concatenate([self.score, scores[r[other], c[other]]])
+        # Falling scores: a negated long could overflow, the complement cannot.
+        order = np.lexsort((found, -score if score.dtype.kind == "f" else ~score, row))
+        row, found, score = row[order], found[order], score[order]
+        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        place = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+        full = place == self.k - 1
+        self.least[row[full]] = np.maximum(self.least[row[full]], score[full])
+        kept = place < self.k
+        self.row, self.id, self.score = row[kept], found[kept], score[kept]
 
 
 class Rings:
-    """Rings of the cells from their counts and spans of distances, and the deal of large rings."""
+    """Rings of the cells from their counts and spans of distances, and the bins of their blocks."""
 
     def __init__(self, n_cells: int, cells: list):
         self.rings, self.low, self.span = np.ones(n_cells, np.int64), np.zeros(n_cells), np.ones(n_cells)
         for r in cells:
             self.rings[r["cell"]] = min(MAX_RINGS, -(-r["n"] // RING_ROWS))
             self.low[r["cell"]], self.span[r["cell"]] = r["low"], max(r["high"] - r["low"], 1e-9)
-        self.deals = np.zeros((n_cells, MAX_RINGS), np.int64)
 
     def of(self, cell, d: np.ndarray) -> np.ndarray:
-        """Rising in ``d``, so that bounds of distances are bounds of rings."""
         at = np.floor((d - self.low[cell]) / self.span[cell] * self.rings[cell])
         return np.clip(at, 0, self.rings[cell] - 1).astype(np.int32)
 
-    def count(self, rows: list) -> None:
-        for r in rows:
-            self.deals[r["cell"], r["ring"]] = -(-r["n"] // DATA_BLOCK)
+    def fill_bins(self, rows: list, bin_rows: int) -> None:
+        """Blocks of rings, one ring after the other, into bins of about ``bin_rows`` vectors."""
+        rows = sorted(rows, key=lambda r: (r["cell"], r["ring"]))
+        n = np.array([r["n"] for r in rows], np.int64)
+        blocks = -(-n // min(DATA_BLOCK, bin_rows))
+        first = np.concatenate([[0], np.cumsum(blocks)])
+        size = np.repeat(n / blocks, blocks)
+        self.bins = ((np.cumsum(size) - size) // bin_rows).astype(np.int32)
+        self.n_bins = int(self.bins[-1]) + 1
+        self.deals, self.start = np.zeros((2, len(self.rings), MAX_RINGS), np.int64)
+        at = [r["cell"] for r in rows], [r["ring"] for r in rows]
+        self.deals[at], self.start[at] = blocks, first[:-1]
+        self.cell, self.near, self.far = np.array(at[0]), np.array([r["low"] for r in rows]), np.array([r["high"] for r in rows])
+        # Every ring once per bin that holds blocks of it, bin after bin.
+        pairs = np.unique(np.stack([self.bins, np.repeat(np.arange(len(rows)), blocks)], 1), axis=0)
+        self.held, self.begin = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(self.n_bins))
+        self.used = np.unique(pairs[:, 0])
+        self.begin = self.begin[self.used]
+
+    def bin_of(self, cell: np.ndarray, ring: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.bins[self.start[cell, ring] + dealt(ids, self.deals[cell, ring])]
 
 
 def dealt(ids: np.ndarray, deals: np.ndarray) -> np.ndarray:
     return (common.mix(ids.astype(np.int64).view(np.uint64)) % np.maximum(deals, 1).astype(np.uint64)).astype(np.int32)
 
 
-def candidate_blocks(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, pivots: int | None) -> tuple[DataFrame, int]:
-    """Blocks of data beside the parts of queries that may have a neighbour in them, and the width of their rows."""
+def packed(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as one binary value each."""
+    size = rows.shape[1] * rows.itemsize
+    ends = np.arange(0, (len(rows) + 1) * size, size, dtype=np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+class Bins:
+    """How the rows of a bin are read."""
+
+    def __init__(self, space: Space, width: int, most: float):
+        self.space, self.width = space, width
+        self.exact, self.cut = most**2 * width < 2**53, most**2 * width >= 2**63
+        self.kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+
+    def numbers(self, rows: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.to_pylist()), self.kind).reshape(len(rows), self.width)
+
+    def lower(self, queries: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """A score that the k-th best of a query reaches at least."""
+        if not self.exact:
+            return np.full(len(queries), -(2**63), np.int64)
+        radius, norms = np.sqrt(self.space.radius2), np.sqrt((queries * queries).sum(1))
+        finite = np.where(np.isfinite(reach), reach, 0)
+        bound = (self.space.radius2 - finite * finite / 2) * norms / radius - 1e-6 * radius * norms - 1
+        return np.where(np.isfinite(reach), bound, -np.inf)
+
+    def blocks(self, batches):
+        """Per block of queries of a bin: ids, vectors, lower bounds of their scores, and (places of queries, ids, vectors) of the data they may meet."""
+        at, data, rings = None, [], None
+        for batch in batches:
+            bins, kinds = batch.column("bin").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero((bins[1:] != bins[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for start, end in zip([0, *edges], [*edges, len(bins)]):
+                if start == end:
+                    continue
+                if bins[start] != at:
+                    at, data, rings = bins[start], [], None
+                part = batch.slice(start, end - start)
+                cell, ring, ids, d = (part.column(c).to_numpy() for c in ("cell", "ring", "vec_id", "d"))
+                rows = self.numbers(part.column("row"))
+                if kinds[start] == 0:
+                    data.append((cell, ring, ids, d, rows))
+                    continue
+                if rings is None:
+                    rings, data = list(ring_blocks(data)), []
+                for begin in range(0, len(ids), QUERY_BLOCK):
+                    queries, reach = rows[begin : begin + QUERY_BLOCK].astype(float), d[begin : begin + QUERY_BLOCK]
+                    distances = self.space.to_pivots(self.space.aim(queries))
+                    found = []
+                    for c, low, high, vec_ids, vectors in rings:
+                        near = np.flatnonzero((distances[:, c] - reach <= high) & (distances[:, c] + reach >= low))
+                        if len(near):
+                            found.append((near, vec_ids, vectors))
+                    yield ids[begin : begin + QUERY_BLOCK], queries, self.lower(queries, reach), found
+
+
+def met_rows(bins, kind: int, cell, ring, ids, d, rows: pa.Array) -> pa.RecordBatch:
+    columns = [
+        pa.array(bins, pa.int32()), pa.array(np.full(len(bins), kind, np.int32)), pa.array(cell, pa.int32()), pa.array(ring, pa.int32()),
+        pa.array(ids, pa.int64()), pa.array(d, pa.float64()), rows,
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["bin", "kind", "cell", "ring", "vec_id", "d", "row"])
+
+
+def ring_blocks(parts: list):
+    """(cell, least and largest distance, ids, vectors) of the blocks of a bin, from parts sorted by cell and ring."""
+    if not parts:
+        return
+    cell, ring, ids, d, rows = (np.concatenate(x) for x in zip(*parts))
+    edges = np.flatnonzero((cell[1:] != cell[:-1]) | (ring[1:] != ring[:-1])) + 1
+    for start, end in zip([0, *edges], [*edges, len(cell)]):
+        for a in range(start, end, DATA_BLOCK):
+            z = min(end, a + DATA_BLOCK)
+            yield cell[a], d[a:z].min(), d[a:z].max(), ids[a:z], rows[a:z]
+
+
+def meet(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, pivots: int | None) -> tuple[DataFrame | None, Bins | None]:
+    """Data and queries side by side in bins, and how they are read."""
     data = common.stage(whole_vectors(vectors, id_col, vector_col), "vectors")
     facts = data.agg(
-        F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("radius2"), F.max(F.size("v")).alias("width")
-    ).first()
+        F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("radius2"), F.max(F.size("v")).alias("width"),
+        F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))).alias("most"),
+    ).first()
     if not facts["n"]:
-        return None, 0
+        return None, None
     width = max(1, facts["width"])
     pivots = pivots or int(np.clip(int(facts["n"] ** 0.5), PIVOTS, MOST_PIVOTS))
     # A bounded sample, spread by a hash; equal vectors would make equal cells.
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).select("v").collect()
     distinct = np.unique(matrix([r["v"] for r in sample], width), axis=0)
     space = Space(distinct[:: max(1, len(distinct) // pivots)][:pivots], facts["radius2"])
-    n_cells = len(space.pivots)
+    read = Bins(space, width, facts["most"])
+    kind = read.kind
 
     def assign(batches):
         for batch in common.slices(batches):
@@ -160,14 +277,15 @@ def candidate_blocks(vectors: DataFrame, is_query: Column, k: int, id_col: str,
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("vec_id"), pa.array(cell, pa.int32()),
-                    pa.array(distances[np.arange(len(cell)), cell], pa.float64()), pa.array([r.tobytes() for r in rows], pa.binary()),
+                    pa.array(distances[np.arange(len(cell)), cell], pa.float64()), packed(rows.astype(kind)),
                 ],
                 names=["vec_id", "cell", "d", "row"],
             )
 
     placed = common.stage(data.mapInArrow(assign, "vec_id long, cell int, d double, row binary"), "cells")
     # Per cell: how many, and the k + 1 smallest distances to the pivot (one may be the query's own).
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
+    span = F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")
+    cells = placed.groupBy("cell").agg(*span).collect()
     close = (
         placed.select("cell", "d", "vec_id")
         .withColumn("place", F.row_number().over(Window.partitionBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("d")))
@@ -179,107 +297,80 @@ def candidate_blocks(vectors: DataFrame, is_query: Column, k: int, id_col: str,
     )
     near = sorted((r["cell"], r["d"]) for r in close)
     near_cell, near_d = np.array([c for c, _ in near]), np.array([d for _, d in near])
-    rings = Rings(n_cells, cells)
+    rings = Rings(len(space.pivots), cells)
 
     def ring_rows(batches):
         for batch in batches:
-            cell, ids = batch.column("cell").to_numpy(), batch.column("vec_id").to_numpy()
-            ring = rings.of(cell, batch.column("d").to_numpy())
-            deal = dealt(ids, rings.deals[cell, ring])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ring), pa.array(deal)], names=[*batch.schema.names, "ring", "deal"])
-
-    first = placed.select("vec_id", "cell", "d").mapInArrow(ring_rows, "vec_id long, cell int, d double, ring int, deal int")
-    rings.count(first.groupBy("cell", "ring").agg(F.count("*").alias("n")).collect())
-    ringed = placed.mapInArrow(ring_rows, "vec_id long, cell int, d double, row binary, ring int, deal int")
-
-    def make_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame(
-            {
-                "cell": [pdf["cell"].iloc[0]], "ring": [pdf["ring"].iloc[0]], "share": [pdf["deal"].iloc[0] // SHARE_BLOCKS],
-                "low": [pdf["d"].min()], "high": [pdf["d"].max()],
-                "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "rows": [b"".join(pdf["row"])],
-            }
-        )
-
-    keys = ["cell", "ring", "share"]
-    blocks = ringed.groupBy("cell", "ring", "deal").applyInPandas(
-        make_block, "cell int, ring int, share int, low double, high double, ids binary, rows binary"
-    )
+            ring = rings.of(batch.column("cell").to_numpy(), batch.column("d").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ring)], names=[*batch.schema.names, "ring"])
 
-    def homes(batches):
-        for batch in common.slices(batches):
-            rows = np.frombuffer(b"".join(batch.column("row").to_pylist()), np.float64).reshape(batch.num_rows, width)
-            # A zero query is as far from everything and would widen the bounds of a group.
-            home = np.where((rows != 0).any(1), space.to_pivots(space.aim(rows)).argmin(1), n_cells)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(home, pa.int32()), batch.column("row")], names=["vec_id", "home", "row"]
-            )
+    first = placed.select("cell", "d").mapInArrow(ring_rows, "cell int, d double, ring int")
+    bin_rows = max(1, min(SHARE_BLOCKS * DATA_BLOCK, BIN_BYTES // (width * np.dtype(kind).itemsize), -(-facts["n"] // LEAST_BINS)))
+    rings.fill_bins(first.groupBy("cell", "ring").agg(*span).collect(), bin_rows)
 
-    queries = placed.where(is_query).select("vec_id", "row").mapInArrow(homes, "vec_id long, home int, row binary")
-    queries = common.stage(queries, "queries")
-    parts = np.ones(n_cells + 1, np.int64)
-    for r in queries.groupBy("home").agg(F.count("*").alias("n")).collect():
-        parts[r["home"]] = -(-r["n"] // QUERY_BLOCK)
+    def put(batches):
+        for batch in batches:
+            cell, d, ids = (batch.column(c).to_numpy() for c in ("cell", "d", "vec_id"))
+            ring = rings.of(cell, d)
+            yield met_rows(rings.bin_of(cell, ring, ids), 0, cell, ring, ids, d, batch.column("row"))
 
-    def deal_queries(batches):
+    def ask(batches):
+        step = max(1, min(QUERY_BLOCK, BOUNDS // max(len(near_cell), len(rings.held))))
         for batch in batches:
-            part = dealt(batch.column("vec_id").to_numpy(), parts[batch.column("home").to_numpy()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=["vec_id", "home", "row", "part"])
-
-    spans = [(r["cell"], r["low"], r["high"]) for r in sorted(cells, key=lambda r: r["cell"])]
-
-    def make_queries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        rows = np.frombuffer(b"".join(pdf["row"]), np.float64).reshape(len(pdf), width)
-        distances = space.to_pivots(space.aim(rows))
-        upper = distances[:, near_cell] + near_d[None]
-        reach = np.full(len(pdf), np.inf) if upper.shape[1] <= k else np.partition(upper, k, axis=1)[:, k]
-        # Nothing can be left out for a zero query.
-        reach = np.where((rows != 0).any(1), reach, np.inf) + space.slack
-        out = []
-        for c, nearest_d, farthest_d in spans:
-            below, above = (distances[:, c] - reach).min(), (distances[:, c] + reach).max()
-            if below <= farthest_d and above >= nearest_d:
-                ends = rings.of(c, np.array([max(below, nearest_d), min(above, farthest_d)]))
-                for ring in range(ends[0], ends[1] + 1):
-                    out += [(c, ring, s, below, above) for s in range(-(-int(rings.deals[c, ring]) // SHARE_BLOCKS))]
-        ids = pdf["vec_id"].to_numpy(np.int64).tobytes()
-        found = pd.DataFrame(out, columns=[*keys, "below", "above"])
-        return found.assign(q_ids=[ids] * len(out), q_rows=[rows.tobytes()] * len(out))
-
-    needs = (
-        queries.mapInArrow(deal_queries, "vec_id long, home int, row binary, part int")
-        .groupBy("home", "part")
-        .applyInPandas(make_queries, "cell int, ring int, share int, below double, above double, q_ids binary, q_rows binary")
-    )
-    pairs = blocks.join(needs, keys).where((F.col("high") >= F.col("below")) & (F.col("low") <= F.col("above")))
-    return pairs.select("ids", "rows", "q_ids", "q_rows"), width
+            for start in range(0, batch.num_rows, step):
+                ids, rows = batch.column("vec_id").to_numpy()[start : start + step], read.numbers(batch.column("row").slice(start, step))
+                whole = rows.astype(float)
+                distances = space.to_pivots(space.aim(whole))
+                upper = distances[:, near_cell] + near_d[None]
+                reach = np.full(len(ids), np.inf) if upper.shape[1] <= k else np.partition(upper, k, axis=1)[:, k]
+                # Nothing can be left out for a zero query, nor where cut scores may be equal.
+                reach = np.where((rows != 0).any(1) & (not read.cut), reach, np.inf) + space.slack
+                to = distances[:, rings.cell]
+                room = (to - reach[:, None] <= rings.far) & (to + reach[:, None] >= rings.near)
+                q, b = np.nonzero(np.logical_or.reduceat(room[:, rings.held], rings.begin, axis=1))
+                none = np.zeros(len(q), np.int32)
+                yield met_rows(rings.used[b], 1, none, none, ids[q], reach[q], packed(rows[q]))
+
+    asked = placed.where(is_query).select("vec_id", "row").mapInArrow(ask, _MET)
+    met = placed.mapInArrow(put, _MET).unionByName(asked).repartition(rings.n_bins, "bin")
+    return met.sortWithinPartitions("bin", "kind", "cell", "ring"), read
+
+
+def candidate_blocks(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, pivots: int | None) -> tuple[DataFrame, int]:
+    """The ids of blocks of data beside those of the queries that are solved with them, and the width of the vectors."""
+    met, read = meet(vectors, is_query, k, id_col, vector_col, pivots)
+    if met is None:
+        return None, 0
+
+    def ids_of(batches):
+        for own, _, _, found in read.blocks(batches):
+            for near, ids, _ in found:
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, own[near])], names=["ids", "q_ids"])
+
+    return met.mapInArrow(ids_of, "ids binary, q_ids binary"), read.width
 
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None
 ) -> DataFrame:
     """The ``k`` best of all other vectors for every query."""
-    pairs, width = candidate_blocks(vectors, is_query, k, id_col, vector_col, pivots)
-    if pairs is None:
+    met, read = meet(vectors, is_query, k, id_col, vector_col, pivots)
+    if met is None:
         return vectors.sparkSession.createDataFrame([], SCHEMA)
 
     def solve(batches):
-        for batch in batches:
-            for ids, rows, q_ids, q_rows in zip(*(batch.column(c).to_pylist() for c in ("ids", "rows", "q_ids", "q_rows"))):
-                own, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                scores = exact_products(
-                    np.frombuffer(q_rows, np.float64).reshape(len(own), width), np.frombuffer(rows, np.float64).reshape(len(ids), width)
-                )
-                r, found, values = best(scores, ids, own, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[r], pa.int64()), pa.array(found, pa.int64()), pa.array(values, pa.int64())],
-                    names=["query_id", "vec_id", "score"],
-                )
+        for own, queries, lower, found in read.blocks(batches):
+            best = Best(own, lower, k)
+            for near, ids, vectors in found:
+                whole = vectors.astype(float)
+                best.add(near, ids, queries[near] @ whole.T if read.exact else exact_products(queries[near], whole))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[best.row], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score.astype(np.int64), pa.int64())],
+                names=["query_id", "vec_id", "score"],
+            )
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.mapInArrow(solve, _LOCAL).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.mapInArrow(solve, _LOCAL).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle_sql() -> str:

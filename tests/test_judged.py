@@ -40,3 +40,18 @@ def test_judged_units_are_not_judged_again(spark):
     row = judged.first()
     assert row.workflow_marks == [False, False, True, False, False, True, True, False]
     assert (row.overview_base, row.sales_bonus, row.support) == (14, 8, 0)
+
+
+def test_only_strings_of_text_roles_meet_the_text(spark):
+    units = spark.createDataFrame(
+        [("a", 1, "src/db/store.ts", "saveΣ", "function", "rank all", 1, False, None, ["Export"], [], [])],
+        "id string, project_id long, file_path string, name string, kind string, code string, start_line int, is_vendored boolean,"
+        " docstring string, exported_names array<string>, imports array<string>, called_functions array<string>",
+    )
+    asked = [("term", "rank"), ("ident", "rank"), ("part", "rank"), ("whole", "rank"), ("path", "rank"), ("ident", "saveς"), ("ident", "savς"),
+             ("ident", "export"), ("part", "db"), ("path", "store.ts"), ("whole", "see src/db/store.ts")]
+    for role, s in asked:
+        strings = spark.createDataFrame([("q", 1, role, s, False, 1)], "query_id string, project_id long, role string, s string, code_like boolean, n long")
+        rows = retrieve.evidence(strings, units).collect()
+        wanted = role == "term" or s in ("saveς", "export", "db", "store.ts", "see src/db/store.ts")
+        assert len(rows) == int(wanted), (role, s)
